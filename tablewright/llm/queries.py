@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from tablewright.llm import minhash
+from tablewright.llm import chat, minhash, mixing, rules
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_mix": mixing.op2_mix,
+    "op6_chat": chat.op6_chat,
+    "op9_rules": rules.op9_rules,
+}
+_ORACLE: dict[str, str] = {
+    "op2_mix": mixing.ORACLE,
+    "op6_chat": chat.ORACLE,
+    "op9_rules": rules.ORACLE,
 }
-_ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict:
