@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablewright.llm import chat, minhash, mixing, rules
+from tablewright.llm import chat, minhash, mixing, pii, rules
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_mix": mixing.op2_mix,
+    "op3_pii": pii.op3_pii,
     "op6_chat": chat.op6_chat,
     "op9_rules": rules.op9_rules,
 }
