@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import chat, minhash, mixing, pii, rules
+from tablewright.llm import chat, minhash, mixing, packing, pii, rules
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_pii": pii.op3_pii,
     "op6_chat": chat.op6_chat,
     "op9_rules": rules.op9_rules,
+    "op10_pack": packing.op10_pack,
 }
 _ORACLE: dict[str, str] = {
     "op2_mix": mixing.ORACLE,
