@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import chat, minhash, mixing, packing, pii, rules
+from tablewright.llm import audio, chat, minhash, mixing, packing, pii, rules
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
     "op6_chat": chat.op6_chat,
+    "op7_audio": audio.op7_audio,
     "op9_rules": rules.op9_rules,
     "op10_pack": packing.op10_pack,
 }
