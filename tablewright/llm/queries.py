@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tablewright.llm import audio, chat, minhash, mixing, packing, pii, rules
+from tablewright.llm import audio, chat, minhash, mixing, packing, pii, quality, rules
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
+    "op4_quality": quality.op4_quality,
     "op6_chat": chat.op6_chat,
     "op7_audio": audio.op7_audio,
     "op9_rules": rules.op9_rules,
