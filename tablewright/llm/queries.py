@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import audio, chat, minhash, mixing, packing, pii, quality, rules
+from tablewright.llm import audio, chat, minhash, mixing, packing, pii, quality, rules, toxicity
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_quality": quality.op4_quality,
     "op6_chat": chat.op6_chat,
     "op7_audio": audio.op7_audio,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_rules": rules.op9_rules,
     "op10_pack": packing.op10_pack,
 }
