@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import audio, chat, minhash, mixing, packing, pii, quality, rules, toxicity
+from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, rules, toxicity
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_mix": mixing.op2_mix,
     "op3_pii": pii.op3_pii,
     "op4_quality": quality.op4_quality,
+    "op5_lm": lm.op5_lm,
     "op6_chat": chat.op6_chat,
     "op7_audio": audio.op7_audio,
     "op8_toxicity": toxicity.op8_toxicity,
