@@ -1,15 +1,60 @@
-"""From raw documents to packed training sequences: STAGES, each over all that the stage before it kept."""
+"""From raw documents to packed training sequences: STAGES, each over all that the stage before it kept.
+
+Each stage is one corpus operator as a function (spark, docs, sf_dir) -> DataFrame; its
+result is meant to be written and read again before the next stage.  All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.llm import minhash, mixing, packing, pii, quality
+from tablewright.llm.session import prepared, small, table
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model).where("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(small(minhash.cut(gone)), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return left.select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data and disclosing terms put as tags."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their weights, in global random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", judge_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The learned stage and the sketches are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(prepared(spark), sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
