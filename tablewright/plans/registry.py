@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES = ("cohort",)
+FLAGSHIP = "visit_base"
 
 
 def query(name: str, sql: str | None = None):
@@ -22,13 +24,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """Imports every module that registers queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"tablewright.plans.{name}_queries")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return queries()[FLAGSHIP](spark, sf_dir)
