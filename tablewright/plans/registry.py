@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("cohort",)
-FLAGSHIP = "visit_base"
+MODULES = ("cohort", "features", "events")
+FLAGSHIP = "features_wide"
 
 
 def query(name: str, sql: str | None = None):
