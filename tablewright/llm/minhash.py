@@ -42,7 +42,8 @@ SCALE, OFFSET = 1.02, 200.0
 NUM, DEN = 75, 100
 #: A pair is ruled out when the threshold is this many log-likelihood units under the best similarity (six sigma).
 RULED_OUT = 18.0
-BLOCK = 128
+#: A block of an open bucket holds about so many documents, and so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 
 def shingles(words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def _sketch(batches):
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 h1, h2 = np.concatenate(([U64(0)], np.cumsum(flat))), np.concatenate(([U64(0)], np.cumsum(mix(flat ^ U64(0x5851F42D4C957F2D)))))
                 s1, s2 = h1[ends[1:]] - h1[ends[:-1]], h2[ends[1:]] - h2[ends[:-1]]
-                keys, some = band_keys(reg), counts > 0
+                some = counts > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[a:b].cast(pa.int64()),
@@ -125,13 +126,21 @@ def _sketch(batches):
                         pa.array(s1.view(np.int64)),
                         pa.array(s2.view(np.int64)),
                         binaries([r.tobytes() if ok else b"" for r, ok in zip(reg, some)]),
-                        string_lists(keys[some].view(np.int64).reshape(-1), some * BANDS, pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "reg", "bands"],
+                    names=["doc_id", "n_shingles", "s1", "s2", "reg"],
                 )
 
 
-SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, reg binary, bands array<long>"
+def _buckets(batches):
+    """(node, bands) from registers."""
+    for batch in batches:
+        reg = np.frombuffer(b"".join(batch.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        with np.errstate(over="ignore"):
+            keys = band_keys(reg)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), string_lists(keys.view(np.int64).reshape(-1), np.full(len(reg), BANDS), pa.int64())], names=["node", "bands"])
+
+
+SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, reg binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -177,7 +186,6 @@ def _pairs(batches):
         keep = np.flatnonzero(possible(ra, rb, na, nb))
         batch = batch.take(pa.array(keep))
         linked = np.zeros(len(keep), dtype=bool)
-        held: dict[int, np.ndarray] = {}
         sides = []
         for side in ("a", "b"):
             sets: list[np.ndarray] = []
@@ -190,7 +198,6 @@ def _pairs(batches):
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             linked[i] = DEN * shared >= NUM * (len(x) + len(y) - shared)
-        del held
         hit = batch.filter(pa.array(linked))
         yield pa.RecordBatch.from_arrays([hit.column("a"), hit.column("b")], names=["a", "b"])
 
@@ -277,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes)
     # each class once, under its smallest id, in each of its buckets
     rep = sketch.where("n_shingles > 0").join(classes.select("s1", "s2", F.col("class_id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    rows = rep.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    rows = rep.select("doc_id", "reg").mapInArrow(_buckets, "node long, bands array<long>").select("node", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n_bucket"), F.min("node").alias("pivot")).where("n_bucket > 1")
     bucket = cut(rows.join(full, "key"))
     pairs = bucket.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -290,11 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # what the pivots leave open: buckets with members, the pivot aside, in several components
     open_ = bucket.where("node <> pivot").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = open_.groupBy("key").agg(F.count("*").alias("n_open"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n_open")
+    several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = cut(open_.select("key", "node", "comp").join(several, "key"))
     if not open_.isEmpty():
-        blocks = F.ceil(F.col("n_open") / BLOCK).cast("long")
-        own = open_.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+        open_ = open_.join(bodies.select("node", "n"), "node")
+        sizes = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+        own = open_.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
         spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         spread = spread.select("key", "node", "comp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
         members = spread.withColumn("same_block", F.col("i") == F.col("j")).join(bodies.select("node", "text"), "node")
