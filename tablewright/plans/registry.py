@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("cohort", "features", "events", "quality", "delta", "score", "gates")
+MODULES = ("cohort", "features", "events", "quality", "delta", "score", "gates", "repair", "sources")
 FLAGSHIP = "features_wide"
 
 

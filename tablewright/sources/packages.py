@@ -44,10 +44,11 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_checked(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """Texts of the named columns, and in _corrupt the lines that do not fit them."""
+def read_checked(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
+    """Texts of the named columns, and in _corrupt the lines that do not fit them; lines are parsed whole to tell."""
     schema = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt"])
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    reader = spark.read.schema(schema).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = True) -> None:
