@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.session import prepared, table
+from tablewright.llm.subwords import subwords
 from tablewright.llm.words import U64, chunks, mix, segment
 
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 6, 10
-#: Words a worker keeps the ids of; beyond it the store starts anew.
-KEPT_WORDS = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -90,74 +89,23 @@ def _place(batches):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(hilbert_index(project(segment(raw, offsets))))], names=["doc_id", "text", "curve"])
 
 
-class _Ids:
-    """Ids of whole texts: words between white space are looked up, new words are encoded together."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self):
-        self.code: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.size = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        lists = [e.ids for e in found]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        start = len(self.code)
-        self.code.update(zip(new, range(start, start + len(new))))
-        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))))
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the texts in a row, each with the end id, and how many each has."""
-        # ASCII white space only: every other character is the tokenizer's own business
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        if len(self.code) > KEPT_WORDS:
-            self.clear()
-        new = list({w for ws in split for w in ws if w not in self.code})
-        if new:
-            self.learn(new)
-        code = np.fromiter((self.code[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        per_word = self.size[code]
-        bounds = np.cumsum([0, *map(len, split)])
-        total = np.concatenate(([0], np.cumsum(per_word)))
-        per_doc = total[bounds[1:]] - total[bounds[:-1]]
-        at = np.arange(total[-1]) - np.repeat(total[:-1] - self.first[code], per_word)
-        ids = self.ids[at]
-        counts = per_doc + 1
-        out = np.full(int(counts.sum()), END_ID, dtype=np.uint32)
-        ends = np.cumsum(counts) - 1
-        body = np.ones(len(out), dtype=bool)
-        body[ends] = False
-        out[body] = ids
-        return out, counts
-
-
-_BLANKS = {c: " " for c in (*range(9, 14),)}
-_held: dict[str, _Ids] = {}
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> _Ids:
-    if path not in _held:
-        _held[path] = _Ids(path)
-    return _held[path]
+def text_ids(store, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all the texts in a row, each with the end id, and how many each has."""
+    words = segment(raw, offsets)
+    ids, size = store.ids(words)
+    ends = np.concatenate(([0], np.cumsum(size)))[words.first]
+    counts = np.diff(ends) + 1
+    out = np.full(int(counts.sum()), END_ID, dtype=np.uint32)
+    body = np.ones(len(out), dtype=bool)
+    body[np.cumsum(counts) - 1] = False
+    out[body] = ids
+    return out, counts
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -169,7 +117,7 @@ def packer(name: str):
     def pack(batches):
         from pyspark import TaskContext
 
-        ids_of = encoder(tokenizer_path(name))
+        store = subwords(tokenizer_path(name))
         base = TaskContext.get().partitionId() << 32
         sequence, fill = 0, 0
         rows: list[tuple] = []
@@ -188,10 +136,10 @@ def packer(name: str):
             return rows_
 
         for batch in batches:
-            for a, b, _, _ in chunks(batch.column("text")):
-                part = batch.slice(a, b - a)
-                docs = part.column("doc_id").to_pylist()
-                ids, counts = ids_of.texts([t or "" for t in part.column("text").to_pylist()])
+            for a, b, raw, offsets in chunks(batch.column("text")):
+                docs = batch.column("doc_id").slice(a, b - a).to_pylist()
+                with np.errstate(over="ignore"):
+                    ids, counts = text_ids(store, raw, offsets)
                 at = 0
                 for doc, n in zip(docs, counts.tolist()):
                     start = 0
