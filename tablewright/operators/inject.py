@@ -92,7 +92,8 @@ def inject(name: str, rows: DataFrame, stays: DataFrame, requests: DataFrame) ->
 
     Requests of one row apply in id order, so a later one sees the earlier one's value.
     """
-    own = [s for s, (t, _, _) in SUBTYPES.items() if t == name]
+    # a subtype whose column the table lacks finds no row, and its requests stay unresolved
+    own = [s for s, (t, c, kind) in SUBTYPES.items() if t == name and (kind == "insert" or c in rows.columns)]
     mine = requests.where(F.col("error_subtype").isin(own))
     hit = targets(rows, stays, mine).join(context(stays), "_stay", "left")
     at = rows.join(hit, "_row_index", "left")
