@@ -51,9 +51,10 @@ def shingles(words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     h = words.prefix_hash()
     first = words.first
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(len(h) - n + 1, 0), dtype=U64)
+        size = max(len(h) - n + 1, 0)
+        rolled = np.zeros(size, dtype=U64)
         for k in range(n):
-            rolled = rolled * U64(0xD6E8FEB86659FD93) + h[k : len(h) - n + 1 + k]
+            rolled = rolled * U64(0xD6E8FEB86659FD93) + h[k : k + size]
         rolled = mix(rolled)
     out, counts = [], np.zeros(len(first) - 1, dtype=np.int64)
     for d in range(len(first) - 1):
