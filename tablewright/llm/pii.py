@@ -36,6 +36,7 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]
 
 GENERALISE, REMOVE = 0.9, 0.97
 SUPPORT, EVIDENCE = 3, 30.0
+SLICES = 16
 EDGE = ".,;:!?()\"'"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -147,15 +148,27 @@ def disclosing(docs: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "term string, removed boolean")
     with_entity = held.withColumn("entity", F.explode("named")).join(small(entity.select("entity")), "entity", "left_semi")
     words_ = with_entity.select("entity", "_key", F.explode(terms(replaced(F.col("_text"), F.col("blank")))).alias("term"))
-    pairs = words_.groupBy("entity", "term").agg(F.count_distinct("_key").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
-    pairs = cut(pairs)
-    wanted = pairs.select("term").distinct()
-    seen = docs.select("_key", F.explode(terms(F.col("_text"))).alias("term")).join(small(cut(wanted)), "term", "left_semi")
-    counts = seen.groupBy("term").agg(F.count_distinct("_key").alias("n_t"))
+    words_ = cut(words_.distinct())
     n = docs.select(F.count_distinct("_key")).first()[0]
+    # the texts seen so far bound a term's corpus count from below: what cannot reach the ratio any more goes before the corpus is counted
+    reach = F.col("n_tc") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - GENERALISE))
+    least = words_.groupBy("term").agg(F.count_distinct("_key").alias("n_least"))
+    pairs = words_.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
+    pairs = pairs.join(entity, "entity").join(least, "term").where(reach >= F.col("n_least") * 0.999)
+    pairs = cut(pairs.select("entity", "term", "n_tc", "n_c"))
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        wanted = small(cut(pairs.select("term").distinct()))
+        seen = texts.select("_key", F.explode(terms(F.col("_text"))).alias("term")).join(wanted, "term", "left_semi")
+        return seen.groupBy("term").agg(F.count_distinct("_key").alias(name))
+
+    # so does a slice of the corpus by text hash, in which common words show at once
+    part = counted(docs.where(F.pmod("_key", F.lit(SLICES)) == 0), "n_part")
+    pairs = cut(pairs.join(part, "term", "left").where(reach >= F.coalesce("n_part", F.lit(0)) * 0.999).select("entity", "term", "n_tc", "n_c"))
+    counts = counted(docs, "n_t")
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     pmi = F.log2(F.col("n_tc") * F.lit(float(n)) / (F.col("n_t") * F.col("n_c")))
-    scored = pairs.join(entity, "entity").join(counts, "term").withColumn("ratio", F.try_divide(pmi, ic)).where((F.col("ratio") >= GENERALISE) & (F.col("n_tc") * ic >= EVIDENCE))
+    scored = pairs.join(counts, "term").withColumn("ratio", F.try_divide(pmi, ic)).where((F.col("ratio") >= GENERALISE) & (F.col("n_tc") * ic >= EVIDENCE))
     return cut(scored.groupBy("term").agg((F.max("ratio") >= REMOVE).alias("removed")))
 
 
