@@ -201,6 +201,8 @@ def test_lm_gradient_and_total_probability():
             down[name][at] -= step
             slope = (lm.forward(up, bias, tokens, target)[0].sum(dtype=float) - lm.forward(down, bias, tokens, target)[0].sum(dtype=float)) / (2 * step)
             assert abs(slope - g[name][at]) < 0.05 * abs(slope) + 0.05
+    for start in (0, 16):
+        assert np.allclose(lm.Scorer(model, bias).log_p(tokens, target, start), log_p[:, start:], atol=1e-3)
     first = np.tile(tokens[:1, :1], (1, lm.WIDTH))
     every = np.arange(lm.SPACE_OF_IDS)
     total = 0.0
