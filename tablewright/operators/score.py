@@ -95,7 +95,9 @@ def assignment(weights) -> list[tuple[int, int]]:
 def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str], most: int = 400) -> DataFrame:
     """(column, matched) with repeated keys: equal rows are paired first, the rest of a key by best assignment.
 
-    Only what is left of a key after exact pairs reaches Python, at most `most` rows a side; a larger rest is an error.
+    Where one row of a side is left, its best partner is an aggregate over as many pairs as
+    the other side has rows.  Only keys with several rows left on both sides reach Python, at
+    most `most` rows a side; a larger rest is an error.
     """
     every = keys + [c for c in columns if c not in keys]
     rows = counts(gold, result, every)
@@ -103,6 +105,14 @@ def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str
     exact = exact.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), "n")
     left = rows.select(*every, F.explode(F.expr("filter(array(struct('g' as side, greatest(g - r, 0) as n), struct('r' as side, greatest(r - g, 0) as n)), x -> x.n > 0)")).alias("s")).select(*every, "s.side", "s.n")
     group = left.groupBy(*keys).agg(F.sum(F.when(F.col("side") == "g", F.col("n"))).alias("ng"), F.sum(F.when(F.col("side") == "r", F.col("n"))).alias("nr")).where("ng is not null and nr is not null")
+    single = left.join(group.where("least(ng, nr) = 1").select(*keys), keys, "left_semi")
+    a, b = single.where("side = 'g'").alias("a"), single.where("side = 'r'").alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    equal = F.array(*[(F.col(f"a.{c}") == F.col(f"b.{c}")).cast("int") for c in columns])
+    scored = a.join(b, same).select(*[F.col(f"a.{k}").alias(k) for k in keys], equal.alias("e"))
+    best = scored.groupBy(*keys).agg(F.max(F.struct(F.aggregate("e", F.lit(0), lambda x, y: x + y).alias("n"), F.col("e"))).alias("m"))
+    singles = best.agg(F.array(*[F.struct(F.lit(c).alias("column"), total(F.get("m.e", F.lit(i))).alias("n")) for i, c in enumerate(columns)]).alias("r")).select(F.inline("r"))
+    group = group.where("least(ng, nr) > 1")
     largest = group.agg(F.max(F.greatest("ng", "nr"))).first()[0] or 0
     if largest > most:
         raise ValueError(f"{largest} rows of one key remain to be paired; the limit is {most}")
@@ -118,7 +128,7 @@ def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str
         return pd.DataFrame({"column": columns, "n": hit.astype("int64")})
 
     rest = open_.groupBy(*keys).applyInPandas(pair, "column string, n long")
-    return exact.unionAll(rest).groupBy("column").agg(total(F.col("n")).alias("matched"))
+    return exact.unionAll(singles).unionAll(rest).groupBy("column").agg(total(F.col("n")).alias("matched"))
 
 
 def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
