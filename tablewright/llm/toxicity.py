@@ -32,6 +32,8 @@ from tablewright.llm.session import prepared, table
 from tablewright.llm.words import U64, chunks, mix, segment
 
 SAMPLE = 1500
+#: Documents whose gradient is worked out at once.
+PART = 200
 BITS = 18
 SPAN, THRESHOLD = 0.5, 0.3
 START_BIAS, RIDGE, STEPS = -7.0, 1e-3, 40
@@ -117,26 +119,29 @@ def potentials(index: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def fit(index: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights (the last is the bias of tag 1) and transitions, by accelerated gradient steps."""
-    size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
+    n = len(first) - 1
     w = np.zeros((1 << BITS) + 1)
     w[-1] = START_BIAS
     trans = np.zeros((2, 2))
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
+    # the gradient is a sum over documents: a few at a time, so the driver holds the work space of those only
+    parts = [(lo, min(lo + PART, n)) for lo in range(0, n, PART)]
     for step in range(1, steps + 1):
-        chain = Chain(potentials(index, w), first, trans)
-        log_p = chain.log_p_clean()
-        p1, p11, p10 = chain.marginals()
-        p_clean = np.exp(log_p)
-        # expected tags given the label less expected tags
-        factor = np.where(toxic == 1, p_clean / np.maximum(1 - p_clean, 1e-9), -1.0)
-        g = p1 * factor[doc]
-        gw = np.zeros(len(w))
-        for k in range(index.shape[1]):
-            gw[:-1] += np.bincount(index[:, k], g, minlength=len(w) - 1)
-        gw[-1] = g.sum()
-        gt = np.array([(p11 * factor[doc]).sum(), (p10 * factor[doc]).sum()])
-        grad = np.concatenate((gw, gt)) / len(size)
+        gw, gt = np.zeros(len(w)), np.zeros(2)
+        for lo, hi in parts:
+            tokens = index[first[lo] : first[hi]]
+            chain = Chain(potentials(tokens, w), first[lo : hi + 1] - first[lo], trans)
+            p_clean = np.exp(chain.log_p_clean())
+            p1, p11, p10 = chain.marginals()
+            # expected tags given the label less expected tags
+            factor = np.where(toxic[lo:hi] == 1, p_clean / np.maximum(1 - p_clean, 1e-9), -1.0)
+            each = np.repeat(factor, np.diff(first[lo : hi + 1]))
+            g = p1 * each
+            for k in range(index.shape[1]):
+                gw[:-1] += np.bincount(tokens[:, k], g, minlength=len(w) - 1)
+            gw[-1] += g.sum()
+            gt += (p11 * each).sum(), (p10 * each).sum()
+        grad = np.concatenate((gw, gt)) / n
         grad[: len(w) - 1] -= RIDGE * w[:-1] / 10
         m, v = 0.85 * m + 0.15 * grad, 0.97 * v + 0.03 * grad * grad
         move = 0.5 * (m / (1 - 0.85**step)) / (np.sqrt(v / (1 - 0.97**step)) + 1e-7) * min(1.0, 3 * (1 - step / (steps + 1)))
