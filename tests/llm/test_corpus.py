@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, duck
 from pyspark.sql import functions as F
@@ -348,3 +349,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert after.count() == before.count() and not any(s for r in after.collect() for s in true_spans(r.text or ""))
     before, after = seen[4]
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
+
+
+def id_windows(texts):
+    """Windows of the texts, and per text its ids between start and end id, as the tokenizer gives them."""
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    batches = list(lm._windows(path)([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]))
+    return [np.frombuffer(r, np.uint16) for b in batches for r in b.column("ids").to_pylist()], lm.place_table(path)
+
+
+def places_of(table, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return table.places(segment(raw, np.array([0, len(raw)])))[0]
+
+
+def test_lm_windows_reach_all_of_a_text():
+    text = "the " * 300 + "house of " * 300 + "zebra"
+    got, table = id_windows([text])
+    seen = set(np.concatenate(got).tolist())
+    assert set(places_of(table, text).tolist()) <= seen
