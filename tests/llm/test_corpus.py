@@ -359,6 +359,8 @@ def id_windows(texts):
 
 
 def places_of(table, text):
+    if not text:
+        return np.zeros(0, int)
     raw = np.frombuffer(text.encode(), np.uint8)
     return table.places(segment(raw, np.array([0, len(raw)])))[0]
 
@@ -368,3 +370,13 @@ def test_lm_windows_reach_all_of_a_text():
     got, table = id_windows([text])
     seen = set(np.concatenate(got).tolist())
     assert set(places_of(table, text).tolist()) <= seen
+
+
+def test_lm_windows_lose_no_id_and_no_end():
+    texts = ["x7Q" * 4000, "two words", None, "\u6f22\u5b57" * 300, " ".join(f"w{i}" for i in range(200)), "a " * 63]
+    got, table = id_windows(texts)
+    assert all(2 <= len(w) <= lm.WIDTH + 1 for w in got)
+    targets = np.concatenate([w[1:] for w in got]).tolist()
+    assert targets == [p for t in texts for p in [*places_of(table, t or "").tolist(), table.end]]
+    batch = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in got], pa.binary())], names=["ids"])
+    assert sum(b.column("n").to_numpy().sum() for b in lm._place_counts([batch.slice(1)])) == len(targets) - len(got[0]) + 1
