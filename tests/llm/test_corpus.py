@@ -380,3 +380,13 @@ def test_lm_windows_lose_no_id_and_no_end():
     assert targets == [p for t in texts for p in [*places_of(table, t or "").tolist(), table.end]]
     batch = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in got], pa.binary())], names=["ids"])
     assert sum(b.column("n").to_numpy().sum() for b in lm._place_counts([batch.slice(1)])) == len(targets) - len(got[0]) + 1
+
+
+def test_lm_rare_words_of_null_ids(spark, monkeypatch):
+    rows = [(None, "some rare words here here"), (None, "some rare words here here"), (None, "others"), (1, "some rare words here here"), (1, "others"), (2, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for hot in (lm.HOT, 2):
+        monkeypatch.setattr(lm, "HOT", hot)
+        got[hot] = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(df).collect())
+    assert got[2] == got[60_000] and len(got[2]) == len(rows)
