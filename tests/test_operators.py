@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.cells import f1, format_pattern, normal_cell, safe_name
 from tablewright.operators import cohort, constraints, delta, features, inject, profile, repair, score, splits
+from tablewright.plans import gates_queries
 
 
 def rows(df):
@@ -172,3 +173,9 @@ def test_empty_tables_do_not_fail(spark):
     assert one(delta.multiset(df, df)) == {"inserted_rows": 0, "deleted_rows": 0}
     assert splits.by_ratio(df, "k", 0.7, 0.1, "s").count() == 0
     assert one(profile.profile_table(df))["n_rows"] == 0
+
+
+def test_coverage_select_takes_all_of_lineitem(spark):
+    d = "/root/testdata/sf0.001"
+    assert gates_queries.errors(spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert rows(gates_queries.coverage_select(spark, d)) == rows(splits.coverage_select(gates_queries.errors(spark, d), "stay_id", 8, "s5"))
