@@ -92,12 +92,65 @@ def assignment(weights) -> list[tuple[int, int]]:
     return [(b, a) if flip else (a, b) for a, b in pairs]
 
 
-def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str], most: int = 400) -> DataFrame:
+def transport(weights, supply, demand):
+    """How often each row and column are paired, with the largest total weight and as many pairs as the smaller side has.
+
+    assignment() for rows and columns that occur supply and demand times: shortest augmenting paths,
+    each of which carries as much as it can.
+    """
+    import numpy as np
+
+    flip = supply.sum() > demand.sum()
+    cost = (-(weights.T if flip else weights)).astype(np.int64)
+    supply, demand = (x.astype(np.int64) for x in ((demand, supply) if flip else (supply, demand)))
+    n, m = cost.shape
+    flow, free, far = np.zeros((n, m), np.int64), demand.copy(), np.iinfo(np.int64).max // 4
+    # cost - u - v is 0 where rows and columns are paired and nowhere negative
+    v = np.zeros(m, np.int64)
+    u = cost.min(axis=1) if m else np.zeros(n, np.int64)
+    for i in range(n):
+        left = int(supply[i])
+        while left:
+            least, came, done = np.full(m, far), np.full(m, -1), np.zeros(m, bool)
+            at_row, from_col = np.full(n, far), np.full(n, -1)
+            at_row[i], fresh, at = 0, [i], 0
+            while True:
+                for r in fresh:
+                    reach = cost[r] - u[r] - v + at
+                    better = ~done & (reach < least)
+                    least[better], came[better] = reach[better], r
+                j = int(np.where(done, far, least).argmin())
+                at, done[j] = int(least[j]), True
+                if free[j]:
+                    break
+                fresh = np.flatnonzero((flow[:, j] > 0) & (at_row == far))
+                at_row[fresh], from_col[fresh] = at, j
+            seen = at_row < far
+            u[seen] += at - at_row[seen]
+            v[done] -= at - least[done]
+            path, amount, col = [], min(left, int(free[j])), j
+            while True:
+                r = int(came[col])
+                path.append((r, col))
+                if r == i:
+                    break
+                col = int(from_col[r])
+                amount = min(amount, int(flow[r, col]))
+            for k, (r, c) in enumerate(path):
+                flow[r, c] += amount
+                if k + 1 < len(path):
+                    flow[r, from_col[r]] -= amount
+            free[j] -= amount
+            left -= amount
+    return flow.T if flip else flow
+
+
+def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(column, matched) with repeated keys: equal rows are paired first, the rest of a key by best assignment.
 
     Where one row of a side is left, its best partner is an aggregate over as many pairs as
-    the other side has rows.  Only keys with several rows left on both sides reach Python, at
-    most `most` rows a side; a larger rest is an error.
+    the other side has rows.  Only keys with several rows left on both sides reach Python, as
+    distinct rows and how often each is left; work and memory grow with the distinct rows of one key.
     """
     every = keys + [c for c in columns if c not in keys]
     rows = counts(gold, result, every)
@@ -113,18 +166,19 @@ def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str
     best = scored.groupBy(*keys).agg(F.max(F.struct(F.aggregate("e", F.lit(0), lambda x, y: x + y).alias("n"), F.col("e"))).alias("m"))
     singles = best.agg(F.array(*[F.struct(F.lit(c).alias("column"), total(F.get("m.e", F.lit(i))).alias("n")) for i, c in enumerate(columns)]).alias("r")).select(F.inline("r"))
     group = group.where("least(ng, nr) > 1")
-    largest = group.agg(F.max(F.greatest("ng", "nr"))).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"{largest} rows of one key remain to be paired; the limit is {most}")
     open_ = left.join(group.select(*keys), keys, "left_semi")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        side = {k: pdf[pdf.side == k].loc[lambda x: x.index.repeat(x.n)][columns].to_numpy() for k in ("g", "r")}
-        equal = side["g"][:, None, :] == side["r"][None, :, :]
-        pairs = assignment(equal.sum(axis=2))
-        hit = np.sum([equal[i, j] for i, j in pairs], axis=0) if pairs else np.zeros(len(columns), int)
+        g, r = (pdf[pdf.side == k].groupby(columns, as_index=False, dropna=False, sort=True).n.sum() for k in ("g", "r"))
+        equal = lambda c: g[c].to_numpy()[:, None] == r[c].to_numpy()[None, :]
+        weights = np.zeros((len(g), len(r)), np.int64)
+        for c in columns:
+            weights += equal(c)
+        flow = transport(weights, g.n.to_numpy(), r.n.to_numpy())
+        i, j = flow.nonzero()
+        hit = np.array([int((flow[i, j] * (g[c].to_numpy()[i] == r[c].to_numpy()[j])).sum()) for c in columns])
         return pd.DataFrame({"column": columns, "n": hit.astype("int64")})
 
     rest = open_.groupBy(*keys).applyInPandas(pair, "column string, n long")

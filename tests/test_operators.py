@@ -179,3 +179,20 @@ def test_coverage_select_takes_all_of_lineitem(spark):
     d = "/root/testdata/sf0.001"
     assert gates_queries.errors(spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
     assert rows(gates_queries.coverage_select(spark, d)) == rows(splits.coverage_select(gates_queries.errors(spark, d), "stay_id", 8, "s5"))
+
+
+def test_transport_against_assignment():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        n, m = map(int, rng.integers(1, 6, 2))
+        w, a, b = rng.integers(0, 4, (n, m)), rng.integers(1, 5, n), rng.integers(1, 5, m)
+        flow = score.transport(w, a, b)
+        whole = np.repeat(np.repeat(w, a, axis=0), b, axis=1)
+        assert (flow >= 0).all() and (flow.sum(axis=1) <= a).all() and (flow.sum(axis=0) <= b).all() and flow.sum() == min(a.sum(), b.sum())
+        assert (flow * w).sum() == sum(whole[i, j] for i, j in score.assignment(whole))
+
+
+def test_score_hot_key_is_paired(spark):
+    gold = spark.range(1500).select(F.lit(1).alias("k"), F.concat(F.lit("a"), (F.col("id") % 30).cast("string")).alias("x"), F.concat(F.lit("g"), (F.col("id") % 20).cast("string")).alias("y"))
+    result = gold.select("k", "x", F.concat(F.lit("r"), F.col("y")).alias("y"))
+    assert dict(rows(score.cells(gold, result, ["k"], ["k", "x", "y"]))) == {"k": 1500, "x": 1500, "y": 0}
