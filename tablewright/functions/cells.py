@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that count as an empty cell in scoring.
@@ -72,3 +72,13 @@ def f1(matched: Column, result: Column, reference: Column) -> Column:
     """2 m / (result + reference); 1 where both sides are empty."""
     both = (result + reference).cast("double")
     return F.when(both == 0, 1.0).otherwise(F.round(2 * matched.cast("double") / both, 6))
+
+
+def first_by_digest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the one with the smallest digest, however the rows are dealt; keys are counted before rows move."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    digest = F.xxhash64(*[F.col(c).cast("string") for c in rest])
+    row = F.struct(digest.alias("digest"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(rest)])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), row).alias("_row")).select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])

@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.cells import first_by_digest
+from tablewright.sources.lineage import cut
+
 #: The cohort's columns in order.
 COHORT_COLUMNS = ("subject_id", "stay_id", "intime", "outtime", "Age", "gender", "ethnicity", "insurance", "label", "dod", "hadm_id")
 
 
 def cohort_contract(base: DataFrame) -> DataFrame:
-    """Adults with the contracted columns, one row for each stay."""
-    return base.where("Age >= 18 and stay_id is not null and label in (0, 1)").select(*COHORT_COLUMNS).dropDuplicates(["stay_id"])
+    """Adults with the contracted columns, one row for each stay: of several the one with the smallest digest."""
+    return first_by_digest(base.where("Age >= 18 and stay_id is not null and label in (0, 1)").select(*COHORT_COLUMNS), ["stay_id"])
 
 
 def bucket_events(events: DataFrame, stays: DataFrame, key: str, hours: int = 72, width: int = 1) -> DataFrame:
@@ -49,7 +52,8 @@ def vocabulary(df: DataFrame, column: str) -> DataFrame:
     range's first place is the count of values in the ranges before it.
     """
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    ranged = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("_at", F.monotonically_increasing_id())
+    # cut once: planned again, the ranges would be sampled anew and their sizes belong to others
+    ranged = cut(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
     # one row a partition: as many rows as tasks, ordered on the driver

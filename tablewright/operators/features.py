@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.cells import clean_code, code_prefix, is_missing, safe_name
+from tablewright.functions.cells import clean_code, code_prefix, first_by_digest, is_missing, safe_name
 
 
 def semi_scan(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -107,14 +107,14 @@ def empty_features(cohort: DataFrame, key: str) -> DataFrame:
 def assemble(cohort: DataFrame, features: list[DataFrame], grain: str) -> DataFrame:
     """The cohort with each feature table joined left on the grain; overlapping columns stay the cohort's.
 
-    Feature tables have one row a grain key already, or are cut to the one with the smallest digest.
+    Of several rows of a grain key the one with the smallest digest is taken, whatever the partitioning.
     """
-    out = cohort.dropDuplicates([grain])
+    out = first_by_digest(cohort, [grain])
     for f in features:
         if grain not in f.columns:
             continue
         fresh = [c for c in f.columns if c == grain or c not in out.columns]
-        out = out.join(f.select(*fresh).dropDuplicates([grain]), grain, "left")
+        out = out.join(first_by_digest(f.select(*fresh), [grain]), grain, "left")
     return out
 
 

@@ -83,9 +83,9 @@ def profile_by_group(df: DataFrame, keys: list[str], values: list[str], most: in
 
 
 def inspect(df: DataFrame, most: int = 80, distinct: int = 2000) -> DataFrame:
-    """Missing cells and capped distinct counts of up to so many columns, in one pass."""
+    """Missing cells and capped distinct counts of up to so many columns, in one pass; whole values are told apart."""
     cells = long_cells(df, df.columns[:most])
-    value = F.when(~is_missing(F.col("value")), F.substring("value", 1, 500))
+    value = F.when(~is_missing(F.col("value")), F.col("value"))
     out = cells.groupBy("column").agg(F.count("*").alias("n_rows"), F.count(F.when(value.isNull(), 1)).alias("missing"), F.count_distinct(value).alias("_d"))
     return out.select("column", "n_rows", "missing", rate(F.col("missing"), F.col("n_rows")).alias("missing_rate"), F.least(F.col("_d"), F.lit(distinct)).alias("distinct_values"), (F.col("_d") > distinct).alias("capped"))
 

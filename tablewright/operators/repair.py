@@ -44,23 +44,23 @@ def status(log: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def metrics(scored: DataFrame, *by: str) -> DataFrame:
-    """Totals, recall and deletion rate of inserted rows, for all errors or by class and subtype."""
+    """Totals, recall and deletion rate of inserted rows, for all errors or by class and subtype; a share of nothing is 1."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     s = lambda name: F.col("status") == name
-    share = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 6)
+    share = lambda a, b: F.when(b == 0, 1.0).otherwise(F.round(a / F.greatest(b, F.lit(1)), 6))
     inserted = F.col("clean_hash").isNull()
     frame = scored.groupBy(*by) if by else scored.groupBy()
     return frame.agg(F.count("*").alias("errors"), n(s("exact")).alias("exact"), n(s("missed")).alias("missed"), n(s("incorrect")).alias("incorrect"), share(n(s("exact")), F.count("*")).alias("recall"), share(n(inserted & s("exact")), n(inserted)).alias("inserted_deletion_rate"))
 
 
 def preservation(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Unaffected clean rows kept and lost, invented rows, and the collateral total."""
+    """Unaffected clean rows kept and lost, invented rows, and the collateral total; of no rows all are kept."""
     affected = log.where("clean_hash is not null").select("path", F.col("clean_hash").alias("hash")).distinct().withColumn("hit", F.lit(True))
     at = rows.join(affected, ["path", "hash"], "left").withColumn("free", F.col("hit").isNull())
     t = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     free = lambda c: t(F.when(F.col("free"), c))
     out = at.agg(free(F.col("clean")).alias("unaffected"), free(F.least("clean", "result")).alias("kept"), free(F.greatest(F.col("clean") - F.col("result"), F.lit(0))).alias("lost"), t(F.greatest(F.col("result") - F.greatest("clean", "dirty"), F.lit(0))).alias("invented"))
-    return out.withColumn("collateral", F.col("lost") + F.col("invented")).withColumn("preservation_rate", F.round(F.col("kept") / F.greatest(F.col("unaffected"), F.lit(1)), 6))
+    return out.withColumn("collateral", F.col("lost") + F.col("invented")).withColumn("preservation_rate", F.when(F.col("unaffected") == 0, 1.0).otherwise(F.round(F.col("kept") / F.greatest(F.col("unaffected"), F.lit(1)), 6)))
 
 
 def quality(scored: DataFrame, kept: DataFrame) -> DataFrame:

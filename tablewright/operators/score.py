@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.cells import f1, normal_cell
+from tablewright.functions.cells import f1, first_by_digest, normal_cell
 
 #: Weights of the four parts of a file's score.
 PART_WEIGHTS = {"schema": 0.10, "key": 0.20, "cell": 0.40, "exact": 0.30}
@@ -315,9 +315,12 @@ def recall_targets(gold: DataFrame, result: DataFrame, keys: list[str], columns:
 
 
 def unique_recall(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(column, cells, matched, recall): non-empty gold cells found under their key in the result."""
+    """(column, cells, matched, recall): non-empty gold cells found under their key in the result.
+
+    Where a key comes several times in the result, its row with the smallest digest is the one compared.
+    """
     both = keys + columns
-    a, b = normal(gold, both).alias("a"), normal(result, both).dropDuplicates(keys).alias("b")
+    a, b = normal(gold, both).alias("a"), first_by_digest(normal(result, both), keys).alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
     there = lambda c: (F.col(f"a.{c}") != "").cast("int")
     hit = lambda c: ((F.col(f"a.{c}") != "") & F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))).cast("int")

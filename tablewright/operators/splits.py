@@ -13,6 +13,11 @@ def order_key(seed: str, key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
 
 
+def one_stratum(df: DataFrame, key: str, stratum: str | None) -> DataFrame:
+    """Each key once, in the smallest of its strata."""
+    return df.groupBy(key).agg(F.min(stratum).alias(stratum)) if stratum and stratum != key else df.select(key).distinct()
+
+
 def placed(df: DataFrame, key: str, stratum: str | None, seed: str, bins: int = 256) -> DataFrame:
     """df with _i, the row's place (from 1) in its stratum by digest, and _n, the stratum's size.
 
@@ -30,7 +35,7 @@ def placed(df: DataFrame, key: str, stratum: str | None, seed: str, bins: int =
 
 def by_ratio(df: DataFrame, key: str, train: float, validation: float, seed: str, stratum: str | None = None) -> DataFrame:
     """(key, split): rounded shares of each stratum, at least one of train and validation where it has three rows or more."""
-    at = placed(df.select(key, *([stratum] if stratum else [])).dropDuplicates([key]), key, stratum, seed)
+    at = placed(one_stratum(df, key, stratum), key, stratum, seed)
     n = F.col("_n")
     n_train = F.when(n >= 3, F.greatest(F.floor(n * train + 0.5), F.lit(1))).otherwise(1)
     n_val = F.when(n >= 3, F.greatest(F.floor(n * validation + 0.5), F.lit(1))).when(n == 2, 1).otherwise(0)
@@ -47,7 +52,7 @@ def quotas(sizes: DataFrame, count: int) -> DataFrame:
 
 def by_count(df: DataFrame, key: str, train: int, validation: int, test: int | None, seed: str, stratum: str | None = None) -> DataFrame:
     """(key, split): so many keys each, shared among strata by largest remainder; test None takes the rest."""
-    at = placed(df.select(key, *([stratum] if stratum else [])).dropDuplicates([key]), key, stratum, seed)
+    at = placed(one_stratum(df, key, stratum), key, stratum, seed)
     sizes = at.groupBy("_s").agg(F.count("*").alias("n"))
     a = quotas(sizes, train).withColumnRenamed("quota", "qa")
     rest = sizes.join(a, "_s").select("_s", (F.col("n") - F.col("qa")).alias("n"))

@@ -175,10 +175,10 @@ EVAL = f"""p AS (SELECT p_partkey AS k, p_name AS n, p_size AS s FROM part),
   CASE k % 11 WHEN 0 THEN {hash_sql(size='999')} WHEN 1 THEN {hash_sql(name="''")} ELSE {hash_sql(key='(k + 1000000)')} END AS dirty_hash FROM p WHERE k % 11 < 3),
   st AS (SELECT lg.*, CASE WHEN coalesce(y.r, 0) = coalesce(y.c, 0) AND (clean_hash IS NULL OR coalesce(x.r, 0) = coalesce(x.c, 0)) THEN 'exact' WHEN coalesce(y.r, 0) = coalesce(y.d, 0) AND (clean_hash IS NULL OR coalesce(x.r, 0) = coalesce(x.d, 0)) THEN 'missed' ELSE 'incorrect' END AS status
   FROM lg LEFT JOIN m x ON x.h = clean_hash LEFT JOIN m y ON y.h = dirty_hash)"""
-METRICS = """count(*) AS errors, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'missed') AS missed, count(*) FILTER (status = 'incorrect') AS incorrect, round(count(*) FILTER (status = 'exact') / greatest(count(*), 1), 6) AS recall,
-  round(count(*) FILTER (status = 'exact' AND clean_hash IS NULL) / greatest(count(*) FILTER (clean_hash IS NULL), 1), 6) AS inserted_deletion_rate"""
+METRICS = """count(*) AS errors, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'missed') AS missed, count(*) FILTER (status = 'incorrect') AS incorrect, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count(*) FILTER (status = 'exact') / greatest(count(*), 1), 6) END AS recall,
+  CASE WHEN count(*) FILTER (clean_hash IS NULL) = 0 THEN 1.0 ELSE round(count(*) FILTER (status = 'exact' AND clean_hash IS NULL) / greatest(count(*) FILTER (clean_hash IS NULL), 1), 6) END AS inserted_deletion_rate"""
 KEPT = """k AS (SELECT coalesce(sum(c) FILTER (f), 0)::BIGINT AS unaffected, coalesce(sum(least(c, r)) FILTER (f), 0)::BIGINT AS kept, coalesce(sum(greatest(c - r, 0)) FILTER (f), 0)::BIGINT AS lost, sum(greatest(r - greatest(c, d), 0))::BIGINT AS invented
-  FROM (SELECT *, h NOT IN (SELECT clean_hash FROM lg WHERE clean_hash IS NOT NULL) AS f FROM m)), kept_ AS (SELECT *, lost + invented AS collateral, round(kept / greatest(unaffected, 1), 6) AS preservation_rate FROM k)"""
+  FROM (SELECT *, h NOT IN (SELECT clean_hash FROM lg WHERE clean_hash IS NOT NULL) AS f FROM m)), kept_ AS (SELECT *, lost + invented AS collateral, CASE WHEN unaffected = 0 THEN 1.0 ELSE round(kept / greatest(unaffected, 1), 6) END AS preservation_rate FROM k)"""
 
 
 def counted(spark, d):
