@@ -87,47 +87,47 @@ def context(stays: DataFrame) -> DataFrame:
     return stays.select(F.col("stay_id").cast("string").alias("_stay"), F.col("intime").cast("string").alias("_intime"), F.col("outtime").cast("string").alias("_outtime"), other.cast("string").alias("_other_hadm"), label.alias("_label"))
 
 
+LOG = "source_error_id long, _stay string, _row_index long, error_subtype string, operation string, column string, clean_value string, dirty_value string"
+_ENTRY = "struct<source_error_id:bigint,error_subtype:string,operation:string,column:string,clean_value:string,dirty_value:string>"
+
+
 def inject(name: str, rows: DataFrame, stays: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dirty table, log) of a table of texts with _row_index; requests have source_error_id, canonical_stay_id, error_class and error_subtype.
 
-    Requests of one row apply in id order, so a later one sees the earlier one's value.
+    Requests of one row apply in id order, so a later one sees the earlier one's value: a row's
+    requests are folded into its new cells, its log entries and the rows it adds, whatever their number.
     """
     # a subtype whose column the table lacks finds no row, and its requests stay unresolved
     own = [s for s, (t, c, kind) in SUBTYPES.items() if t == name and (kind == "insert" or c in rows.columns)]
     mine = requests.where(F.col("error_subtype").isin(own))
     hit = targets(rows, stays, mine).join(context(stays), "_stay", "left")
-    at = rows.join(hit, "_row_index", "left")
     columns = [c for c in rows.columns if c != "_row_index"]
-    wide = at
-    logs = []
-    # each subtype is one step, in name order of its requests' ids within the row
-    ordered = hit.select("_row_index", F.posexplode("requests").alias("_n", "_r")).select("_row_index", "_n", "_r.*")
-    deepest = ordered.agg(F.max("_n")).first()[0]
-    inserts = []
-    for n in range(0 if deepest is None else deepest + 1):
-        now = F.get(F.col("requests"), F.lit(n))
-        before = wide
-        for subtype in own:
-            _, column, kind = SUBTYPES[subtype]
-            is_now = now["error_subtype"] == subtype
-            if kind == "insert":
-                copy = before.where(is_now)
-                if subtype == "label_leakage_feature":
-                    changed = {"itemid": "999001", "valuenum": F.col("_label")}
-                    copy = copy.withColumns({c: (F.lit(v) if isinstance(v, str) else v) for c, v in changed.items() if c in columns})
-                inserts.append(copy.select("_row_index", *columns))
-                logs.append(copy.select(now["source_error_id"].alias("source_error_id"), "_stay", "_row_index", F.lit(subtype).alias("error_subtype"), F.lit("insert").alias("operation"), F.lit(column).alias("column"), F.lit(None).cast("string").alias("clean_value"), F.lit(None).cast("string").alias("dirty_value")))
-            else:
-                new = dirty_value(subtype, F.col(column))
-                logs.append(before.where(is_now).select(now["source_error_id"].alias("source_error_id"), "_stay", "_row_index", F.lit(subtype).alias("error_subtype"), F.lit("update").alias("operation"), F.lit(column).alias("column"), F.col(column).alias("clean_value"), new.alias("dirty_value")))
-                wide = wide.withColumn(column, F.when(is_now, new).otherwise(F.col(column)))
-    dirty = wide.select("_row_index", *columns)
-    if inserts:
-        dirty = reduce(DataFrame.unionByName, inserts, dirty)
-    empty = "source_error_id long, _stay string, _row_index long, error_subtype string, operation string, column string, clean_value string, dirty_value string"
-    log = reduce(DataFrame.unionByName, logs) if logs else rows.sparkSession.createDataFrame([], empty)
-    log = log.withColumn("raw_file", F.lit(name)).join(requests.select("source_error_id", "error_class"), "source_error_id")
-    return dirty, log
+    kind_of = dict(rows.dtypes)
+    cells = f"struct<{','.join(f'`{c}`:{kind_of[c]}' for c in columns)}>"
+    state = f"struct<now:{cells},entries:array<{_ENTRY}>,added:array<{cells}>>"
+    pick = lambda subtype, cases, other: reduce(lambda acc, x: F.when(subtype == x[0], x[1]).otherwise(acc), cases, other)
+    nothing = F.lit(None).cast("string")
+
+    def step(acc: Column, r: Column) -> Column:
+        now, subtype = acc["now"], r["error_subtype"]
+        updates = [(s, SUBTYPES[s][1], dirty_value(s, now[SUBTYPES[s][1]])) for s in own if SUBTYPES[s][2] == "update"]
+        new = [pick(subtype, [(s, v.cast(kind_of[c])) for s, of, v in updates if of == c], now[c]).alias(c) for c in columns]
+        leak = {"itemid": F.lit("999001"), "valuenum": F.col("_label")}
+        copy = [F.when(subtype == "label_leakage_feature", leak[c].cast(kind_of[c])).otherwise(now[c]).alias(c) if c in leak else now[c].alias(c) for c in columns]
+        entry = F.struct(
+            r["source_error_id"].alias("source_error_id"), subtype.alias("error_subtype"), pick(subtype, [(s, F.lit(SUBTYPES[s][2])) for s in own], nothing).alias("operation"), pick(subtype, [(s, F.lit(SUBTYPES[s][1])) for s in own], nothing).alias("column"),
+            pick(subtype, [(s, now[c].cast("string")) for s, c, _ in updates], nothing).alias("clean_value"), pick(subtype, [(s, v.cast("string")) for s, _, v in updates], nothing).alias("dirty_value"),
+        )
+        inserts = [s for s in own if SUBTYPES[s][2] == "insert"]
+        added = F.when(subtype.isin(inserts), F.concat(acc["added"], F.array(F.struct(*copy)))).otherwise(acc["added"]) if inserts else acc["added"]
+        return F.struct(F.struct(*new).alias("now"), F.concat(acc["entries"], F.array(entry)).alias("entries"), added.alias("added")).cast(state)
+
+    begin = F.struct(F.struct(*[F.col(c) for c in columns]).alias("now"), F.array().alias("entries"), F.array().alias("added")).cast(state)
+    at = rows.join(hit, "_row_index", "left").withColumn("_done", F.when(F.col("requests").isNotNull(), F.aggregate("requests", begin, step)))
+    kept = at.select("_row_index", *[F.coalesce(F.col("_done.now").getField(c), F.when(F.col("_done").isNull(), F.col(c))).alias(c) for c in columns])
+    dirty = kept.unionByName(at.select("_row_index", F.inline("_done.added"))) if any(SUBTYPES[s][2] == "insert" for s in own) else kept
+    log = at.where("_done is not null").select("_stay", "_row_index", F.inline("_done.entries")).select(*[x.split()[0] for x in LOG.split(", ")])
+    return dirty, log.withColumn("raw_file", F.lit(name)).join(requests.select("source_error_id", "error_class"), "source_error_id")
 
 
 def unresolved(requests: DataFrame, log: DataFrame) -> DataFrame:
