@@ -12,15 +12,23 @@ agree in a register with a probability that grows with their Jaccard similarity.
    every band with a probability under 1e-10.
 4. Pivots: in each band bucket all members are compared with one member, so the
    pairs are as many as the rows.  A pair whose joint register likelihood rules out
-   the threshold goes; the others are verified on full shingle sets.
-5. Rest: buckets whose members are not yet one component are compared whole, in
-   blocks of bounded size, by exact intersections inside a task; a block pair
-   returns a spanning forest of its links.  No pair of such a bucket is left out.
+   the threshold goes by its registers alone; only for the others are shingle sets
+   fetched and compared.  A pivot's body travels once for STAR members, not once a pair.
+5. Rest: members of a bucket that are in different components after that meet in
+   groups, in which pairs within a component are never compared and a pair is
+   compared only if it shares one of its rarest shingles (two sets at 0.75 share one
+   of the first n - ceil(0.75 n) + 1 in order of rarity).  Buckets whose pivots are in one
+   component form one group, so a document comes once and not once a bucket, unless
+   going bucket by bucket moves fewer rows.  Groups over BLOCK documents are split: the members
+   outside the largest component, in blocks, meet each other and the blocks of the
+   largest component, which are never compared among themselves.
 6. Components by repeated contraction of the link graph.
 
 Defined results: null or empty text, or text without words: set size 0, linked
-with nothing.  Rows that share a doc_id count as one document.  A null doc_id
-takes no part in links: its component_id is null and it is kept.
+with nothing.  Rows that share a doc_id are one document: whatever one of its texts
+is linked with, all are linked with; each row comes back with its own n_shingles and
+the common component_id.  A null doc_id takes no part in links: its component_id is
+null and it is kept.  An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.session import cut, prepared, table
+from tablewright.llm.session import cut, prepared, small, table
 from tablewright.llm.words import U64, binaries, chunks, mix, segment, string_lists
 
 SHINGLE = 5
@@ -42,8 +50,10 @@ SCALE, OFFSET = 1.02, 200.0
 NUM, DEN = 75, 100
 #: A pair is ruled out when the threshold is this many log-likelihood units under the best similarity (six sigma).
 RULED_OUT = 18.0
-#: A block of an open bucket holds about so many documents, and so many shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: A pivot's body travels once for about so many members of its buckets, and so many shingles.
+STAR, STAR_SHINGLES = 1024, 1_000_000
+#: A block of an open group holds about so many documents, and so many shingles.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 
 
 def shingles(words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +143,12 @@ def _sketch(batches):
 
 
 def _buckets(batches):
-    """(node, bands) from registers."""
+    """(node, n, bands) from registers."""
     for batch in batches:
         reg = np.frombuffer(b"".join(batch.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         with np.errstate(over="ignore"):
             keys = band_keys(reg)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), string_lists(keys.view(np.int64).reshape(-1), np.full(len(reg), BANDS), pa.int64())], names=["node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), string_lists(keys.view(np.int64).reshape(-1), np.full(len(reg), BANDS), pa.int64())], names=["node", "n", "bands"])
 
 
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, reg binary"
@@ -178,62 +188,98 @@ def possible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (at >= NUM / DEN) | (best - edge < RULED_OUT)
 
 
-def _pairs(batches):
-    """Links among candidate pairs: first by likelihood, then on full sets."""
-    for batch in batches:
-        ra = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("reg_a")]) if batch.num_rows else np.zeros((0, REGISTERS), np.uint16)
-        rb = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("reg_b")]) if batch.num_rows else ra
-        na, nb = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-        keep = np.flatnonzero(possible(ra, rb, na, nb))
-        batch = batch.take(pa.array(keep))
-        linked = np.zeros(len(keep), dtype=bool)
-        sides = []
-        for side in ("a", "b"):
-            sets: list[np.ndarray] = []
-            for _, _, raw, offsets in chunks(batch.column(f"text_{side}")):
+def _sets(batches):
+    """(node, body): each document's sorted shingle hashes as bytes."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for a, b, raw, offsets in chunks(batch.column("text")):
                 flat, counts = shingles(segment(raw, offsets))
-                sets += np.split(flat, np.cumsum(counts)[:-1])
-            sides.append(sets)
-        for i, (x, y) in enumerate(zip(*sides)):
-            both = np.concatenate((x, y))
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            linked[i] = DEN * shared >= NUM * (len(x) + len(y) - shared)
-        hit = batch.filter(pa.array(linked))
-        yield pa.RecordBatch.from_arrays([hit.column("a"), hit.column("b")], names=["a", "b"])
+                bodies = [s.tobytes() for s in np.split(flat, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), binaries(bodies)], names=["node", "body"])
+
+
+def _alike(pivot: list[bytes], body: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether registers leave a pair of each row possible."""
+    ra, rb = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (pivot, body))
+    return possible(ra, rb, na.astype(float), nb.astype(float))
+
+
+def _linked(pivot: list[bytes], body: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the pair of each row is linked, on full sets."""
+    out = np.zeros(len(body), dtype=bool)
+    for i, (x, y) in enumerate(zip(pivot, body)):
+        both = np.concatenate((np.frombuffer(x, U64), np.frombuffer(y, U64)))
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        out[i] = DEN * shared >= NUM * (na[i] + nb[i] - shared)
+    return out
+
+
+def _stars(test):
+    """Pairs (a, b, n_b) that pass the test, from rows in order of (a, part, side): the pivot, then its members."""
+
+    def run(batches):
+        held: list[tuple[int, int, bytes]] = []  # the pivot's texts so far: mostly one
+        for batch in batches:
+            a, side, node, n = (batch.column(c).to_numpy() for c in ("a", "side", "node", "n"))
+            body = batch.column("body").to_pylist()
+            left: list[tuple[int, int, bytes]] = []
+            right = []
+            for i in range(len(a)):
+                if side[i] == 0:
+                    if held and held[0][0] != a[i] or i and side[i - 1] == 1:
+                        held = []
+                    held.append((int(a[i]), int(n[i]), body[i]))
+                elif held and held[0][0] == a[i]:
+                    left += held
+                    right += [i] * len(held)
+            if not right:
+                continue
+            at = np.array(right)
+            na = np.array([x[1] for x in left])
+            ok = test([x[2] for x in left], [body[i] for i in right], na, n[at])
+            at = at[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(node[at]), pa.array(n[at])], names=["a", "b", "n_b"])
+
+    return run
+
+
+def _tested(pairs: DataFrame, bodies: DataFrame, test) -> DataFrame:
+    """The pairs (a pivot, b) that pass the test on their bodies; bodies: node, n, body.
+
+    Pivots may be hot, so their members are dealt to parts of bounded size and the pivot's body to each part once.
+    """
+    size = pairs.groupBy("a").agg(F.count("*").alias("rows"), F.sum("n_b").alias("n_all"))
+    parts = F.greatest(F.ceil(F.col("rows") / STAR), F.ceil(F.col("n_all") / STAR_SHINGLES)).cast("long")
+    size = size.select("a", parts.alias("parts"))
+    member = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"))
+    member = member.join(bodies, "node").select("a", "part", F.lit(1).alias("side"), "node", "n", "body")
+    pivot = size.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("node", F.col("a"))
+    pivot = pivot.join(bodies, "node").select("a", "part", F.lit(0).alias("side"), "node", "n", "body")
+    rows = pivot.unionAll(member).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return rows.mapInArrow(_stars(test), "a long, b long, n_b long")
 
 
 def _block(table_: pa.Table) -> pa.Table:
-    """A spanning forest of the links between the members of two blocks of one bucket, on full sets."""
-    side = table_.column("side").to_numpy()
-    nodes, comps = table_.column("node").to_numpy(), table_.column("comp").to_numpy()
+    """A spanning forest of the links between components (a, b), among members of two blocks of a group, on full sets.
+
+    Shingles are ranked by rarity in the group; a member meets those that have one of its rarest in theirs.
+    """
+    comps, side = (table_.column(c).to_numpy() for c in ("comp", "side"))
     same_block = bool(table_.column("same_block")[0].as_py())
-    sets: list[np.ndarray] = []
-    for _, _, raw, offsets in chunks(table_.column("text")):
-        flat, counts = shingles(segment(raw, offsets))
-        sets += np.split(flat, np.cumsum(counts)[:-1])
-    left = np.flatnonzero(side == 0)
-    right = left if same_block else np.flatnonzero(side == 1)
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not len(left) or not len(right):
-        return empty
-    sizes = np.array([len(s) for s in sets])
-    width = max(1, 8_000_000 // (len(left) + len(right)))
-    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = [np.frombuffer(x, U64) for x in table_.column("body").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    code = rank[code]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    for at in range(0, len(every), width):  # a slice of the shingles at a time, so memory stays bounded
-        def incidence(rows):
-            m = np.zeros((len(rows), min(width, len(every) - at)), dtype=np.float32)
-            for i, r in enumerate(rows):
-                c = code[bounds[r] : bounds[r + 1]] - at
-                m[i, c[(c >= 0) & (c < m.shape[1])]] = 1
-            return m
-
-        x = incidence(left)
-        shared += x @ (x if same_block else incidence(right)).T
-    union = sizes[left][:, None] + sizes[right][None, :] - shared
-    ok = (DEN * shared >= NUM * union) & (comps[left][:, None] != comps[right][None, :])
+    code = [np.sort(code[bounds[i] : bounds[i + 1]]) for i in range(len(sets))]
+    lead = sizes - -(-NUM * sizes // DEN) + 1
+    leads = np.concatenate([c[:k] for c, k in zip(code, lead)])
+    owner = np.repeat(np.arange(len(sets)), lead)
+    order = np.argsort(leads, kind="stable")
+    owner, begin = owner[order], np.searchsorted(leads[order], np.arange(len(times) + 1))
     parent: dict[int, int] = {}
 
     def root(c):
@@ -243,12 +289,26 @@ def _block(table_: pa.Table) -> pa.Table:
         return c
 
     a, b = [], []
-    for i, j in zip(*np.nonzero(ok)):
-        x, y = root(comps[left[i]]), root(comps[right[j]])
-        if x != y:
-            parent[x] = y
-            a.append(nodes[left[i]])
-            b.append(nodes[right[j]])
+    mark = np.zeros(len(times), dtype=bool)
+    for i in np.flatnonzero(side == 0).tolist():
+        met = [owner[begin[c] : begin[c + 1]] for c in code[i][: lead[i]].tolist()]
+        other = np.unique(np.concatenate(met))
+        other = other[other > i] if same_block else other[side[other] == 1]
+        other = other[(comps[other] != comps[i]) & (DEN * np.minimum(sizes[other], sizes[i]) >= NUM * np.maximum(sizes[other], sizes[i]))]
+        if not len(other):
+            continue
+        mark[code[i]] = True
+        for at in range(0, len(other), 256):
+            some = other[at : at + 256]
+            start = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+            shared = np.add.reduceat(mark[np.concatenate([code[j] for j in some])], start, dtype=np.int64)
+            for j in some[DEN * shared >= NUM * (sizes[i] + sizes[some] - shared)].tolist():
+                x, y = root(int(comps[i])), root(int(comps[j]))
+                if x != y:
+                    parent[x] = y
+                    a.append(comps[i])
+                    b.append(comps[j])
+        mark[code[i]] = False
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -256,60 +316,99 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node reachable, for every node with a link.
 
     Each round every node moves to its smallest neighbour and the graph is contracted
-    along these moves; the edge list shrinks until none is left.
+    along these moves; the edge list shrinks until none is left.  The moves are followed
+    from first to last at the end.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    labels = cut(both(edges).select(F.col("u").alias("node")).distinct().withColumn("comp", F.col("node")))
-    while not edges.isEmpty():
-        move = both(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to"))
-        move = cut(move)
+    labels = None
+    while labels is None or not edges.isEmpty():
+        move = cut(both(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")))
+        if labels is None:
+            labels = move.select(F.col("u").alias("node"), F.col("to").alias("comp"))
+        else:
+            labels = labels.join(move.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         ends = edges.join(move.select(F.col("u").alias("a"), F.col("to").alias("ta")), "a").join(move.select(F.col("u").alias("b"), F.col("to").alias("tb")), "b")
-        edges = cut(ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct())
-        labels = cut(labels.join(move.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-    return labels
-
-
-def _bodies(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, reg, text) of the wanted documents."""
-    ids = wanted.select(F.col("node").alias("doc_id")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    info = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", "reg").join(ids, "doc_id", "left_semi")
-    return text.join(info, "doc_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "reg", "text")
+        edges = cut(ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b"))
+    return cut(labels)
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """For each group: its largest component, its blocks of other members and of the largest, and the rows these make."""
+    group = ("kind", "hub", "gid")
+    each = members.groupBy(*group, "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    of = each.groupBy(*group).agg(F.max(F.struct("docs", "n", "comp")).alias("top"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    blocks = lambda docs, n: F.greatest(F.ceil(docs / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+    one = (F.col("docs") <= BLOCK) & (F.col("n") <= BLOCK_SHINGLES)
+    of = of.withColumn("left", F.when(one, F.lit(1).cast("long")).otherwise(blocks(F.col("docs") - F.col("top.docs"), F.col("n") - F.col("top.n"))))
+    of = of.withColumn("right", F.when(one, F.lit(0).cast("long")).otherwise(blocks(F.col("top.docs"), F.col("top.n"))))
+    rows = F.when(one, F.col("docs")).otherwise((F.col("docs") - F.col("top.docs")) * (F.col("left") + F.col("right")) + F.col("top.docs") * F.col("left"))
+    return of.select(*group, F.col("top.comp").alias("top"), "left", "right", rows.alias("rows"))
+
+
+def _rest(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links (a, b) between components among the members of open buckets: key, hub (the pivot's component), node, n, comp."""
+    # kind 0: all buckets of a hub as one group; kind 1: each bucket its own
+    members = open_.select(F.lit(0).alias("kind"), "hub", F.col("hub").alias("gid"), "node", "n", "comp").distinct()
+    members = cut(members.unionAll(open_.select(F.lit(1).alias("kind"), "hub", F.col("key").alias("gid"), "node", "n", "comp")))
+    sizes = cut(_sized(members))
+    take = sizes.groupBy("hub").agg((F.sum(F.when(F.col("kind") == 0, F.col("rows"))) > F.sum(F.when(F.col("kind") == 1, F.col("rows")))).cast("int").alias("kind"))
+    chosen = members.join(sizes.join(take, ["hub", "kind"]).drop("hub", "rows"), ["kind", "gid"])
+    large = (F.col("right") > 0) & (F.col("comp") == F.col("top"))
+    digest = F.xxhash64("node", "gid")
+    at = F.when(large, F.col("left") + F.pmod(digest, F.col("right"))).otherwise(F.pmod(digest, F.col("left")))
+    last = F.when(large, F.col("left")).otherwise(F.col("left") + F.col("right")) - 1
+    spread = chosen.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    spread = spread.select("kind", "gid", "node", "comp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
+    members = spread.join(_bodies(docs, members.where("kind = 0")), "node").withColumn("same_block", F.col("i") == F.col("j"))
+    return members.groupBy("kind", "gid", "i", "j").applyInArrow(_block, "a long, b long")
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, body) of the wanted nodes."""
+    ids = small(cut(wanted.select(F.col("node").alias("doc_id")).distinct()))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "node long, body binary").where(F.length("body") > 0)
+
+
+def _repeated(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of doc_ids that come with several texts to the classes of these."""
+    rows, ids = sketch.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return sketch.sparkSession.createDataFrame([], "a long, b long")
+    again = sketch.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    return sketch.join(again, "doc_id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, and class_id (its exact copies' smallest id)."""
     sketch = cut(sketches(docs))
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
-    classes = cut(classes)
+    some = sketch.where("n_shingles > 0 and doc_id is not null")
+    classes = cut(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")))
     # each class once, under its smallest id, in each of its buckets
-    rep = sketch.where("n_shingles > 0").join(classes.select("s1", "s2", F.col("class_id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    rows = rep.select("doc_id", "reg").mapInArrow(_buckets, "node long, bands array<long>").select("node", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("n_bucket"), F.min("node").alias("pivot")).where("n_bucket > 1")
-    bucket = cut(rows.join(full, "key"))
-    pairs = bucket.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut(pairs)
-    bodies = cut(_bodies(docs, sketch, pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))))
-    side = lambda s: bodies.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("reg").alias(f"reg_{s}"), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    links = cut(both.mapInArrow(_pairs, "a long, b long"))
+    rep = some.join(classes.select("s1", "s2", F.col("class_id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
+    rep = rep.select("doc_id", F.col("n_shingles").alias("n"), "reg")
+    rows = rep.mapInArrow(_buckets, "node long, n long, bands array<long>").select("node", "n", F.explode("bands").alias("key"))
+    full = rows.groupBy("key").agg(F.count("*").alias("n_bucket"), F.min(F.struct("node", "n")).alias("pivot")).where("n_bucket > 1")
+    bucket = cut(rows.join(full.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("n_pivot")), "key"))
+    near = f"{DEN} * least(n, n_pivot) >= {NUM} * greatest(n, n_pivot)"
+    pairs = bucket.where("node <> pivot").where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
+    alike = cut(_tested(pairs, rep.select(F.col("doc_id").alias("node"), "n", F.col("reg").alias("body")), _alike))
+    bodies = cut(_bodies(docs, alike.select(F.col("a").alias("node")).unionAll(alike.select(F.col("b").alias("node")))))
+    bodies = bodies.select("node", (F.length("body") / 8).cast("long").alias("n"), "body")
+    links = cut(_tested(alike, bodies, _linked).select("a", "b").unionAll(_repeated(some, classes)))
     comp = components(links)
 
     # what the pivots leave open: buckets with members, the pivot aside, in several components
-    open_ = bucket.where("node <> pivot").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = lambda c, name: F.coalesce(F.col(name), F.col(c)).alias(name)
+    open_ = bucket.where("node <> pivot").join(comp, "node", "left").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("hub")), "pivot", "left")
+    open_ = open_.select("key", "node", "n", own("node", "comp"), own("pivot", "hub"))
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(open_.select("key", "node", "comp").join(several, "key"))
+    open_ = cut(open_.join(several, "key"))
+    named = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("s1", "s2", "class_id", own("class_id", "comp"))
     if not open_.isEmpty():
-        open_ = open_.join(bodies.select("node", "n"), "node")
-        sizes = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-        own = open_.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-        spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        spread = spread.select("key", "node", "comp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).cast("int").alias("side"))
-        members = spread.withColumn("same_block", F.col("i") == F.col("j")).join(bodies.select("node", "text"), "node")
-        more = members.groupBy("key", "i", "j").applyInArrow(_block, "a long, b long")
-        comp = components(links.unionAll(cut(more)))
-    named = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("s1", "s2", "class_id", F.coalesce("comp", "class_id").alias("comp"))
+        joined = components(_rest(docs, open_)).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        named = named.join(joined, "comp", "left").select("s1", "s2", "class_id", F.coalesce("now", "comp").alias("comp"))
     out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.col("comp")).otherwise(F.col("doc_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds at most: texts are large, so batches are short.
@@ -16,13 +17,16 @@ BROADCAST_ROWS = 100_000
 def prepared(spark: SparkSession) -> SparkSession:
     """Short Arrow batches, and a checkpoint folder.
 
-    On a cluster the shared folder is named in spark.checkpoint.dir; only where
-    that is unset, as in tests, does a temporary folder take its place.
+    On a cluster the shared folder is named in spark.checkpoint.dir; only where one machine
+    does all, as in tests, does a temporary folder take its place.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return spark
 
 
@@ -32,9 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to be within the bound, else as it is (a shuffle join follows)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it is counted to be within the bound, else as it is (a shuffle join follows).
+
+    weight: how many rows of a few numbers a row of df is worth, where its rows hold arrays.
+    """
+    some = df.limit(rows + 1)
+    if weight is None:
+        return F.broadcast(df) if some.count() <= rows else df
+    n, weighed = some.select(weight.alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and weighed <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
