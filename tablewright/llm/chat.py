@@ -3,18 +3,20 @@ r"""Chat formatting with a grammar round trip.
     formatted := turn*
     turn      := "<|im_start|>" role "\n" text "<|im_end|>\n"
 
-A conversation is rendered as it is, reparsed by the grammar, and the recovered turns
-are compared with the source.  Where they differ, its turns are escaped and rendered
-again: "<" and "|" with any backslashes between them get one backslash more, so no
-control string is left in a text; the parser takes one backslash away.  In roles "%",
-line ends and control strings are percent-coded.  round_trip tells that the turns
-read back are the source's.  The loss mask is a list of spans (code points, end
-exclusive) of the formatted string, one for each assistant text.
+A text ends at the first end marker behind it, and no other start or end marker stands
+anywhere.  Each turn is rendered as it is, reparsed by this grammar, and compared with
+its source.  Where they differ, its text is escaped: "<" and "|" with any backslashes
+between them get one backslash more, so no control string is left in it; the parser takes
+one backslash away.  In roles "%", line ends and control strings are percent-coded.
+round_trip tells that the turns of the whole conversation read back are the source's.  The
+loss mask is a list of spans (code points, end exclusive) of the formatted string, one for
+each assistant text.
 
 Defined results: null role or text counts as empty.  Turns stand by turn number
 (null first), ties by role, then text; repeated rows are repeated turns.  A row
 without conv_id is a conversation of its own, with the rows equal to it.  Other
-columns are not looked at.  An empty table gives no conversation.
+columns are not looked at.  An empty table gives no conversation.  Texts of any length
+are rendered and reparsed whole.
 """
 
 from __future__ import annotations
@@ -46,9 +48,9 @@ def decode_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%7C"), F.lit("|")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def render(turns: Column, escaped: bool) -> Column:
-    text = (lambda t: escape(t)) if escaped else (lambda t: t)
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), code_role(t["role"]), F.lit("\n"), text(t["text"]), F.lit(f"{END}\n"))), "")
+def render(turns: Column) -> Column:
+    """Turns of (role, said) as one string; said is the text as it is to stand there."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), code_role(t["role"]), F.lit("\n"), t["said"], F.lit(f"{END}\n"))), "")
 
 
 def pieces(formatted: Column) -> Column:
@@ -61,13 +63,25 @@ def parse(formatted: Column) -> Column:
 
     def turn(p: Column) -> Column:
         role = F.substring_index(p, "\n", 1)
-        whole = p.endswith(F.lit(f"{END}\n")) & (F.length(p) >= F.length(role) + 1 + len(END) + 1)
-        text = F.substring(p, F.length(role) + 2, F.length(p) - F.length(role) - 2 - len(END))
-        return F.struct(F.when(whole, decode_role(role)).alias("role"), unescape(text).alias("text"))
+        rest = F.substring(p, F.length(role) + 2, F.length(p))
+        text = F.substring_index(rest, END, 1)
+        whole = rest == F.concat(text, F.lit(f"{END}\n"))  # nothing between the first end marker and the next start
+        return F.struct(F.when(whole & ~role.contains(END), decode_role(role)).alias("role"), unescape(text).alias("text"))
 
     return F.transform(pieces(formatted), turn)
 
 
+def settled(turns: Column) -> Column:
+    """Each turn with what is to be said in its place: the text, escaped where it does not read back alone."""
+
+    def one(t: Column) -> Column:
+        said = lambda text: F.struct(t["role"].alias("role"), t["text"].alias("text"), text.alias("said"))
+        alike = parse(render(F.array(said(t["text"])))) == F.array(F.struct(t["role"].alias("role"), t["text"].alias("text")))
+        return said(F.when(alike, t["text"]).otherwise(escape(t["text"])))
+
+    return F.transform(turns, one)
+
+
 def loss_spans(formatted: Column) -> Column:
     """Start and end of each assistant text in the formatted string."""
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -88,8 +102,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", alone.alias("alone"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).drop("alone")
     convs = convs.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    raw = convs.withColumn("raw", render(F.col("turns"), False)).withColumn("escaped", ~parse(F.col("raw")).eqNullSafe(F.col("turns")))
-    out = raw.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("raw"))).drop("raw")
+    out = convs.withColumn("said", settled(F.col("turns"))).withColumn("formatted", render(F.col("said")))
+    out = out.withColumn("escaped", F.exists("said", lambda t: t["said"] != t["text"])).drop("said")
     out = out.withColumn("parsed", parse(F.col("formatted")))
     return out.withColumn("round_trip", F.col("parsed").eqNullSafe(F.col("turns"))).withColumn("loss_spans", loss_spans(F.col("formatted")))
 
@@ -116,6 +130,6 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
 c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS lost,
-  sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + {len(START) + len(END) + 2})::BIGINT AS formatted_chars FROM r GROUP BY conv_id)
+  sum(length(role) + CASE WHEN contains(text, '{START}') OR contains(text, '{END}') OR regexp_matches(text, '<\\+\|') THEN length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) ELSE length(text) END + {len(START) + len(END) + 2})::BIGINT AS formatted_chars FROM r GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(lost)::BIGINT AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars, true AS round_trip FROM c
 """
