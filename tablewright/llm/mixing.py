@@ -11,7 +11,8 @@ Defined results: a null source is a source of its own, named "".  A null text co
 as empty; a source whose texts are all empty has rate 1.  Documents with the same id
 get the same count.  Sources missing from a weights table get weight 1; negative
 weights are refused.  All columns of the documents are kept; doc_copy, mix_rate and
-mix_key are added and replace columns of those names.
+mix_key are added and replace columns of those names.  An empty table gives no rows;
+texts of any length are repeated whole.
 """
 
 from __future__ import annotations
@@ -61,19 +62,21 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float | Non
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: str = SEED, shuffle: bool = True) -> DataFrame:
-    own = docs.drop("doc_copy", "mix_rate", "mix_key", "_mix_source").withColumn("_mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    each = rates(docs, weights, budget).select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    # the documents' columns travel as one, so that no name of theirs meets one of ours
+    own = docs.drop("doc_copy", "mix_rate", "mix_key")
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    at = own.join(small(each), "_mix_source")
+    own = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), id_.alias("id"))
+    at = own.join(small(rates(docs, weights, budget)), "source")
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
+        F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda acc, k: acc + F.size(F.filter("_cdf", lambda c: fraction(F.lit(seed), id_, k.cast("string")) >= c)),
+        lambda acc, k: acc + F.size(F.filter("cdf", lambda c: fraction(F.lit(seed), F.col("id"), k.cast("string")) >= c)),
     )
-    one = F.size(F.filter("_cdf", lambda c: F.col("_u") >= c))
-    at = at.withColumn("_u", fraction(F.lit(seed), id_, F.lit("1"))).withColumn("_count", F.when(F.col("_parts") == 1, one).otherwise(count))
-    copies = at.where("_count > 0").withColumn("doc_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count").cast("long"))))
-    out = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), id_, F.col("doc_copy").cast("string")))).drop("_mix_source", "_parts", "_cdf", "_u", "_count")
+    one = F.size(F.filter("cdf", lambda c: F.col("u") >= c))
+    at = at.withColumn("u", fraction(F.lit(seed), F.col("id"), F.lit("1"))).withColumn("count", F.when(F.col("parts") == 1, one).otherwise(count))
+    copies = at.where("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "id", F.col("copy").cast("string")))
+    out = copies.select("row.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("doc_copy"), key.alias("mix_key"))
     return out.orderBy("mix_key", "doc_id") if shuffle else out
 
 

@@ -39,6 +39,7 @@ SUPPORT, EVIDENCE = 3, 30.0
 SLICES = 16
 EDGE = ".,;:!?()\"'"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+TAGS = "array<struct<start:int,end:int,tag:string>>"
 
 
 def digits(m: Column) -> Column:
@@ -136,30 +137,41 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(F.lower(text), GAP), lambda w: F.trim(w, F.lit(EDGE))), lambda w: w != ""))
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(term, removed): the terms that reveal some entity; docs has _text, _key (hash of the text) and _base."""
+def _blanked(texts: DataFrame, blanks: DataFrame) -> DataFrame:
+    """(_key, term): the terms of each text outside its base spans."""
+    at = texts.join(blanks, "_key", "left")
+    return at.select("_key", F.explode(terms(replaced(F.col("_text"), F.coalesce("blank", F.array().cast(TAGS))))).alias("term"))
+
+
+def disclosing(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, evidence: float = EVIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(term, removed): the terms that reveal some entity; and (_key, blank): the base spans of the texts that have any.
+
+    docs has _text and _key (hash of the text).  Base spans are looked for once; what is found of a
+    text is cut, and later passes join it by the text's hash.
+    """
+    found = docs.select("_key", "_text", base_spans(F.col("_text")).alias("_base"))
     blank = F.transform(all_base(F.col("_base")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("tag")))
-    named = entities(F.col("_base"))
-    held = docs.select("_key", "_text", blank.alias("blank"), named.alias("named")).where(F.size("named") > 0)
+    held = found.select("_key", "_text", blank.alias("blank"), entities(F.col("_base")).alias("named")).where(F.size("named") > 0)
+    held = cut(held.select("_key", "blank", "named", terms(replaced(F.col("_text"), F.col("blank"))).alias("terms")))
+    blanks = small(held.groupBy("_key").agg(F.first("blank").alias("blank")), weight=F.size("blank"))
     entity = held.select("_key", F.explode("named").alias("entity")).distinct()
-    entity = entity.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT)
+    entity = entity.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
     entity = cut(entity)
     if entity.isEmpty():
-        return docs.sparkSession.createDataFrame([], "term string, removed boolean")
+        return docs.sparkSession.createDataFrame([], "term string, removed boolean"), blanks
     with_entity = held.withColumn("entity", F.explode("named")).join(small(entity.select("entity")), "entity", "left_semi")
-    words_ = with_entity.select("entity", "_key", F.explode(terms(replaced(F.col("_text"), F.col("blank")))).alias("term"))
-    words_ = cut(words_.distinct())
+    words_ = cut(with_entity.select("entity", "_key", F.explode("terms").alias("term")).distinct())
     n = docs.select(F.count_distinct("_key")).first()[0]
     # the texts seen so far bound a term's corpus count from below: what cannot reach the ratio any more goes before the corpus is counted
-    reach = F.col("n_tc") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - GENERALISE))
+    reach = F.col("n_tc") * F.pow(F.lit(float(n)) / F.col("n_c"), F.lit(1 - generalise))
     least = words_.groupBy("term").agg(F.count_distinct("_key").alias("n_least"))
-    pairs = words_.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
+    pairs = words_.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
     pairs = pairs.join(entity, "entity").join(least, "term").where(reach >= F.col("n_least") * 0.999)
     pairs = cut(pairs.select("entity", "term", "n_tc", "n_c"))
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
         wanted = small(cut(pairs.select("term").distinct()))
-        seen = texts.select("_key", F.explode(terms(F.col("_text"))).alias("term")).join(wanted, "term", "left_semi")
+        seen = _blanked(texts, blanks).join(wanted, "term", "left_semi")
         return seen.groupBy("term").agg(F.count_distinct("_key").alias(name))
 
     # so does a slice of the corpus by text hash, in which common words show at once
@@ -168,18 +180,19 @@ def disclosing(docs: DataFrame) -> DataFrame:
     counts = counted(docs, "n_t")
     ic = F.log2(F.lit(float(n)) / F.col("n_c"))
     pmi = F.log2(F.col("n_tc") * F.lit(float(n)) / (F.col("n_t") * F.col("n_c")))
-    scored = pairs.join(counts, "term").withColumn("ratio", F.try_divide(pmi, ic)).where((F.col("ratio") >= GENERALISE) & (F.col("n_tc") * ic >= EVIDENCE))
-    return cut(scored.groupBy("term").agg((F.max("ratio") >= REMOVE).alias("removed")))
+    scored = pairs.join(counts, "term").withColumn("ratio", F.try_divide(pmi, ic)).where((F.col("ratio") >= generalise) & (F.col("n_tc") * ic >= evidence))
+    return cut(scored.groupBy("term").agg((F.max("ratio") >= remove).alias("removed"))), blanks
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """docs with _text, _key and _base, and (doc key, terms in it) for the texts that hold disclosing terms."""
+def _found(docs: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame | None]:
+    """docs as row with _text, _key and _base, and (doc key, terms in it) for the texts that hold disclosing terms."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    at = docs.withColumn("_text", text).withColumn("_key", F.xxhash64("_text")).withColumn("_base", base_spans(F.col("_text")))
-    flagged = disclosing(at.select("_text", "_key", "_base"))
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("_text")).withColumn("_key", F.xxhash64("_text")).withColumn("_base", base_spans(F.col("_text")))
+    texts = docs.select(text.alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    flagged, blanks = disclosing(texts, **thresholds)
     if flagged.isEmpty():
         return at, None
-    of = docs.select(text.alias("_text")).select(F.xxhash64("_text").alias("_key"), F.explode(terms(F.col("_text"))).alias("term")).join(small(flagged), "term")
+    of = _blanked(texts, blanks).join(small(flagged), "term")
     return at, cut(of.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "removed"))).alias("_terms")))
 
 
@@ -193,30 +206,31 @@ def term_spans(text: Column, found: Column, base: Column) -> Column:
     return F.when(F.size(found) > 0, outside).otherwise(F.array().cast(SPAN))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """All columns of docs and _text, _base (spans by kind), _terms and _term_spans."""
-    at, of = _found(docs)
+def detect(docs: DataFrame, **thresholds) -> DataFrame:
+    """row (all columns of docs), _text, _base (spans by kind), _terms and _term_spans; thresholds as in disclosing()."""
+    at, of = _found(docs, **thresholds)
     none = F.array().cast("array<struct<term:string,removed:boolean>>")
-    at = at.withColumn("_terms", none) if of is None else at.join(small(of), "_key", "left").withColumn("_terms", F.coalesce("_terms", none))
+    at = at.withColumn("_terms", none) if of is None else at.join(small(of, weight=F.size("_terms")), "_key", "left").withColumn("_terms", F.coalesce("_terms", none))
     return at.withColumn("_term_spans", term_spans(F.col("_text"), F.col("_terms"), F.col("_base")) if of is not None else F.array().cast(SPAN))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """docs with personal data put as tags and disclosing terms removed or generalised."""
-    at = detect(docs)
+    at = detect(docs, **thresholds)
     removed = F.transform(F.filter("_terms", lambda t: t["removed"]), lambda t: t["term"])
     tag = lambda s: F.when(F.array_contains(removed, F.lower(s["value"])), "[REMOVED]").when(s["value"].rlike("[0-9]"), "[NUMBER]").otherwise("[WORD]")
     tagged = F.concat(all_base(F.col("_base")), F.transform("_term_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag(s).alias("tag"))))
     clean = let(F.array_sort(tagged), lambda s: replaced(F.col("_text"), s))
-    out = at.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit(""))).cast("long")))
-    return out.select(*docs.columns)
+    text = F.when(F.col("row.text").isNull(), None).otherwise(clean)
+    at = at.select("row", text.alias("_new"))
+    length = F.when(F.col("row").getField("n_chars").isNotNull(), F.length(F.coalesce("_new", F.lit(""))).cast("long")) if "n_chars" in docs.columns else None
+    of = {"text": F.col("_new"), "n_chars": length}
+    return at.select(*[(of[c] if c in of else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*[listed(F.col("_base")[k], k) for k in KINDS])
-    at = at.select("doc_id", F.col("_base"), F.array_join(base, ",").alias("b"), F.array_join(F.concat(base, listed(F.col("_term_spans"), "term")), ",").alias("spans"))
+    at = at.select("row.doc_id", F.col("_base"), F.array_join(base, ",").alias("b"), F.array_join(F.concat(base, listed(F.col("_term_spans"), "term")), ",").alias("spans"))
     counts = [F.size(F.col("_base")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
     return at.select("doc_id", *counts, F.sha2("b", 256).alias("base_sha256"), "spans")
