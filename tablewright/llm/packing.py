@@ -9,6 +9,7 @@
    LENGTH ids; a document is cut where a sequence is full.  The ids left at the end of
    a range are cut into sequences of powers of two, so no sequence needs padding.
 
+Ranges are as many as the characters ask for, so that none grows with the corpus.
 Nothing of a range is held but the current batch; sequence ids number the range in
 their upper bits.  Defined results: null text counts as empty, and an empty document
 is the end id alone; repeated rows are packed once each; null ids are packed too.
@@ -29,6 +30,8 @@ from tablewright.llm.subwords import subwords
 from tablewright.llm.words import U64, chunks, mix, segment
 
 LENGTH = 4096
+#: Characters a range holds on average.
+RANGE_CHARS = 16_000_000
 END_ID = 2
 DIMS, BITS = 6, 10
 TOKENIZER = "word_bpe_49k.json"
@@ -178,7 +181,8 @@ def pack(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = at.mapInArrow(_place, "doc_id long, text string, curve long")
     spread = F.xxhash64("doc_id", F.lit(10))
-    return placed.repartitionByRange("curve", spread).sortWithinPartitions("curve", spread, "doc_id").select("doc_id", "text").mapInArrow(packer(name), PIECE)
+    chars = at.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    return placed.repartitionByRange(int(chars // RANGE_CHARS) + 1, "curve", spread).sortWithinPartitions("curve", spread, "doc_id").select("doc_id", "text").mapInArrow(packer(name), PIECE)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
