@@ -26,11 +26,15 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def says(df: DataFrame, keys: list[str]) -> Column:
+    """Whether a row says anything beside its keys, as 0 or 1."""
+    cells = [(~F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))).isin(*PLACEHOLDERS)).cast("int") for c in df.columns if c not in keys]
+    return F.greatest(*cells) if len(cells) > 1 else cells[0] if cells else F.lit(0)
+
+
 def placeholder_only(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows, and whether no cell beside the keys says anything."""
-    cells = [(~F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))).isin(*PLACEHOLDERS)).cast("int") for c in df.columns if c not in keys]
-    said = reduce(F.greatest, cells) if len(cells) > 1 else cells[0] if cells else F.lit(0)
-    return df.agg(F.count("*").alias("n_rows"), (F.coalesce(F.max(said), F.lit(0)) == 0).alias("placeholder_only"))
+    return df.agg(F.count("*").alias("n_rows"), (F.coalesce(F.max(says(df, keys)), F.lit(0)) == 0).alias("placeholder_only"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,29 +49,46 @@ def file_set(spark, expected: dict[str, DataFrame], result: dict[str, DataFrame]
     return notes(spark, rows)
 
 
-def key_issues(df: DataFrame, path: str, key: str, known: DataFrame, cover: bool, unique: bool) -> list[DataFrame]:
-    text = lambda d, c: d.select(F.col(c).cast("string").alias("k"))
-    mine, wanted = text(df, key), text(known, known.columns[0]).distinct()
-    out = [issue(mine.where(~is_missing(F.col("k"))).distinct().join(wanted, "k", "left_anti"), path, "unknown_keys", F.count("*"))]
+def listed(one: DataFrame, path: str, named: dict[str, Column]) -> DataFrame:
+    """Issue rows of a one-row table: those whose count is over 0."""
+    rows = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(k).alias("issue"), F.coalesce(v, F.lit(0)).cast("long").alias("count")) for k, v in named.items()])
+    return one.select(F.inline(rows)).where("count > 0")
+
+
+def key_counts(df: DataFrame, key: str, known: DataFrame, said: Column) -> DataFrame:
+    """One row from one grouping by key: rows, whether any says something, and unknown, uncovered and repeated keys."""
+    mine = df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"), F.max(said).alias("said"))
+    wanted = known.select(F.col(known.columns[0]).cast("string").alias("k"), F.lit(1).alias("known")).distinct()
+    at = mine.join(wanted, "k", "full_outer")
+    n, hit = F.col("n"), F.col("known")
+    many = lambda c: F.sum(c.cast("long"))
+    return at.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), F.coalesce(F.max("said"), F.lit(0)).alias("said"), many(n.isNotNull() & hit.isNull() & ~is_missing(F.col("k"))).alias("unknown"), many(n.isNull() & hit.isNotNull()).alias("uncovered"), F.sum(n - 1).alias("repeated"))
+
+
+def key_named(cover: bool, unique: bool) -> dict[str, Column]:
+    named = {"unknown_keys": F.col("unknown")}
     if cover:
-        out.append(issue(wanted.join(mine.distinct(), "k", "left_anti"), path, "uncovered_keys", F.count("*")))
+        named["uncovered_keys"] = F.col("uncovered")
     if unique:
-        out.append(issue(mine.groupBy("k").agg(F.count("*").alias("n")), path, "duplicate_keys", F.sum(F.col("n") - 1)))
-    return out
+        named["duplicate_keys"] = F.col("repeated")
+    return named
 
 
 def business_gate(expected: dict[str, DataFrame], result: dict[str, DataFrame], keys: dict[str, list[str]], split_keys: DataFrame, key: str, labels_cover: bool = True) -> DataFrame:
-    """Files, schemas in order, emptiness, placeholders, split keys, coverage and duplicates of a package."""
+    """Files, schemas in order, emptiness, placeholders, split keys, coverage and duplicates of a package; a table is read once for its rows and keys."""
     parts = [file_set(split_keys.sparkSession, expected, result)]
     for path in sorted(set(expected) & set(result)):
         df = result[path]
-        state = placeholder_only(df, keys.get(path, []))
-        parts.append(state.select(F.lit(path).alias("path"), F.when(F.col("n_rows") == 0, "empty").when(F.col("placeholder_only"), "placeholder_only").alias("issue"), F.lit(1).cast("long").alias("count")).where("issue is not null"))
+        said = says(df, keys.get(path, []))
+        state = {"empty": (F.col("n_rows") == 0).cast("long"), "placeholder_only": ((F.col("n_rows") > 0) & (F.col("said") == 0)).cast("long")}
         folder = path.split("/")[0]
         if key in df.columns:
-            parts += key_issues(df, path, key, split_keys, folder == "cohort" or (folder == "csv" and labels_cover), folder in ("cohort", "csv"))
+            one, more = key_counts(df, key, split_keys, said), key_named(folder == "cohort" or (folder == "csv" and labels_cover), folder in ("cohort", "csv"))
+        else:
+            one, more = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.max(said), F.lit(0)).alias("said")), {}
+        parts.append(listed(one, path, state | more))
         if keys.get(path) and set(keys[path]) <= set(df.columns):
-            parts.append(duplicate_keys(df, keys[path]).select(F.lit(path).alias("path"), F.lit("duplicate_business_keys").alias("issue"), F.col("duplicates").cast("long").alias("count")).where("count > 0"))
+            parts.append(listed(duplicate_keys(df, keys[path]), path, {"duplicate_business_keys": F.col("duplicates")}))
     return union(parts)
 
 
@@ -80,7 +101,7 @@ def correction_gate(dirty: dict[str, DataFrame], result: dict[str, DataFrame], s
         parts.append(n.join(was, "j").where("n = 0 and was > 0").select(F.lit(path).alias("path"), F.lit("emptied").alias("issue"), F.lit(1).cast("long").alias("count")))
         if key in result[path].columns:
             cohort = path.startswith("cohort/")
-            parts += key_issues(result[path], path, key, split_keys, cohort, cohort)
+            parts.append(listed(key_counts(result[path], key, split_keys, F.lit(1)), path, key_named(cohort, cohort)))
     return union(parts)
 
 

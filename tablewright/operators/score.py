@@ -9,11 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import f1, first_by_digest, normal_cell
+from tablewright.sources.lineage import cut
 
 #: Weights of the four parts of a file's score.
 PART_WEIGHTS = {"schema": 0.10, "key": 0.20, "cell": 0.40, "exact": 0.30}
 #: Weight of a table in a package, by its folder.
 FOLDER_WEIGHTS = {"cohort": 0.15, "csv": 0.05, "features": 0.12, "summary": 0.02}
+#: Key columns of the package's files, of its folders, and those looked for in any other file.
+FILE_KEYS = {
+    "csv/labels.csv": ("stay_id",),
+    "features/preproc_chart_icu.csv": ("stay_id", "itemid", "event_time_from_admit"),
+    "features/preproc_diag_icu.csv": ("stay_id",),
+    "features/preproc_med_icu.csv": ("subject_id", "hadm_id", "stay_id", "itemid", "starttime", "endtime", "orderid"),
+    "features/preproc_out_icu.csv": ("subject_id", "hadm_id", "stay_id", "itemid", "charttime"),
+    "features/preproc_proc_icu.csv": ("subject_id", "hadm_id", "stay_id", "itemid", "starttime"),
+}
+FOLDER_KEYS = {"cohort/": ("stay_id",), "summary/diag_": ("new_icd_code",), "summary/": ("itemid",)}
+ANY_KEYS = ("stay_id", "hadm_id", "subject_id", "itemid", "new_icd_code")
 LOW = 0.98
 
 
@@ -28,6 +40,29 @@ def schema_score(gold: list[str], result: list[str]) -> dict[str, float]:
     return {"precision": round(precision, 6), "recall": round(recall, 6), "f1": round(2 * both / (len(g) + len(r)), 6) if g or r else 1.0}
 
 
+def schema_report(gold: DataFrame, result: DataFrame) -> DataFrame:
+    """A row for each column of either side: its non-empty cells on both, and the scores of the names."""
+    s = schema_score(gold.columns, result.columns)
+    names = [*gold.columns, *[c for c in result.columns if c not in gold.columns]]
+
+    def cells_of(df: DataFrame, name: str) -> DataFrame:
+        filled = [F.struct(F.lit(c).alias("column"), total((normal_cell(F.col(c)) != "").cast("int")).alias(name)) for c in df.columns]
+        return df.agg(F.array(*filled).alias("r")).select(F.inline("r"))
+
+    every = gold.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    out = every.join(cells_of(gold, "gold_cells"), "column", "left").join(cells_of(result, "result_cells"), "column", "left")
+    return out.select("column", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gold_cells", "result_cells")], *[F.lit(s[k]).alias(k) for k in ("recall", "precision", "f1")])
+
+
+def key_contract(files: DataFrame, fallback: str) -> DataFrame:
+    """files (path, columns) with keys: those of the file, else of its folder, else the fallback or the first known key it has."""
+    path, columns = F.lower("path"), F.col("columns")
+    keys = lambda k: F.array(*map(F.lit, k))
+    named = [F.when(path.startswith("cohort/") | path.endswith("/labels.csv"), keys(FOLDER_KEYS["cohort/"]))] + [F.when(path == p, keys(k)) for p, k in FILE_KEYS.items()] + [F.when(path.startswith(p), keys(k)) for p, k in FOLDER_KEYS.items()]
+    first = F.slice(F.filter(keys((fallback, *ANY_KEYS)), lambda k: F.array_contains(columns, k)), 1, 1)
+    return files.withColumn("keys", F.coalesce(*named, first))
+
+
 def tagged(gold: DataFrame, result: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of both sides in normal form with counts _g and _r."""
     side = lambda df, g, r: normal(df, columns).withColumns({"_g": F.lit(g), "_r": F.lit(r)})
@@ -42,14 +77,16 @@ def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast("long")
 
 
+def summed(m: DataFrame) -> DataFrame:
+    return m.agg(total(F.least("g", "r")).alias("matched"), total(F.col("g")).alias("gold_rows"), total(F.col("r")).alias("result_rows"))
+
+
 def key_structure(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
-    m = counts(gold, result, keys).agg(total(F.least("g", "r")).alias("matched"), total(F.col("g")).alias("gold_rows"), total(F.col("r")).alias("result_rows"))
-    return m.withColumn("key_f1", f1(F.col("matched"), F.col("result_rows"), F.col("gold_rows")))
+    return summed(counts(gold, result, keys)).withColumn("key_f1", f1(F.col("matched"), F.col("result_rows"), F.col("gold_rows")))
 
 
 def exact_rows(gold: DataFrame, result: DataFrame, columns: list[str]) -> DataFrame:
-    m = counts(gold, result, columns).agg(total(F.least("g", "r")).alias("matched"), total(F.col("g")).alias("gold_rows"), total(F.col("r")).alias("result_rows"))
-    return m.withColumn("exact_f1", f1(F.col("matched"), F.col("result_rows"), F.col("gold_rows")))
+    return summed(counts(gold, result, columns)).withColumn("exact_f1", f1(F.col("matched"), F.col("result_rows"), F.col("gold_rows")))
 
 
 def cells_unique(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -61,6 +98,14 @@ def cells_unique(gold: DataFrame, result: DataFrame, keys: list[str], columns: l
     return a.join(b, same).agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
+def paired_cells(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """cells_unique() of counts()."""
+    a, b = rows.where("g > 0").alias("a"), rows.where("r > 0").alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    equal = [F.struct(F.lit(c).alias("column"), total((F.col(f"a.{c}") == F.col(f"b.{c}")).cast("int")).alias("matched")) for c in columns]
+    return a.join(b, same).agg(F.array(*equal).alias("r")).select(F.inline("r"))
+
+
 def assignment(weights) -> list[tuple[int, int]]:
     """Pairs of rows and columns of a weight matrix with the largest total: shortest augmenting paths."""
     import numpy as np
@@ -146,14 +191,17 @@ def transport(weights, supply, demand):
 
 
 def cells(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(column, matched) with repeated keys: equal rows are paired first, the rest of a key by best assignment.
+    return cells_of(counts(gold, result, keys + [c for c in columns if c not in keys]), keys, columns)
+
+
+def cells_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(column, matched) of counts() with repeated keys: equal rows are paired first, the rest of a key by best assignment.
 
     Where one row of a side is left, its best partner is an aggregate over as many pairs as
     the other side has rows.  Only keys with several rows left on both sides reach Python, as
     distinct rows and how often each is left; work and memory grow with the distinct rows of one key.
     """
     every = keys + [c for c in columns if c not in keys]
-    rows = counts(gold, result, every)
     exact = rows.agg(total(F.least("g", "r")).alias("n"))
     exact = exact.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), "n")
     left = rows.select(*every, F.explode(F.expr("filter(array(struct('g' as side, greatest(g - r, 0) as n), struct('r' as side, greatest(r - g, 0) as n)), x -> x.n > 0)")).alias("s")).select(*every, "s.side", "s.n")
@@ -195,10 +243,12 @@ def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool
             *[F.lit(x).alias(c) for x, c in zip(zero[0], ("schema_f1", "key_f1", "cell_f1", "exact_f1", "score"))], "gold_rows", F.lit(0).cast("long").alias("result_rows")
         )
     shared = [c for c in gold.columns if c in result.columns]
-    padded = result.select(*[F.col(c) if c in result.columns else F.lit("\u0000").alias(c) for c in gold.columns])
-    pair = cells_unique if unique else cells
-    cell = pair(gold, result, keys, shared)
-    key, exact = key_structure(gold, result, keys), exact_rows(gold, padded, gold.columns)
+    # both sides are brought to normal form and counted once; keys, cells and exact rows are read off the counts
+    rows = cut(counts(gold, result, shared))
+    cell = paired_cells(rows, keys, shared) if unique else cells_of(rows, keys, shared)
+    key = summed(rows.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("r").alias("r")))
+    # a row that lacks a column equals no whole row
+    exact = summed(rows if shared == gold.columns else rows.select(F.col("g"), F.lit(0).cast("long").alias("r")))
     parts = key.select(F.struct("matched", "gold_rows", "result_rows").alias("k"), F.lit(None).cast("struct<m:long>").alias("x"), F.lit(None).cast("struct<c:string,m:long>").alias("c"))
     parts = parts.unionAll(exact.select(F.lit(None).cast("struct<matched:long,gold_rows:long,result_rows:long>"), F.struct(F.col("matched").alias("m")), F.lit(None).cast("struct<c:string,m:long>")))
     parts = parts.unionAll(cell.select(F.lit(None).cast("struct<matched:long,gold_rows:long,result_rows:long>"), F.lit(None).cast("struct<m:long>"), F.struct(F.col("column").alias("c"), F.col("matched").alias("m"))))
@@ -211,6 +261,19 @@ def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool
     return one.select("schema_f1", "key_f1", "cell_f1", "exact_f1", F.round(score, 6).alias("score"), "gold_rows", "result_rows")
 
 
+def column_scores(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each gold column: matched cells of paired rows, precision, recall and F1; a column the result lacks has none."""
+    shared = [c for c in gold.columns if c in result.columns]
+    rows = cut(counts(gold, result, shared))
+    every = gold.sparkSession.createDataFrame([(c, "matched" if c in shared else "missing_column") for c in gold.columns], "column string, status string")
+    whole = rows.agg(total(F.col("g")).alias("gold_cells"), total(F.col("r")).alias("result_cells")).first()
+    at = every.join(cells_of(rows, keys, shared), "column", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
+    at = at.withColumns({c: F.lit(whole[c]).cast("long") for c in ("gold_cells", "result_cells")})
+    share = lambda c: F.round(F.col("matched") / F.greatest(F.col(c), F.lit(1)), 6)
+    out = at.withColumn("precision", share("result_cells")).withColumn("recall", share("gold_cells"))
+    return out.withColumn("column_f1", F.when(F.col("status") == "matched", f1(F.col("matched"), F.col("result_cells"), F.col("gold_cells"))).otherwise(0.0)).select("column", "status", "matched", "gold_cells", "result_cells", "precision", "recall", "column_f1")
+
+
 def package_files(gold: dict[str, DataFrame], result: dict[str, DataFrame], keys: dict[str, list[str]], unique: bool = False) -> DataFrame:
     """File scores of a package; a missing file scores zero and keeps its gold rows."""
     parts = []

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources.lineage import cut
+
 
 def order_key(seed: str, key: str) -> Column:
     """A digest that orders keys the same in every engine."""
@@ -44,10 +46,11 @@ def by_ratio(df: DataFrame, key: str, train: float, validation: float, seed: str
 
 def quotas(sizes: DataFrame, count: int) -> DataFrame:
     """(stratum, quota): count shared by largest remainder, ties by size, then name; sizes has a row a stratum."""
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    at = sizes.withColumn("q", F.floor(F.col("n") * count / F.lit(max(total, 1)))).withColumn("f", F.col("n") * count % F.lit(max(total, 1)))
-    left = F.lit(min(count, total)) - F.sum("q").over(Window.partitionBy(F.lit(1)))
-    return at.withColumn("more", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("f"), F.desc("n"), "_s")) <= left).select("_s", (F.col("q") + F.col("more").cast("long")).alias("quota"))
+    total = max(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
+    at = cut(sizes.withColumn("q", F.floor(F.col("n") * count / F.lit(total))).withColumn("f", F.col("n") * count % F.lit(total)))
+    left = min(count, total) - (at.agg(F.sum("q")).first()[0] or 0)
+    more = at.orderBy(F.desc("f"), F.desc("n"), "_s").limit(max(left, 0)).select("_s", F.lit(1).alias("_more"))
+    return at.join(more, "_s", "left").select("_s", (F.col("q") + F.coalesce("_more", F.lit(0))).cast("long").alias("quota"))
 
 
 def by_count(df: DataFrame, key: str, train: int, validation: int, test: int | None, seed: str, stratum: str | None = None) -> DataFrame:

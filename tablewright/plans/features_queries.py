@@ -69,12 +69,12 @@ def primary_code(spark, d):
 
 @query(
     "procedure_features",
-    W.sql(f"""c AS (SELECT hadm_id, {CLEAN} AS code, long_title FROM diagnoses LEFT JOIN code_dictionary USING (icd_code, icd_version) WHERE l_suppkey % 3 = 0)
+    W.sql(f"""c AS (SELECT hadm_id, {CLEAN} AS code, long_title FROM diagnoses LEFT JOIN code_dictionary USING (icd_code, icd_version))
   SELECT hadm_id, count(*) AS px_count, count(DISTINCT code) AS px_distinct, string_agg(DISTINCT code, '|' ORDER BY code) AS px_codes,
   coalesce(string_agg(DISTINCT long_title, '|' ORDER BY long_title), '') AS px_titles FROM c GROUP BY 1"""),
 )
 def procedure_features(spark, d):
-    rows = X.enrich(W.diagnoses(spark, d).where("l_suppkey % 3 = 0"), W.code_dictionary(spark, d), ["icd_code", "icd_version"])
+    rows = X.enrich(W.diagnoses(spark, d), W.code_dictionary(spark, d), ["icd_code", "icd_version"])
     return X.code_features(rows, "hadm_id", "px", titles=True).select("hadm_id", "px_count", "px_distinct", "px_codes", "px_titles")
 
 

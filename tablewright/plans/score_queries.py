@@ -61,11 +61,28 @@ def normalize_cells(spark, d):
     return table(spark, d, "part").select("p_partkey", normal_cell(value).alias("cell"))
 
 
-@query("score_schema", "SELECT round(2 / 3, 6) AS recall, 1.0 AS precision, round(4 / 5, 6) AS f1 WHERE (SELECT count(*) FROM part) >= 0")
+@query("score_schema", """SELECT 'p_partkey' AS "column", count(p_partkey) AS gold_cells, count(p_partkey) AS result_cells, round(2 / 3, 6) AS recall, 1.0 AS precision, round(4 / 5, 6) AS f1 FROM part
+  UNION ALL SELECT 'p_brand', count(nullif(p_brand, '')), count(nullif(p_brand, '')), round(2 / 3, 6), 1.0, round(4 / 5, 6) FROM part UNION ALL SELECT 'p_size', count(p_size), 0, round(2 / 3, 6), 1.0, round(4 / 5, 6) FROM part""")
 def score_schema(spark, d):
-    g, r = gold(spark, d)["features/parts"], result(spark, d)["features/parts"]
-    s = S.schema_score(g.columns, r.columns)
-    return spark.createDataFrame([(s["recall"], s["precision"], s["f1"])], "recall double, precision double, f1 double")
+    return S.schema_report(gold(spark, d)["features/parts"], result(spark, d)["features/parts"])
+
+
+BRANDS = """f AS (SELECT DISTINCT CASE p_size % 9 WHEN 0 THEN 'Cohort/' WHEN 1 THEN 'csv/labels.csv' WHEN 2 THEN 'features/preproc_chart_icu.csv' WHEN 3 THEN 'features/preproc_med_icu.csv' WHEN 4 THEN 'summary/diag_' WHEN 5 THEN 'summary/' WHEN 6 THEN 'x/labels.csv' ELSE 'other/' END
+  || CASE WHEN p_size % 9 IN (0, 4, 5, 7, 8) THEN lower(replace(p_brand, '#', '_')) || '.csv' ELSE '' END AS path, CASE WHEN p_size % 9 = 7 THEN ['note', 'hadm_id', 'itemid'] WHEN p_brand LIKE '%1' THEN ['case_id', 'stay_id'] WHEN p_brand LIKE '%2' THEN ['note'] ELSE ['itemid', 'subject_id'] END AS columns FROM part)"""
+
+
+@query("key_contract", f"""WITH {BRANDS} SELECT path, array_to_string(columns, ',') AS columns, array_to_string(CASE WHEN lower(path) LIKE 'cohort/%' OR lower(path) LIKE '%/labels.csv' THEN ['stay_id'] WHEN path = 'features/preproc_chart_icu.csv' THEN ['stay_id', 'itemid', 'event_time_from_admit']
+  WHEN path = 'features/preproc_med_icu.csv' THEN ['subject_id', 'hadm_id', 'stay_id', 'itemid', 'starttime', 'endtime', 'orderid'] WHEN path LIKE 'summary/diag_%' THEN ['new_icd_code'] WHEN path LIKE 'summary/%' THEN ['itemid'] WHEN list_contains(columns, 'case_id') THEN ['case_id']
+  WHEN list_contains(columns, 'hadm_id') THEN ['hadm_id'] WHEN list_contains(columns, 'subject_id') THEN ['subject_id'] ELSE [] END, ',') AS keys FROM f""")
+def key_contract(spark, d):
+    p = table(spark, d, "part").withColumn("k", F.col("p_size") % 9)
+    name = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(".csv"))
+    of = ["Cohort/", "csv/labels.csv", "features/preproc_chart_icu.csv", "features/preproc_med_icu.csv", "summary/diag_", "summary/", "x/labels.csv", "other/", "other/"]
+    path = F.concat(F.get(F.array(*map(F.lit, of)), F.col("k").cast("int")), F.when(F.col("k").isin(0, 4, 5, 7, 8), name).otherwise(""))
+    list_ = lambda *c: F.array(*map(F.lit, c))
+    columns = F.when(F.col("k") == 7, list_("note", "hadm_id", "itemid")).when(F.col("p_brand").endswith("1"), list_("case_id", "stay_id")).when(F.col("p_brand").endswith("2"), list_("note")).otherwise(list_("itemid", "subject_id"))
+    out = S.key_contract(p.select(path.alias("path"), columns.alias("columns")).distinct(), "case_id")
+    return out.select("path", F.array_join("columns", ",").alias("columns"), F.array_join("keys", ",").alias("keys"))
 
 
 @query("score_key_structure", f"WITH {G} SELECT mk AS matched, ng AS gold_rows, nr AS result_rows, {f1_sql('mk')} AS key_f1 FROM n")
@@ -79,6 +96,24 @@ def score_cells(spark, d):
     return S.cells_unique(g, result(spark, d)["cohort/orders"], ["o_orderkey"], g.columns)
 
 
+PER_COLUMN = f"""pc AS (SELECT 'o_orderkey' AS "column", mk AS matched FROM n UNION ALL SELECT 'o_custkey', mc::BIGINT FROM n UNION ALL SELECT 'o_orderstatus', ms::BIGINT FROM n UNION ALL SELECT 'o_orderpriority', mp::BIGINT FROM n),
+  cs AS (SELECT "column", 'matched' AS status, matched, ng AS gold_cells, nr AS result_cells, round(matched / greatest(nr, 1), 6) AS precision, round(matched / greatest(ng, 1), 6) AS recall, {f1_sql('matched')} AS column_f1 FROM pc, n UNION ALL
+  SELECT 'o_note', 'missing_column', 0, ng, nr, 0.0, 0.0, 0.0 FROM n)"""
+
+
+@query("score_columns", f"WITH {G}, {PER_COLUMN} SELECT * FROM cs")
+def score_columns(spark, d):
+    g = gold(spark, d)["cohort/orders"].withColumn("o_note", F.lit("n"))
+    return S.column_scores(g, result(spark, d)["cohort/orders"], ["o_orderkey"])
+
+
+@query("low_column_targets", f"WITH {G}, {PER_COLUMN} SELECT 'cohort/orders' AS path, 'low_column_f1' AS target, \"column\" AS detail FROM cs WHERE column_f1 < 0.98")
+def low_column_targets(spark, d):
+    g, r = gold(spark, d)["cohort/orders"].withColumn("o_note", F.lit("n")), result(spark, d)["cohort/orders"]
+    columns = S.column_scores(g, r, ["o_orderkey"]).withColumn("path", F.lit("cohort/orders"))
+    return S.repair_targets(files(spark, d), columns).where("target = 'low_column_f1'")
+
+
 LINES = """g AS (SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, lower(l_returnflag) AS c FROM lineitem),
   r AS (SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, CASE WHEN l_suppkey % 9 = 0 THEN 'x' ELSE lower(l_returnflag) END AS c FROM lineitem WHERE l_partkey % 50 <> 0),
   m AS (SELECT sum(x) AS x, sum(y) AS y FROM (SELECT a, b, c, 1 AS x, 0 AS y FROM g UNION ALL SELECT a, b, c, 0, 1 FROM r) GROUP BY a, b, c)"""
@@ -227,7 +262,8 @@ def repair_target_ids(spark, d):
     return S.target_ids(S.repair_targets(files(spark, d)))
 
 
-@query("targets_from_issues", f"WITH {FILES}, {TARGETS} SELECT DISTINCT 'features/' || replace(p_name, ' ', '_') AS path, 'reported_issue' AS target FROM part WHERE p_size % 5 = 0")
+@query("targets_from_issues", f"WITH {FILES}, {TARGETS} SELECT DISTINCT 'features/' || replace(p_name, ' ', '_') AS path, 'reported_issue' AS target FROM part UNION SELECT 'cohort/' || p_brand[7:], 'reported_issue' FROM part WHERE p_size % 5 = 0")
 def targets_from_issues(spark, d):
-    texts = table(spark, d, "part").where("p_size % 5 = 0").select(F.concat(F.lit("see features/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(" and features/parts.")).alias("text"))
+    more = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" or cohort/"), F.substring("p_brand", 7, 9))).otherwise("")
+    texts = table(spark, d, "part").select(F.concat(F.lit("see features/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(" and features/parts"), more).alias("text"))
     return S.targets_from_issues(texts, S.repair_targets(files(spark, d)))
