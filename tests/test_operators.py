@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import f1, format_pattern, normal_cell, safe_name
-from tablewright.operators import cohort, constraints, delta, features, inject, profile, repair, score, splits
+from tablewright.operators import cohort, constraints, delta, events, features, gates, inject, profile, repair, score, splits
 from tablewright.plans import gates_queries
 
 
@@ -196,3 +196,73 @@ def test_score_hot_key_is_paired(spark):
     gold = spark.range(1500).select(F.lit(1).alias("k"), F.concat(F.lit("a"), (F.col("id") % 30).cast("string")).alias("x"), F.concat(F.lit("g"), (F.col("id") % 20).cast("string")).alias("y"))
     result = gold.select("k", "x", F.concat(F.lit("r"), F.col("y")).alias("y"))
     assert dict(rows(score.cells(gold, result, ["k"], ["k", "x", "y"]))) == {"k": 1500, "x": 1500, "y": 0}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_vocabulary_places_do_not_depend_on_the_ranges(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).select(F.md5((F.col("id") % 40_000).cast("string")).alias("v")).repartition(5)
+        out = events.vocabulary(df, "v")
+        assert out.agg(F.count_distinct("idx"), F.min("idx"), F.max("idx")).first() == (40_000, 0, 39_999)
+        first = out.orderBy("idx").limit(3).collect()
+        assert [r.value for r in first] == sorted(r.v for r in df.distinct().collect())[:3]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_one_row_of_a_key_however_rows_are_dealt(spark):
+    rows = [(k, f"v{i}", i) for k in range(4) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, v string, n int")
+    want = None
+    for n in (1, 2, 7):
+        got = sorted(tuple(r) for r in features.assemble(df.select("k").distinct(), [df.repartition(n, "n")], "k").collect())
+        want = want or got
+        assert got == want and len(got) == 4
+    nulls = spark.createDataFrame([(1, None, None), (1, None, None), (None, "x", 2)], "k int, v string, n int")
+    assert sorted(map(str, features.first_by_digest(nulls, ["k"]).collect())) == sorted(["Row(k=1, v=None, n=None)", "Row(k=None, v='x', n=2)"])
+
+
+def test_shares_of_nothing_are_whole(spark):
+    empty = spark.createDataFrame([], "path string, clean_hash string, dirty_hash string, status string")
+    assert repair.metrics(empty).first()[-2:] == (1.0, 1.0)
+    updates = spark.createDataFrame([("t", "a", "b", "missed")], empty.schema)
+    assert repair.metrics(updates).first()[-2:] == (0.0, 1.0)
+    rows = spark.createDataFrame([("t", "a", 1, 0, 0)], "path string, hash string, clean int, dirty int, result int")
+    assert repair.preservation(rows, updates).first().preservation_rate == 1.0
+
+
+def test_inspect_tells_long_values_apart(spark):
+    df = spark.createDataFrame([("x" * 600 + str(i),) for i in range(5)], "v string")
+    assert profile.inspect(df).first().distinct_values == 5
+
+
+def test_later_requests_see_what_earlier_ones_left(spark):
+    rows = spark.createDataFrame([(i, str(i % 2), "7", "2000-01-01 00:00:00", "5") for i in range(4)], "_row_index long, stay_id string, itemid string, charttime string, valuenum string")
+    stays = spark.createDataFrame([(0, 10, 1, "2000-01-01 00:00:00", "2000-01-03 00:00:00"), (1, 11, 2, "2000-01-01 00:00:00", "2000-01-03 00:00:00")], "stay_id long, hadm_id long, subject_id long, intime string, outtime string")
+    kinds = ["unit_scale_error", "label_leakage_feature", "unit_scale_error", "duplicate_row", "chart_itemid_alias_split"]
+    requests = spark.createDataFrame([(i, 1, "c", k) for i, k in enumerate(kinds)], "source_error_id long, canonical_stay_id long, error_class string, error_subtype string")
+    dirty, log = inject.inject("chartevents", rows, stays, requests)
+    got = sorted((r.itemid, r.valuenum) for r in dirty.where("_row_index = 1").collect())
+    assert got == [("7", "50000.0"), ("990045", "50000.0"), ("999001", "0")] and dirty.count() == 6
+    assert [(r.error_subtype, r.clean_value, r.dirty_value) for r in log.orderBy("source_error_id").collect()] == [
+        ("unit_scale_error", "5", "500.0"), ("label_leakage_feature", None, None), ("unit_scale_error", "500.0", "50000.0"), ("duplicate_row", None, None), ("chart_itemid_alias_split", "7", "990045"),
+    ]
+
+
+def test_quotas_of_many_strata(spark):
+    sizes = spark.createDataFrame([(f"s{i}", 1 + i % 3) for i in range(50)], "_s string, n long")
+    got = splits.quotas(sizes, 37).collect()
+    assert sum(r.quota for r in got) == 37 and all(0 <= r.quota <= 3 for r in got)
+    assert sum(r.quota for r in splits.quotas(sizes, 10_000).collect()) >= 99 and splits.quotas(sizes.limit(0), 5).count() == 0
+
+
+def test_gate_of_an_empty_and_a_placeholder_table(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "stay_id int")
+    expected = {p: spark.createDataFrame([], "stay_id int, v string") for p in ("cohort/a", "features/b", "csv/c")}
+    result = {"cohort/a": expected["cohort/a"], "features/b": spark.createDataFrame([(1, "TODO"), (3, None)], "stay_id int, v string"), "csv/c": spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "stay_id int, v string")}
+    got = {(r.path, r.issue): r["count"] for r in gates.business_gate(expected, result, {p: ["stay_id"] for p in expected}, keys, "stay_id").collect()}
+    assert got == {("cohort/a", "empty"): 1, ("cohort/a", "uncovered_keys"): 2, ("features/b", "placeholder_only"): 1, ("features/b", "unknown_keys"): 1, ("csv/c", "duplicate_keys"): 1, ("csv/c", "duplicate_business_keys"): 1}
