@@ -21,10 +21,20 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small(minhash.cut(gone)), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    return left.select(*docs.columns)
+    """One document of each near-duplicate group, and one row of each document."""
+    found = minhash.cut(minhash.near_duplicates(docs).select("doc_id", "kept"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_again"))
+    again = minhash.cut(again)
+    if again.isEmpty():
+        return left
+    # rows of one id are one document: its longest text stays, ties by the text
+    same = left["doc_id"].cast("long") == F.col("_again")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.coalesce(F.length(F.col("text").cast("string")), F.lit(-1)).alias("n"), F.col("text").cast("string").alias("t"))
+    one = left.join(small(again), same).groupBy("_again").agg(F.max_by(row, order).alias("row")).select("row.*")
+    return left.join(small(again), same, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
