@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import is_missing, rate
@@ -82,34 +82,56 @@ def local_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
+def local_rule(df: DataFrame, rule: dict) -> Column | None:
+    """The violation of a row-local rule, or None where the rule needs other rows."""
+    kind = rule["type"]
+    if kind == "not_null":
+        return not_null(rule["columns"])
+    if kind == "allowed_values":
+        return allowed_values(rule["column"], rule["values"])
+    if kind == "range":
+        return in_range(rule["column"], rule.get("min"), rule.get("max"))
+    if kind == "regex":
+        return full_match(rule["column"], rule["pattern"])
+    if kind == "temporal_order":
+        return temporal_order(df, rule["start"], rule["end"])
+    return None
+
+
+def violating(df: DataFrame, rule: dict, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """df with violates; an unknown type of rule is refused."""
+    kind, local = rule["type"], local_rule(df, rule)
+    if local is not None:
+        return df.withColumn("violates", local)
+    if kind == "unique":
+        return unique(df, rule["columns"])
+    if kind == "functional_dependency":
+        return functional_dependency(df, rule["determinant"], rule["dependent"])
+    if kind == "foreign_key":
+        return foreign_key(df, rule["columns"], parents[rule["parent"]], rule["parent_columns"])
+    raise ValueError(f"unknown constraint type: {kind}")
+
+
 def report(df: DataFrame, rules: list[dict], parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Violations of every rule: {"name", "type", ...}; an unknown type is refused."""
-    local, parts = {}, []
-    for r in rules:
-        kind, name = r["type"], r["name"]
-        if kind == "not_null":
-            local[name] = not_null(r["columns"])
-        elif kind == "allowed_values":
-            local[name] = allowed_values(r["column"], r["values"])
-        elif kind == "range":
-            local[name] = in_range(r["column"], r.get("min"), r.get("max"))
-        elif kind == "regex":
-            local[name] = full_match(r["column"], r["pattern"])
-        elif kind == "temporal_order":
-            local[name] = temporal_order(df, r["start"], r["end"])
-        elif kind == "unique":
-            parts.append(summary(unique(df, r["columns"]), name))
-        elif kind == "functional_dependency":
-            parts.append(summary(functional_dependency(df, r["determinant"], r["dependent"]), name))
-        elif kind == "foreign_key":
-            parts.append(summary(foreign_key(df, r["columns"], parents[r["parent"]], r["parent_columns"]), name))
-        else:
-            raise ValueError(f"unknown constraint type: {kind}")
-    if local:
-        parts.insert(0, local_report(df, local))
+    """Violations of every rule: {"name", "type", ...}; row-local rules share one aggregate."""
+    local = {r["name"]: c for r in rules if (c := local_rule(df, r)) is not None}
+    parts = [local_report(df, local)] if local else []
+    parts += [summary(violating(df, r, parents), r["name"]) for r in rules if r["name"] not in local]
     return reduce(DataFrame.unionByName, parts)
 
 
-def examples(violating: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
+def totals(reported: DataFrame) -> DataFrame:
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return reported.agg(n(F.col("passed")).alias("passed_count"), n(~F.col("passed")).alias("failed_count"), n(F.col("violations")).alias("violations"))
+
+
+def examples(marked: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
     """Up to so many violating rows, in key order."""
-    return violating.where("violates").orderBy(*keys).limit(limit)
+    return marked.where("violates").orderBy(*keys).limit(limit)
+
+
+def report_examples(df: DataFrame, rules: list[dict], keys: list[str], parents: dict[str, DataFrame] | None = None, limit: int = 10) -> DataFrame:
+    """(constraint, keys ..., place): up to so many violating rows of each rule, in the order of the given columns."""
+    place = F.row_number().over(Window.partitionBy("constraint").orderBy(*keys))  # over limit rows a rule
+    parts = [examples(violating(df, r, parents), keys, limit).select(F.lit(r["name"]).alias("constraint"), *keys) for r in rules]
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place)

@@ -39,6 +39,31 @@ def item_summary(events: DataFrame, key: str = "itemid") -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("total_count"), F.count_distinct("hadm_id").alias("visits"), missing.alias("missing_rate"))
 
 
+def summary_tables(families: dict[str, tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """(name, item, total_count, visits, missing_rate) of the summary and features tables of each family (events, item column, value column).
+
+    A summary has every item; a features table those with a value, and counts these.
+    """
+    parts = []
+    for name, (events, key, value) in sorted(families.items()):
+        number = F.col(value).try_cast("double") if value else F.col(key)
+        some = events.groupBy(F.col(key).cast("string").alias("item")).agg(F.count("*").alias("total_count"), F.count_distinct("hadm_id").alias("visits"), F.count(number).alias("_n"))
+        some = some.where("item is not null").withColumn("missing_rate", F.round(1 - F.col("_n") / F.col("total_count"), 6))
+        kinds = F.array(F.struct(F.lit(f"{name}_summary").alias("name"), F.col("total_count").alias("n")), F.struct(F.lit(f"{name}_features").alias("name"), F.col("_n").alias("n")))
+        parts.append(some.select("item", "visits", "missing_rate", F.inline(kinds)).where("n > 0").select("name", "item", F.col("n").alias("total_count"), "visits", "missing_rate"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stay_demo(cohort: DataFrame) -> DataFrame:
+    """What is known of a stay's person."""
+    return cohort.select("stay_id", "Age", "gender", "ethnicity", "insurance")
+
+
+def stay_static(stays: DataFrame, codes: DataFrame, key: str) -> DataFrame:
+    """(stay_id, root, value): each root of the codes a stay has, once."""
+    return stays.select("stay_id", key).join(codes.select(key, F.col("root_icd_code").alias("root")), key).select("stay_id", "root").distinct().withColumn("value", F.lit(1))
+
+
 def label_eligible(stays: DataFrame, include: int = 72, predict: int = 2) -> DataFrame:
     """Stays of at least so many whole hours."""
     whole = F.floor((F.unix_timestamp("outtime") - F.unix_timestamp("intime")) / 3600)

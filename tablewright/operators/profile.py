@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import format_pattern, is_missing, rate
+from tablewright.sources.lineage import cut
 
 #: Texts of a boolean column.
 BOOLEANS = ("true", "false", "0", "1", "yes", "no")
@@ -38,28 +39,53 @@ def logical_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.select("column", "n", kind.alias("logical_type"))
 
 
+def quantiles(df: DataFrame, by: list[str], x: str, shares: tuple[float, ...]) -> DataFrame:
+    """by and q (an array): exact quantiles of x in each group, linear between neighbours.
+
+    Equal values are counted first; the counts are range-sorted once, places are summed inside
+    ranges and ranges are added up, so that no task holds a group and no map its values.
+    """
+    group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)]))
+    counts = df.where(F.col(x).isNotNull()).groupBy(group.alias("_g"), F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange("_g", "_x").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p", "_g").agg(F.sum("_c").alias("_s"))  # a row for each range and group in it
+    sizes = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_s")).withColumn("_n", F.sum("_s").over(Window.partitionBy("_g"))).drop("_s")
+    inside = F.sum("_c").over(Window.partitionBy("_p", "_g").orderBy("_x")) - F.col("_c")
+    at = ranged.withColumn("_lo", inside).join(sizes, ["_p", "_g"]).withColumn("_lo", F.col("_lo") + F.col("_before"))
+    place = lambda s: (F.col("_n") - 1) * F.lit(float(s))
+    value = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_lo") + F.col("_c")), F.col("_x")))
+    ends = [v.alias(f"{e}{i}") for i, s in enumerate(shares) for e, v in (("a", value(F.floor(place(s)))), ("b", value(F.ceil(place(s)))))]
+    found = at.groupBy("_g").agg(F.first("_n").alias("_n"), *ends)
+    q = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(s) - F.floor(place(s))) for i, s in enumerate(shares)]
+    return df.select(*by, group.alias("_g")).distinct().join(found.select("_g", F.array(*q).alias("q")), "_g").drop("_g")
+
+
 def profile_columns(df: DataFrame, columns: list[str] | None = None, keys: list[str] = ()) -> DataFrame:
     """Missing, distinct, five-number summary of numbers and lengths of texts, a row a column (and group)."""
     cells = long_cells(df, columns, list(keys))
     value = F.when(~is_missing(F.col("value")), F.col("value"))
     x, length = value.try_cast("double"), F.length(value)
-    cells = cells.select(*keys, "column", value.alias("v"), x.alias("x"), length.alias("l"))
-    five = F.percentile("x", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    out = cells.groupBy(*keys, "column").agg(
-        F.count("*").alias("n_rows"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("distinct_values"), F.count("x").alias("numbers"), five.alias("five"), F.min("l").alias("min_length"), F.max("l").alias("max_length"),
+    by = [*keys, "column"]
+    cells = cells.select(*by, value.alias("v"), x.alias("x"), length.alias("l"))
+    out = cells.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("distinct_values"), F.count("x").alias("numbers"), F.min("l").alias("min_length"), F.max("l").alias("max_length"),
     )
+    both = cells.select(*by, F.inline(F.array(F.struct(F.lit("x").alias("what"), F.col("x").alias("m")), F.struct(F.lit("l").alias("what"), F.col("l").cast("double").alias("m")))))
+    places = quantiles(both, [*by, "what"], "m", (0.0, 0.25, 0.5, 0.75, 1.0)).groupBy(*by).agg(F.max(F.when(F.col("what") == "x", F.col("q"))).alias("five"), F.max(F.when(F.col("what") == "l", F.get("q", F.lit(2)))).alias("median_length"))
+    same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by))
+    out = out.alias("o").join(places.alias("p"), same, "left").select("o.*", "p.five", "p.median_length")
     numeric = (F.col("n_rows") > F.col("missing")) & (F.col("numbers") >= 0.95 * (F.col("n_rows") - F.col("missing")))
     at = lambda i: F.when(numeric, F.round(F.get("five", F.lit(i)), 6))
     names = ("min_value", "q25", "median_value", "q75", "max_value")
-    return out.select(*keys, "column", "n_rows", "missing", rate(F.col("missing"), F.col("n_rows")).alias("missing_rate"), "distinct_values", numeric.alias("is_numeric"), *[at(i).alias(n) for i, n in enumerate(names)], "min_length", "max_length")
+    return out.select(*by, "n_rows", "missing", rate(F.col("missing"), F.col("n_rows")).alias("missing_rate"), "distinct_values", numeric.alias("is_numeric"), *[at(i).alias(n) for i, n in enumerate(names)], "min_length", F.round("median_length", 6).alias("median_length"), "max_length")
 
 
-def top_values(df: DataFrame, columns: list[str], k: int, patterns: bool = False) -> DataFrame:
-    """The k most frequent values (or format patterns) of each column; counts come before ranks."""
-    cells = long_cells(df, columns).where(~is_missing(F.col("value")))
+def top_values(df: DataFrame, columns: list[str], k: int, patterns: bool = False, keys: list[str] = ()) -> DataFrame:
+    """The k most frequent values (or format patterns) of each column (and group); counts come before ranks."""
+    cells = long_cells(df, columns, list(keys)).where(~is_missing(F.col("value")))
     shown = format_pattern(F.col("value")) if patterns else F.col("value")
-    counts = cells.groupBy("column", shown.alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    counts = cells.groupBy(*keys, "column", shown.alias("value")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "column").orderBy(F.desc("n"), "value")
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
@@ -73,15 +99,25 @@ def profile_table(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def profile_by_group(df: DataFrame, keys: list[str], values: list[str], most: int = 1000) -> DataFrame:
-    """Per group and column: rows, missing, distinct, inconsistent; more groups than allowed is an error."""
+def group_limit(df: DataFrame, keys: list[str], most: int) -> None:
     if df.select(*keys).distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} groups")
+
+
+def profile_by_group(df: DataFrame, keys: list[str], values: list[str], most: int = 1000) -> DataFrame:
+    """Per group and column: rows, missing, distinct, inconsistent; more groups than allowed is an error."""
+    group_limit(df, keys, most)
     cells = long_cells(df, values, keys)
     value = F.when(~is_missing(F.col("value")), F.col("value"))
     return cells.groupBy(*keys, "column").agg(F.count("*").alias("n_rows"), F.count(F.when(value.isNull(), 1)).alias("missing"), F.count_distinct(value).alias("distinct_values")).withColumn("inconsistent", F.col("distinct_values") > 1)
 
 
+def group_statistics(df: DataFrame, keys: list[str], values: list[str], most: int = 1000) -> DataFrame:
+    """profile_columns() of each group, with inconsistent, larger groups first."""
+    group_limit(df, keys, most)
+    return profile_columns(df, values, keys).withColumn("inconsistent", F.col("distinct_values") > 1).orderBy(F.desc("n_rows"), *keys, "column")
+
+
 def inspect(df: DataFrame, most: int = 80, distinct: int = 2000) -> DataFrame:
     """Missing cells and capped distinct counts of up to so many columns, in one pass; whole values are told apart."""
     cells = long_cells(df, df.columns[:most])

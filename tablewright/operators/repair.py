@@ -86,6 +86,17 @@ def apply_values(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return df.join(own, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).select(*df.columns)
 
 
+def mapping_check(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """One row: rows, cells changed, and rows beyond the first of equal ones before and after a mapping is applied."""
+    new = apply_values(df, mapping, column)
+    spare = lambda d: F.count("*") - F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in d.columns]))
+    before, after = df.agg(F.count("*").alias("n_rows"), spare(df).alias("duplicates_before")), new.agg(spare(new).alias("duplicates_after"))
+    changed = df.join(mapping.where(F.col("column") == column).select(F.col("dirty").alias(column)), column, "left_semi").agg(F.count("*").alias("changed"))
+    rows = [d.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in d.columns]))) for d in (before, after, changed)]
+    pick = lambda c: F.max(F.when(F.col("name") == c, F.col("n"))).alias(c)
+    return reduce(DataFrame.unionByName, rows).agg(*map(pick, ("n_rows", "changed", "duplicates_before", "duplicates_after")))
+
+
 def nullify(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Cells that provably violate a rule become null; rare but valid ones stay."""
     return df.select(*[F.when(~F.coalesce(rules[c], F.lit(False)), F.col(c)).alias(c) if c in rules else F.col(c) for c in df.columns])

@@ -275,13 +275,13 @@ def column_scores(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFr
 
 
 def package_files(gold: dict[str, DataFrame], result: dict[str, DataFrame], keys: dict[str, list[str]], unique: bool = False) -> DataFrame:
-    """File scores of a package; a missing file scores zero and keeps its gold rows."""
+    """File scores of a package; a missing file, or None for one that cannot be read, scores zero and keeps its gold rows."""
     parts = []
     for path, g in sorted(gold.items()):
-        if path in result:
+        if result.get(path) is not None:
             row = file_score(g, result[path], keys[path], unique).withColumn("status", F.lit("scored"))
         else:
-            row = g.agg(F.count("*").alias("gold_rows")).select(*[F.lit(0.0).alias(c) for c in ("schema_f1", "key_f1", "cell_f1", "exact_f1", "score")], "gold_rows", F.lit(0).cast("long").alias("result_rows"), F.lit("missing").alias("status"))
+            row = g.agg(F.count("*").alias("gold_rows")).select(*[F.lit(0.0).alias(c) for c in ("schema_f1", "key_f1", "cell_f1", "exact_f1", "score")], "gold_rows", F.lit(0).cast("long").alias("result_rows"), F.lit("unreadable" if path in result else "missing").alias("status"))
         parts.append(row.select(F.lit(path).alias("path"), "status", "schema_f1", "key_f1", "cell_f1", "exact_f1", "score", "gold_rows", "result_rows"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -333,7 +333,7 @@ def repair_targets(files: DataFrame, column_scores: DataFrame | None = None, low
     """(path, target, detail): what a repair should look at, first so many, without any cell value."""
     at = lambda name, c: files.where(c).select("path", F.lit(name).alias("target"), F.lit("").alias("detail"))
     scored = F.col("status") == "scored"
-    out = at("missing_file", F.col("status") == "missing").unionByName(at("missing_columns", scored & (F.col("schema_f1") < 1)))
+    out = at("missing_file", F.col("status").isin("missing", "unreadable")).unionByName(at("missing_columns", scored & (F.col("schema_f1") < 1)))
     out = out.unionByName(at("key_structure_mismatch", scored & (F.col("key_f1") < low))).unionByName(at("low_exact_row_f1", scored & (F.col("exact_f1") < low)))
     if column_scores is not None:
         out = out.unionByName(column_scores.where(F.col("column_f1") < low).select("path", F.lit("low_column_f1").alias("target"), F.col("column").alias("detail")))

@@ -47,6 +47,30 @@ def item_summary(spark, d):
     return E.item_summary(W.measures(spark, d))
 
 
+FAMILY = """SELECT '{0}' AS family, {1}::VARCHAR AS item, count(*) AS n, count(DISTINCT hadm_id) AS visits, count({2}) AS filled FROM {3} GROUP BY 2"""
+
+
+@query(
+    "summary_tables",
+    W.sql("f AS (" + " UNION ALL ".join(FAMILY.format(*x) for x in (("chart", "itemid", "try_cast(valuenum AS DOUBLE)", "measures"), ("diag", "icd_code", "icd_code", "diagnoses"), ("med", "drug", "drug", "prescriptions"))) + """)
+  SELECT family || '_summary' AS name, item, n AS total_count, visits, round(1 - filled / n, 6) AS missing_rate FROM f WHERE item IS NOT NULL UNION ALL
+  SELECT family || '_features', item, filled, visits, round(1 - filled / n, 6) FROM f WHERE item IS NOT NULL AND filled > 0"""),
+)
+def summary_tables(spark, d):
+    return E.summary_tables({"chart": (W.measures(spark, d), "itemid", "valuenum"), "diag": (W.diagnoses(spark, d), "icd_code", None), "med": (W.prescriptions(spark, d), "drug", None)})
+
+
+@query("stay_demo", W.sql(CONTRACT + ' SELECT stay_id, "Age", gender, ethnicity, insurance FROM cohort'))
+def stay_demo(spark, d):
+    return E.stay_demo(cohort(spark, d))
+
+
+@query("stay_static", W.sql("""m AS (SELECT DISTINCT icd_code, 'N' || substr(icd_code, 3) AS new_icd_code FROM code_dictionary WHERE icd_version = 9)
+  SELECT DISTINCT stay_id, substr(new_icd_code, 1, 3) AS root, 1 AS value FROM stays JOIN diagnoses USING (hadm_id) JOIN m USING (icd_code)"""))
+def stay_static(spark, d):
+    return E.stay_static(W.stays(spark, d), map_code_system(spark, d), "hadm_id")
+
+
 @query("label_eligible", W.sql("SELECT stay_id, hours FROM (SELECT stay_id, floor(epoch(outtime - intime) / 3600)::BIGINT AS hours FROM stays) WHERE hours >= 74"))
 def label_eligible(spark, d):
     return E.label_eligible(W.stays(spark, d)).select("stay_id", "hours")

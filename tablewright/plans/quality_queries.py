@@ -65,7 +65,7 @@ PROFILE = """SELECT {keys} "column", count(*) AS n_rows, count(*) - count(v) AS
   count(v) > 0 AND count(x) >= 0.95 * count(v) AS is_numeric,
   CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(min(x), 6) END AS min_value, CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(quantile_cont(x, 0.25), 6) END AS q25,
   CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(quantile_cont(x, 0.5), 6) END AS median_value, CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(quantile_cont(x, 0.75), 6) END AS q75,
-  CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(max(x), 6) END AS max_value, min(length(v))::INT AS min_length, max(length(v))::INT AS max_length
+  CASE WHEN count(v) > 0 AND count(x) >= 0.95 * count(v) THEN round(max(x), 6) END AS max_value, min(length(v))::INT AS min_length, round(quantile_cont(length(v)::DOUBLE, 0.5), 6) AS median_length, max(length(v))::INT AS max_length
   FROM (SELECT *, CASE WHEN value IS NOT NULL AND trim(value) <> '' THEN value END AS v, try_cast(CASE WHEN value IS NOT NULL AND trim(value) <> '' THEN value END AS DOUBLE) AS x FROM cells) GROUP BY ALL"""
 
 
@@ -83,6 +83,20 @@ def profile_topk(spark, d):
     return P.top_values(dirty(spark, d), ORDER_COLUMNS[:3], 5)
 
 
+@query("profile_group_statistics", f"WITH {DIRTY}, {cells_sql(['o_orderstatus', 'o_totalprice', 'o_orderdate'], 'o_orderpriority,')} SELECT *, distinct_values > 1 AS inconsistent FROM ({PROFILE.format(keys='o_orderpriority,')})")
+def profile_group_statistics(spark, d):
+    return P.group_statistics(dirty(spark, d), ["o_orderpriority"], ["o_orderstatus", "o_totalprice", "o_orderdate"])
+
+
+@query(
+    "profile_group_topk",
+    f"""WITH {DIRTY}, {cells_sql(['o_orderstatus', 'o_totalprice'], 'o_orderpriority,')}, g AS (SELECT o_orderpriority, "column", value, count(*) AS n FROM cells WHERE {PRESENT} GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, "column" ORDER BY n DESC, value) AS place FROM g) WHERE place <= 5""",
+)
+def profile_group_topk(spark, d):
+    return P.top_values(dirty(spark, d), ["o_orderstatus", "o_totalprice"], 5, keys=["o_orderpriority"])
+
+
 @query("profile_table", "SELECT sum(n)::BIGINT AS n_rows, 3::BIGINT AS n_columns, sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)")
 def profile_table(spark, d):
     return P.profile_table(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
@@ -167,6 +181,21 @@ def _report_row(name: str, condition: str, source: str = "dirty") -> str:
     return f"SELECT '{name}' AS \"constraint\", count(*) AS n_rows, {n} AS violations, round({n}::DOUBLE / greatest(count(*), 1), 6) AS violation_rate, {n} = 0 AS passed FROM {source}"
 
 
+RULES = [
+    {"name": "filled", "type": "not_null", "columns": ["o_orderpriority"]},
+    {"name": "status", "type": "allowed_values", "column": "o_orderstatus", "values": ["F", "O", "P"]},
+    {"name": "price", "type": "range", "column": "o_totalprice", "min": 0},
+    {"name": "date", "type": "regex", "column": "o_orderdate", "pattern": "[0-9]{4}-[0-9]{2}-[0-9]{2}"},
+    {"name": "key", "type": "unique", "columns": ["o_orderkey"]},
+    {"name": "customer", "type": "foreign_key", "columns": ["o_custkey"], "parent": "customer", "parent_columns": ["c_custkey"]},
+]
+BROKEN = {
+    "filled": "o_orderpriority IS NULL OR trim(o_orderpriority) = ''", "status": "o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O', 'P')", "price": "try_cast(o_totalprice AS DOUBLE) IS NULL OR try_cast(o_totalprice AS DOUBLE) < 0",
+    "date": "NOT regexp_full_match(o_orderdate, '[0-9]{4}-[0-9]{2}-[0-9]{2}')", "key": "n > 1", "customer": "o_custkey NOT IN (SELECT c_custkey FROM customer)",
+}
+COUNTED = "(SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS n FROM dirty)"
+
+
 @query(
     "constraint_report",
     f"WITH {DIRTY} "
@@ -180,12 +209,14 @@ def _report_row(name: str, condition: str, source: str = "dirty") -> str:
     )),
 )
 def constraint_report(spark, d):
-    rules = [
-        {"name": "filled", "type": "not_null", "columns": ["o_orderpriority"]},
-        {"name": "status", "type": "allowed_values", "column": "o_orderstatus", "values": ["F", "O", "P"]},
-        {"name": "price", "type": "range", "column": "o_totalprice", "min": 0},
-        {"name": "date", "type": "regex", "column": "o_orderdate", "pattern": "[0-9]{4}-[0-9]{2}-[0-9]{2}"},
-        {"name": "key", "type": "unique", "columns": ["o_orderkey"]},
-        {"name": "customer", "type": "foreign_key", "columns": ["o_custkey"], "parent": "customer", "parent_columns": ["c_custkey"]},
-    ]
-    return K.report(dirty(spark, d), rules, {"customer": table(spark, d, "customer")})
+    return K.report(dirty(spark, d), RULES, {"customer": table(spark, d, "customer")})
+
+
+@query("constraint_totals", f"WITH {DIRTY}, r AS (" + " UNION ALL ".join(_report_row(k, c, COUNTED) for k, c in BROKEN.items()) + ") SELECT count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count, sum(violations)::BIGINT AS violations FROM r")
+def constraint_totals(spark, d):
+    return K.totals(constraint_report(spark, d))
+
+
+@query("constraint_examples", f"WITH {DIRTY}, e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS \"constraint\", o_orderkey, o_orderstatus FROM {COUNTED} WHERE {c}" for k, c in BROKEN.items()) + ") SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"constraint\" ORDER BY o_orderkey, o_orderstatus) AS place FROM e) WHERE place <= 3")
+def constraint_examples(spark, d):
+    return K.report_examples(dirty(spark, d), RULES, ["o_orderkey", "o_orderstatus"], {"customer": table(spark, d, "customer")}, 3)

@@ -253,6 +253,12 @@ def apply_value_map(spark, d):
     return R.apply_values(aliased(spark, d), mapping(spark, d), "o_orderstatus")
 
 
+@query("apply_value_map_check", f"""WITH {MAPPING}, x AS (SELECT o_custkey AS k, {ALIAS} AS s FROM orders), y AS (SELECT k, coalesce(c, s) AS s FROM x LEFT JOIN map_ ON d = s)
+  SELECT (SELECT count(*) FROM x) AS n_rows, (SELECT count(*) FROM x JOIN map_ ON d = s) AS changed, (SELECT count(*) - count(DISTINCT (k, s)) FROM x) AS duplicates_before, (SELECT count(*) - count(DISTINCT (k, s)) FROM y) AS duplicates_after""")
+def apply_value_map_check(spark, d):
+    return R.mapping_check(table(spark, d, "orders").select("o_custkey", F.expr(ALIAS).alias("o_orderstatus")), mapping(spark, d), "o_orderstatus")
+
+
 @query("repair_nullify", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 400000 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS o_orderstatus FROM orders")
 def repair_nullify(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")

@@ -17,6 +17,51 @@ def suffix(path: str) -> str:
     return path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
 
 
+#: Where the tables may lie under a given root, first match first.
+ROOTS = ("", "mimiciv/3.1", "3.1", "raw_mimic")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def resolve_root(spark: SparkSession, root: str, marker: str = "hosp") -> str:
+    """The first of the known places under root that holds the marker folder."""
+    for sub in ROOTS:
+        at = f"{root}/{sub}".rstrip("/")
+        if exists(spark, f"{at}/{marker}"):
+            return at
+    raise ValueError(f"no folder {marker} under {root}")
+
+
+def table_path(spark: SparkSession, root: str, name: str) -> str | None:
+    """root/name as it is or with .gz behind, or None."""
+    return next((p for p in (f"{root}/{name}", f"{root}/{name}.gz") if exists(spark, p)), None)
+
+
+def read_optional(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame | None:
+    """A delimited table as texts with those of the wanted columns that it has, or None where it is absent."""
+    path = table_path(spark, root, name)
+    if path is None:
+        return None
+    df = read_strings(spark, path)
+    return df if columns is None else df.select(*[c for c in columns if c in df.columns])
+
+
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A structured file, or None where it has no readable header or schema; scoring gives None zero."""
+    from pyspark.errors import AnalysisException
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        df = read_structured(spark, path)
+        return df if df.columns else None
+    except (AnalysisException, Py4JJavaError):
+        return None
+
+
 def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A delimited file with a header, every column as text; .gz is read as it is."""
     return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
@@ -52,7 +97,7 @@ def read_checked(spark: SparkSession, path: str, columns: list[str], sep: str =
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = True) -> None:
-    df.write.option("header", True).option("compression", "gzip" if gzip else "none").mode("errorifexists").csv(path)
+    df.write.option("header", True).option("escape", '"').option("compression", "gzip" if gzip else "none").mode("errorifexists").csv(path)
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -101,6 +146,23 @@ def assemble(tables: dict[str, DataFrame], root: str, roles: dict[str, str]) ->
     return out
 
 
+def discover(spark: SparkSession, root: str, key: str, labels: list[str]) -> DataFrame:
+    """(path, role, is_primary) of a package: as its metadata.json tells ({"tables": [{"path", "role"}, ...]}), else by folders.
+
+    The primary table is the first one of the cohort, by path, that has the key and the label columns.
+    """
+    if exists(spark, f"{root}/metadata.json"):
+        told = spark.read.option("multiLine", True).schema("tables array<struct<path:string,role:string>>").json(f"{root}/metadata.json").select(F.inline("tables"))
+    else:
+        place = F.regexp_extract("path", r"((?:cohort|features|csv|summary)/[^/]+)(?:/[^/]*)?$", 1)
+        told = inventory(spark, root).select(place.alias("path")).where("path <> ''").distinct()
+        told = told.withColumn("role", F.when(F.col("path").startswith("features/"), "feature").otherwise(F.substring_index("path", "/", 1)))
+    cohorts = [r.path for r in told.where("role = 'cohort'").orderBy("path").collect()]  # files of one folder
+    wanted = {key, *labels}
+    chosen = next((p for p in cohorts if (df := read_or_none(spark, f"{root}/{p}")) is not None and wanted <= set(df.columns)), None)
+    return told.withColumn("is_primary", F.col("path").eqNullSafe(F.lit(chosen)))
+
+
 def primary(tables: dict[str, DataFrame]) -> str:
     """The widest table: most columns, then most rows, then the first name."""
     most = max(len(df.columns) for df in tables.values())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.cells import f1, format_pattern, normal_cell, safe_name
 from tablewright.operators import cohort, constraints, delta, events, features, gates, inject, profile, repair, score, splits
 from tablewright.plans import gates_queries
+from tablewright.sources import packages
 
 
 def rows(df):
@@ -266,3 +267,63 @@ def test_gate_of_an_empty_and_a_placeholder_table(spark):
     result = {"cohort/a": expected["cohort/a"], "features/b": spark.createDataFrame([(1, "TODO"), (3, None)], "stay_id int, v string"), "csv/c": spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "stay_id int, v string")}
     got = {(r.path, r.issue): r["count"] for r in gates.business_gate(expected, result, {p: ["stay_id"] for p in expected}, keys, "stay_id").collect()}
     assert got == {("cohort/a", "empty"): 1, ("cohort/a", "uncovered_keys"): 2, ("features/b", "placeholder_only"): 1, ("features/b", "unknown_keys"): 1, ("csv/c", "duplicate_keys"): 1, ("csv/c", "duplicate_business_keys"): 1}
+
+
+def test_json_lists_objects_and_rows(spark, tmp_path):
+    for name, text in (("list", '[{"a": 1}, {"a": 2}]'), ("rows", '{"rows": [{"a": 1}, {"a": 2}], "n": 2}'), ("one", '{"a": 1}')):
+        (tmp_path / name).write_text(text)
+        got = [r.a for r in packages.read_json_rows(spark, str(tmp_path / name)).select("a").collect()]
+        assert got == ([1] if name == "one" else [1, 2])
+
+
+def test_roots_optional_tables_and_unreadable_files(spark, tmp_path):
+    base = tmp_path / "x" / "mimiciv" / "3.1" / "hosp"
+    base.mkdir(parents=True)
+    (base / "d.csv").write_text("a,b\n1,2\n")
+    root = packages.resolve_root(spark, str(tmp_path / "x"))
+    assert root.endswith("x/mimiciv/3.1")
+    assert packages.read_optional(spark, root, "hosp/d.csv", ["b", "zz"]).collect()[0].asDict() == {"b": "2"}
+    assert packages.read_optional(spark, root, "hosp/none.csv") is None
+    import gzip
+
+    (base / "e.csv.gz").write_bytes(gzip.compress(b"a\n7\n"))
+    assert packages.read_optional(spark, root, "hosp/e.csv").first().a == "7"
+    with pytest.raises(ValueError):
+        packages.resolve_root(spark, str(tmp_path))
+    (tmp_path / "bad.parquet").write_bytes(b"no parquet")
+    assert packages.read_or_none(spark, str(tmp_path / "bad.parquet")) is None
+    gold = {"cohort/a": spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")}
+    row = score.package_files(gold, {"cohort/a": None}, {"cohort/a": ["k"]}).first()
+    assert (row.status, row.score, row.gold_rows) == ("unreadable", 0.0, 2)
+
+
+def test_csv_sink_and_discovery(spark, tmp_path):
+    root = str(tmp_path / "package")
+    packages.write_csv(spark.createDataFrame([(1, 0, 'say "hi", twice')], "stay_id int, label int, note string"), f"{root}/cohort/b.csv")
+    packages.write_csv(spark.createDataFrame([(1,)], "stay_id int"), f"{root}/cohort/a.csv", gzip=False)
+    packages.write_csv(spark.createDataFrame([(1,)], "stay_id int"), f"{root}/features/f.csv")
+    got = {(r.path, r.role, r.is_primary) for r in packages.discover(spark, root, "stay_id", ["label"]).collect()}
+    assert got == {("cohort/a.csv", "cohort", False), ("cohort/b.csv", "cohort", True), ("features/f.csv", "feature", False)}
+    back = packages.read_strings(spark, f"{root}/cohort/b.csv").first()
+    assert back.asDict() == {"stay_id": "1", "label": "0", "note": 'say "hi", twice'}
+    with pytest.raises(Exception):
+        packages.write_csv(spark.range(1), f"{root}/cohort/a.csv")
+    (tmp_path / "package" / "metadata.json").write_text('{"tables": [{"path": "cohort/b.csv", "role": "cohort"}, {"path": "x.csv", "role": "other"}]}')
+    assert {(r.path, r.is_primary) for r in packages.discover(spark, root, "stay_id", ["label"]).collect()} == {("cohort/b.csv", True), ("x.csv", False)}
+
+
+def test_quantiles_against_sorted_lists(spark):
+    rng = random.Random(3)
+    data = [(g, rng.choice([None, rng.randrange(20) / 2, 3.0])) for g in ("a", "b", None) for _ in range(rng.randrange(30, 80))] + [("one", 5.0), ("none", None)]
+    got = {r.g: r.q for r in profile.quantiles(spark.createDataFrame(data, "g string, x double"), ["g"], "x", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for g in ("a", "b", None, "one"):
+        assert np.allclose(got[g], np.quantile([x for k, x in data if k == g and x is not None], [0, 0.25, 0.5, 0.9, 1]))
+    assert "none" not in got
+
+
+def test_multiset_preconditions(spark):
+    t = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(ValueError):
+        repair.multiset({"x": t}, {"y": t}, {"x": t})
+    with pytest.raises(ValueError):
+        repair.multiset({"x": t}, {"x": t}, {"x": t.withColumnRenamed("a", "b")})
