@@ -24,12 +24,12 @@ LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=U64, endpoint=False)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     held = _powers.get(base)
     if held is None or len(held) < n:
@@ -69,12 +69,12 @@ class Words:
         """64-bit hash of each whole word, or of its first n bytes, from byte skip on."""
         s = np.minimum(self.starts + skip, self.ends) if skip else self.starts
         e = self.ends if n is None else np.minimum(self.starts + n, self.ends)
-        h = (self.sums[e] - self.sums[s]) * _power(_INVERSE, len(self.data) + 1)[s]
+        h = (self.sums[e] - self.sums[s]) * power(INVERSE, len(self.data) + 1)[s]
         return mix(h + (e - s).astype(U64))
 
     def suffix_hash(self, n: int) -> np.ndarray:
         s = np.maximum(self.ends - n, self.starts)
-        h = (self.sums[self.ends] - self.sums[s]) * _power(_INVERSE, len(self.data) + 1)[s]
+        h = (self.sums[self.ends] - self.sums[s]) * power(INVERSE, len(self.data) + 1)[s]
         return mix(h + (self.ends - s).astype(U64))
 
 
@@ -113,7 +113,7 @@ def segment(raw: np.ndarray, offsets: np.ndarray) -> Words:
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     sums = np.zeros(len(raw) + 1, dtype=U64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * _power(_BASE, len(raw)), out=sums[1:])
+        np.cumsum(_BYTE[data] * power(BASE, len(raw)), out=sums[1:])
     return Words(data, raw, starts, ends, doc, first, sums)
 
 
