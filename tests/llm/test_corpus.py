@@ -15,7 +15,7 @@ import pytest
 from oracle import compare, duck
 from pyspark.sql import functions as F
 
-from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, queries, rules, toxicity
+from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, queries, rules, subwords, toxicity
 from tablewright.llm.words import segment
 
 DIR = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def odd(spark):
     """Nulls in every column, empty, long, tied and repeated rows, and columns of clashing names."""
     rows = [(1, "plain words here", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \t\n ", "en", "b", 4), (5, LONG, "en", "b", 1), (6, "twin text of six words here", "en", "a", 1), (7, "twin text of six words here", "en", "a", 1), (7, "twin text of six words here", "en", "a", 1), (None, "no id", "en", "a", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit("x") for c in ("kept", "score", "term", "key", "node", "comp", "label", "mix_key", "curve", "spans")})
+    return df.withColumns({c: F.lit("x") for c in ("kept", "score", "term", "key", "node", "comp", "label", "mix_key", "curve", "spans", "_parts", "_u", "_text", "_base", "_key", "row", "cdf", "count", "id")})
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,79 @@ def test_minhash_against_all_pairs(spark):
     assert got == {i: (c, n, c == i) for i, (c, n) in true_components(docs).items()}
 
 
+def near_group(rng, groups, copies, words_=60, changes=8):
+    docs = []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(words_)]
+        for _ in range(copies):
+            w = list(base)
+            for k in rng.sample(range(words_), rng.randrange(changes)):
+                w[k] = f"n{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [7, 40, 4096])
+def test_minhash_open_buckets_in_several_blocks_and_sides(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "STAR", 5)
+    docs = near_group(random.Random(block), 4, 70)
+    true = {i: c for i, (c, _) in true_components(docs).items()}
+    assert 4 < len(set(true.values())) < 250  # some buckets stay open
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == true
+
+
+def test_minhash_block_against_all_pairs():
+    rng = random.Random(3)
+    sets = []
+    for g in range(12):
+        base = rng.sample(range(g * 1000, g * 1000 + 900), 80)
+        sets += [sorted(set(rng.sample(base, 70)) | {10**6 * (len(sets) + k) for k in range(rng.randrange(8))}) for _ in range(12)]
+    n, bodies = len(sets), [np.array(s, np.uint64).tobytes() for s in sets]
+    comp = np.arange(n) // 2  # neighbours are joined already
+    linked = lambda i, j: 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})
+    for same, side in ((True, np.zeros(n, int)), (False, np.arange(n) % 3 // 2)):
+        rows = pa.table({"node": np.arange(n), "comp": comp, "side": side, "same_block": [same] * n, "body": pa.array(bodies, pa.binary())})
+        got = minhash._block(rows).to_pydict()
+        want = [(i, j) for i in range(n) for j in range(i) if (same or side[i] != side[j]) and comp[i] != comp[j] and linked(i, j)]
+        assert len(got["a"]) < n and len(want) > 50
+        assert true_labels(comp.tolist(), zip(got["a"], got["b"])) == true_labels(comp.tolist(), [(comp[a], comp[b]) for a, b in want])
+
+
+def true_labels(nodes, pairs):
+    label = {x: x for x in nodes}
+    for a, b in pairs:
+        lo, hi = sorted((label[a], label[b]))
+        label = {k: lo if v == hi else v for k, v in label.items()}
+    return label
+
+
+def test_minhash_rows_of_one_id_are_one_document(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (9, two), (9, two), (7, "alone in its own words here")]
+    got = sorted(tuple(r)[:4] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 26, 1, True), (5, 26, 1, False), (5, 26, 1, False), (7, 2, 7, True), (9, 26, 1, False), (9, 26, 1, False)]
+
+
+def test_registers_do_not_rule_out_linked_pairs():
+    rng = np.random.default_rng(8)
+    flat, sizes = [], []
+    for _ in range(1500):
+        n = int(rng.integers(40, 300))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        keep = -(-6 * n // 7)  # two sets of n with 6/7 n in common have a similarity of 0.75
+        y = np.concatenate((x[:keep], rng.integers(0, 2**63, n - keep).astype(np.uint64)))
+        flat += [x, y]
+        sizes += [n, n]
+    with np.errstate(over="ignore"):
+        reg = minhash.registers(np.concatenate(flat), np.array(sizes))
+    n = np.array(sizes[::2], float)
+    assert minhash.possible(reg[::2], reg[1::2], n, n).all()
+    same = (minhash.band_keys(reg[::2]) == minhash.band_keys(reg[1::2])).sum(axis=1)
+    assert same.min() > 0 and same.mean() > 15
+
+
 def test_minhash_odd_rows(odd, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect())
     assert len(got) == 9 and (2, 0, 2, True) in got and (4, 0, 4, True) in got and (5, 1, 5, True) in got and (-1, 1, None, True) in got
@@ -140,7 +213,7 @@ def test_pii_base_spans(spark):
     texts = HARD + ["".join(rng.choice("ab1.@+-() 5é_%") for _ in range(200)) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in pii.detect(df).select("doc_id", "_base").collect():
+    for r in pii.detect(df).select("row.doc_id", "_base").collect():
         got[r.doc_id] = [f"{k}:{s.start}:{s.end}" for k in pii.KINDS for s in r["_base"][k]]
     assert got == {i: true_spans(t or "") for i, t in enumerate(texts)}
 
@@ -155,6 +228,38 @@ def test_pii_terms_and_redaction(spark, odd, empty):
     assert pii.redact(empty).count() == 0
 
 
+def test_pii_terms_against_plain_counts(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(400):
+        words_ = [f"w{rng.randrange(60)}" for _ in range(12)]
+        k = rng.randrange(12)
+        if k < 6:
+            words_.insert(rng.randrange(12), f"user{k}@mail.example")
+            words_ += [f"tell{k}" for _ in range(2) if rng.random() < 0.8] + [f"hint{k}"]
+        elif k < 8:
+            words_.append(f"hint{k - 6}")
+        texts.append(" ".join(words_))
+    texts += [*texts[:30], "mailto:user0@mail.example glued", None]
+    n, n_t, n_c, n_tc = len({t or "" for t in texts}), collections.Counter(), collections.Counter(), collections.Counter()
+    for t in {t or "" for t in texts}:
+        of, rest = set(re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)), re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", " ", t)
+        own = {w.strip(pii.EDGE).lower() for w in rest.split()} - {""}
+        n_t.update(own)
+        n_c.update(of)
+        n_tc.update((c, w) for c in of for w in own)
+    want: dict[str, bool] = {}
+    for (c, w), k in n_tc.items():
+        ic = math.log2(n / n_c[c])
+        ratio = math.log2(k * n / (n_t[w] * n_c[c])) / ic
+        if k >= 2 and ratio >= 0.7 and k * ic >= 12:
+            want[w] = want.get(w, False) or ratio >= 0.95
+    assert len(want) > 5 and len(set(want.values())) == 2
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce("t", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    got = pii.disclosing(df, generalise=0.7, remove=0.95, support=2, evidence=12.0)[0].collect()
+    assert {r.term: r.removed for r in got} == want
+
+
 def test_quality_grades_in_order(spark, odd, empty):
     rng = random.Random(4)
     good, mid, bad = ([f"{c}{i}" for i in range(40)] for c in "gmb")
@@ -171,6 +276,38 @@ def test_quality_grades_in_order(spark, odd, empty):
     assert quality.classify(empty, None).count() == 0
 
 
+def test_quality_gradient_against_likelihood():
+    rng = np.random.default_rng(6)
+    n, grades = 40, 3
+    size = rng.integers(1, 6, n)
+    index, value, grade = rng.integers(0, 12, size.sum()), rng.random(size.sum()), rng.integers(0, grades, n)
+    w, theta = quality.fit(index, value, size, grade, grades, steps=1500)
+    row = np.repeat(np.arange(n), size)
+
+    def penalised(w_, theta_):
+        z = np.bincount(row, value * w_[index], minlength=n)
+        p = np.diff(np.concatenate((np.zeros((n, 1)), 1 / (1 + np.exp(-(theta_[None] - z[:, None]))), np.ones((n, 1))), axis=1), axis=1)
+        return np.log(p[np.arange(n), grade]).mean() - quality.RIDGE / 2 * (w_**2).sum()
+
+    best = penalised(w, theta)
+    for i in range(12):  # no step away from what was fitted does better
+        for step in (-0.2, 0.2):
+            other = w.copy()
+            other[i] += step
+            assert penalised(other, theta) < best + 1e-6
+    for step in ((0.2, 0), (-0.2, 0), (0, 0.2), (0, -0.2)):
+        assert penalised(w, theta + np.array(step)) < best + 1e-6
+
+
+def test_toxicity_sample_is_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100)
+    docs = spark.createDataFrame([(i, "x" * 30) for i in range(40)] + [(3, "y" * 31), (100, "z" * 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(100, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled(docs, labels).collect()
+    assert all(sum(len(r.text) for r in got if r.toxic == k) <= 50 or sum(r.toxic == k for r in got) == 1 for k in (0, 1))
+    assert {r.toxic for r in got} == {0, 1} and not any(binascii.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+
+
 def test_lm_base_and_probability(spark, odd, empty, documents):
     for df in (documents, odd):
         docs = df.select("doc_id", "text").collect()
@@ -181,38 +318,101 @@ def test_lm_base_and_probability(spark, odd, empty, documents):
         got = lm.lm_scores(df).collect()
         assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
         assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
+        assert len(got) == len(docs)
     assert lm.lm_scores(empty).count() == 0
 
 
-def test_lm_gradient_and_total_probability():
+def ids_batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([np.array(r, np.uint16).tobytes() for r in rows], pa.binary())], names=["ids"])
+
+
+def small_language(rng, size=120):
+    """Frequencies of a few random texts over a small vocabulary."""
+    ends = rng.random(size + 1) < 0.5
+    ends[-1] = True
+    batch = ids_batch([rng.zipf(1.3, 200) % size for _ in range(20)])
+    (pairs,), (spellings,) = (list(lm._id_counts(size, ends, within)(iter([batch]))) for within in (False, True))
+    columns = lambda b: (b.column("context").to_numpy().view(np.uint64), b.column("id").to_numpy(), b.column("n").to_numpy())
+    one = np.bincount(pairs.column("id").to_numpy(), pairs.column("n").to_numpy(), minlength=size)
+    freq = lm.Frequencies(one.astype(float), columns(pairs), columns(spellings), ends)
+    freq.open()
+    return freq, batch
+
+
+def test_lm_counts_against_plain_loops():
+    rng = np.random.default_rng(7)
+    freq, batch = small_language(rng)
+    for within in (False, True):
+        (got,) = lm._id_counts(freq.start, freq.ends, within)(iter([batch]))
+        want = collections.Counter()
+        for raw in batch.column("ids").to_pylist():
+            word: list[int] = []
+            last = freq.start
+            for i in np.frombuffer(raw, np.uint16).tolist():
+                if not within:
+                    want[last, i] += 1
+                elif word:
+                    want[tuple(word), i] += 1
+                word = [] if freq.ends[i] else [*word, i]
+                last = i
+        assert sorted(got.column("n").to_pylist()) == sorted(want.values())
+        of = collections.defaultdict(set)
+        for c, i, n in zip(*(got.column(k).to_pylist() for k in ("context", "id", "n"))):
+            of[c].add((i, n))
+        true = collections.defaultdict(set)
+        for (c, i), n in want.items():
+            true[c].add((i, n))
+        assert sorted(map(sorted, of.values())) == sorted(map(sorted, true.values()))
+
+
+def test_lm_gradient():
     rng = np.random.default_rng(0)
-    counts = np.zeros(lm.SPACE_OF_IDS)
-    counts[rng.integers(0, 49000, 500)] = 3
-    bias = lm.Biases(counts)
-    bias.condition(rng.integers(0, 3, lm.LAST * lm.BASE**2).astype(float))
-    model = {k: v.astype(np.float64) for k, v in lm.start_model().items()}
-    tokens, target = rng.integers(0, 49000, (2, lm.WIDTH)), rng.integers(0, 49000, (2, lm.WIDTH))
-    log_p, saved = lm.forward(model, bias, tokens, target)
-    g = lm.gradient(model, saved, np.ones(target.shape))
-    for name in ("wq", "wv", "wo", "out1", "pos", "e2"):
+    freq, _ = small_language(rng)
+    texts = lm.Texts(freq, ids_batch([rng.zipf(1.3, n) % freq.start for n in (lm.WIDTH, 2 * lm.WIDTH, 5)]))
+    begin = np.array([0, lm.WIDTH, 2 * lm.WIDTH, 3 * lm.WIDTH])
+    row, given, level, hit, of = texts.window(begin)
+    model = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.2 for k, v in lm.start_model().items()}
+    counted = np.ones(row.shape)
+    counted[3, 5:] = 0
+    log_p, saved = lm.forward(model, row, given, level, hit, of)
+    g = lm.gradient(model, row, level, hit, of, saved, counted)
+    for name in lm.SHAPES:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
-        for step in (1e-3,):
-            up, down = ({k: v.copy() for k, v in model.items()} for _ in "ab")
-            up[name][at] += step
-            down[name][at] -= step
-            slope = (lm.forward(up, bias, tokens, target)[0].sum(dtype=float) - lm.forward(down, bias, tokens, target)[0].sum(dtype=float)) / (2 * step)
-            assert abs(slope - g[name][at]) < 0.05 * abs(slope) + 0.05
-    for start in (0, 16):
-        assert np.allclose(lm.Scorer(model, bias).log_p(tokens, target, start), log_p[:, start:], atol=1e-3)
-    first = np.tile(tokens[:1, :1], (1, lm.WIDTH))
-    every = np.arange(lm.SPACE_OF_IDS)
-    total = 0.0
-    for a in range(0, len(every), 512):
-        ids = every[a : a + 512]
-        t = np.zeros((len(ids), lm.WIDTH), np.int64)
-        t[:, 0] = ids
-        total += np.exp(lm.forward(model, bias, np.repeat(first, len(ids), 0), t)[0][:, 0].astype(float)).sum()
-    assert abs(total - 1) < 1e-3
+        up, down = ({k: v.copy() for k, v in model.items()} for _ in "ab")
+        up[name][at] += 1e-3
+        down[name][at] -= 1e-3
+        total = lambda m: (lm.forward(m, row, given, level, hit, of)[0] * counted).sum(dtype=float)
+        slope = (total(up) - total(down)) / 2e-3
+        assert abs(slope - g[name][at]) < 0.02 * abs(slope) + 0.01, name
+    for start in (8, 20):
+        assert np.allclose(lm.forward(model, *texts.window(begin, start), start)[0], log_p[:, start:], atol=1e-4)
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    freq, _ = small_language(rng)
+    model = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.2) for k, v in lm.start_model().items()}
+    for n in (0, 1, 9, lm.WIDTH - 1):
+        before = rng.zipf(1.3, n) % freq.start
+        texts = lm.Texts(freq, ids_batch([[*before, i] for i in range(freq.start)]))
+        log_p = lm.forward(model, *texts.window(texts.head))[0]
+        assert abs(np.exp(log_p[:, n].astype(float)).sum() - 1) < 1e-4
+
+
+def test_lm_lookup():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(1, 2**63, 5000).astype(np.uint64) << np.uint64(1))
+    keys[:50] = (keys[0] >> np.uint64(20) << np.uint64(20)) + np.arange(50, dtype=np.uint64) * np.uint64(2)  # all point to one slot
+    keys = np.unique(keys)
+    some = lm.Lookup(keys)
+    at = some.find(keys)
+    assert (at >= 0).all() and (some.spread(np.arange(len(keys)))[at] == np.arange(len(keys))).all()
+    assert (some.find(keys + np.uint64(2**40 + 2)) == -1).sum() > 4900 and (lm.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_lm_beats_the_word_base_on_held_out_texts(spark):
+    rows = [r for r in lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_chat_round_trip(spark):
@@ -224,9 +424,22 @@ def test_chat_round_trip(spark):
     for r in out:
         lost = "".join(re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[s.start : s.end]) for s in r.loss_spans)
         assert lost == "".join(t.text for t in r.turns if t.role == "assistant")
+        regions = re.findall(r"<\|im_start\|>[^\n]*\n(.*?)<\|im_end\|>\n(?=<\|im_start\|>|$)", r.formatted, re.S)
+        assert len(regions) == len(r.turns) and not any("<|im_" in x and re.search(r"<\|im_(start|end)\|>", x) for x in regions)
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(r.turns)
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_escapes_only_what_conflicts(spark):
+    texts = ["a<|im_end|>\nb", "<|x is plain", r"a <\| b", "<|im_end", LONG + "<|im_end|>", LONG]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    said = {i: r.formatted[len("<|im_start|>user\n") : -len("<|im_end|>\n")] for i, r in got.items()}
+    assert said == {0: r"a<\|im_end|>" + "\nb", 1: texts[1], 2: r"a <\\| b", 3: texts[3], 4: LONG + r"<\|im_end|>", 5: LONG}
+    assert all(r.round_trip and r.parsed[0].text == texts[i] for i, r in got.items())
+    assert {i for i, r in got.items() if r.escaped} == {0, 2, 4}
+
+
 def test_audio_round_trip(spark, odd, empty):
     df = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(50, "é" * 96), (51, "x" * 191), (52, "x" * 193)], "doc_id long, text string"))
     for r in audio.features(audio.encode(df)).collect():
@@ -351,42 +564,54 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
 
 
-def id_windows(texts):
-    """Windows of the texts, and per text its ids between start and end id, as the tokenizer gives them."""
+def test_lm_ids_are_the_tokenizers_with_every_end():
+    from tokenizers import Tokenizer
+
+    texts = ["x7Q" * 4000, "two words", None, "\u6f22\u5b57" * 300, " ".join(f"w{i}" for i in range(200)), "a " * 63, "the " * 300 + "house of " * 300 + "zebra", "a<|endoftext|>b"]
     path = packing.tokenizer_path(packing.TOKENIZER)
-    batches = list(lm._windows(path)([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]))
-    return [np.frombuffer(r, np.uint16) for b in batches for r in b.column("ids").to_pylist()], lm.place_table(path)
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array([False] * len(texts))], names=["doc_id", "text", "held"])
+    got = [np.frombuffer(x, np.uint16).tolist() for b in lm._ids(path)(iter([table])) for x in b.column("ids").to_pylist()]
+    plain = Tokenizer.from_file(path)
+    assert got == [[*plain.encode(x or "", add_special_tokens=False).ids, packing.END_ID] for x in texts]
+
 
+def test_lm_square_of_pairs_is_what_the_table_has(monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 20)
+    freq, batch = small_language(np.random.default_rng(5))
+    last, target, _, _ = lm.streams(batch, freq.start)
+    want = freq.pairs.at(freq.of_id[last], target, freq.unigram[target])[0]
+    assert np.array_equal(freq.at(last, target)[0][:, 0], want)
 
-def places_of(table, text):
-    if not text:
-        return np.zeros(0, int)
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return table.places(segment(raw, np.array([0, len(raw)])))[0]
 
+def test_subwords_of_joined_words():
+    from tokenizers import Tokenizer
 
-def test_lm_windows_reach_all_of_a_text():
-    text = "the " * 300 + "house of " * 300 + "zebra"
-    got, table = id_windows([text])
-    seen = set(np.concatenate(got).tolist())
-    assert set(places_of(table, text).tolist()) <= seen
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abÉΣς'’́\u00a0\u2003\x1c\x85#$🙂漢٣9<|>.") for _ in range(rng.randrange(1, 9))) for _ in range(700)), "odd \x01 mark a\x01b here", "plain"]
+    plain = Tokenizer.from_file(path)
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, counts = packing.text_ids(subwords.Subwords(path), raw, np.array([0, len(raw)]))
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID] and counts.tolist() == [len(ids)]
 
 
-def test_lm_windows_lose_no_id_and_no_end():
-    texts = ["x7Q" * 4000, "two words", None, "\u6f22\u5b57" * 300, " ".join(f"w{i}" for i in range(200)), "a " * 63]
-    got, table = id_windows(texts)
-    assert all(2 <= len(w) <= lm.WIDTH + 1 for w in got)
-    targets = np.concatenate([w[1:] for w in got]).tolist()
-    assert targets == [p for t in texts for p in [*places_of(table, t or "").tolist(), table.end]]
-    batch = pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in got], pa.binary())], names=["ids"])
-    assert sum(b.column("n").to_numpy().sum() for b in lm._place_counts([batch.slice(1)])) == len(targets) - len(got[0]) + 1
+@pytest.mark.parametrize("step", [lm.WIDTH, lm.STEP])
+def test_lm_windows_reach_each_place_once(step):
+    length = np.array([1, 2, lm.STEP, lm.WIDTH - 1, lm.WIDTH, lm.WIDTH + 1, 5 * lm.WIDTH, 1000])
+    doc, off = lm.windows(length, step)
+    seen = collections.Counter()
+    for d, o in zip(doc.tolist(), off.tolist()):
+        seen.update((d, o + i) for i in range(lm.WIDTH - step if o else 0, lm.WIDTH) if o + i < length[d])
+    assert set(seen.values()) == {1} and len(seen) == length.sum()
 
 
 def test_lm_rare_words_of_null_ids(spark, monkeypatch):
     rows = [(None, "some rare words here here"), (None, "some rare words here here"), (None, "others"), (1, "some rare words here here"), (1, "others"), (2, None), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {}
-    for hot in (lm.HOT, 2):
+    every = lm.HOT
+    for hot in (every, 2):
         monkeypatch.setattr(lm, "HOT", hot)
         got[hot] = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(df).collect())
-    assert got[2] == got[60_000] and len(got[2]) == len(rows)
+    assert got[2] == got[every] and len(got[2]) == len(rows)
