@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.cells import clean_code
 
-#: Key columns in the order in which one is inferred.
+#: Key columns in the order in which one is inferred.
 KEY_ORDER = ("hadm_id", "stay_id", "subject_id", "case_id", "row_id")
 
 

@@ -58,13 +58,16 @@ def row_counts(before: DataFrame, after: DataFrame, columns: list[str]) -> DataF
 
 
 def duplicate_groups(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """For keys that repeat on a side: groups, and rows inserted and deleted as multisets inside the group."""
+    """For keys that repeat on a side: groups, and rows inserted and deleted as multisets inside the group.
+
+    Where the two sides differ in their columns every group is ambiguous.
+    """
     columns = keys + shared_columns(before, after, keys)
     rows = row_counts(before, after, columns)
     groups = rows.groupBy(*keys).agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), F.sum(F.greatest(F.col("n_b") - F.col("n_a"), F.lit(0))).alias("inserted"), F.sum(F.greatest(F.col("n_a") - F.col("n_b"), F.lit(0))).alias("deleted"))
     groups = groups.where("a > 1 or b > 1")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    changed = (F.col("inserted") + F.col("deleted") > 0).cast("long")
+    changed = F.lit(1) if set(before.columns) != set(after.columns) else (F.col("inserted") + F.col("deleted") > 0).cast("long")
     return groups.agg(F.count("*").alias("duplicate_groups"), total(changed).alias("ambiguous_groups"), total(F.col("inserted")).alias("inserted_rows"), total(F.col("deleted")).alias("deleted_rows"))
 
 
@@ -75,9 +78,14 @@ def multiset(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def schema_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(place, column, change): columns added and removed, in their order."""
-    rows = [(i, c, "removed") for i, c in enumerate(before.columns) if c not in after.columns] + [(i, c, "added") for i, c in enumerate(after.columns) if c not in before.columns]
-    return before.sparkSession.createDataFrame(rows, "place long, column string, change string")
+    """(place, column, change, cells): columns added and removed, in their order, and how many filled cells come or go with each."""
+
+    def side(df: DataFrame, other: DataFrame, change: str) -> DataFrame:
+        own = [F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("column"), F.lit(change).alias("change"), F.count(c).alias("cells")) for i, c in enumerate(df.columns) if c not in other.columns]
+        rows = F.array(*own).cast("array<struct<place:bigint,column:string,change:string,cells:bigint>>")
+        return df.agg(rows.alias("r")).select(F.inline("r"))
+
+    return side(before, after, "removed").unionByName(side(after, before, "added"))
 
 
 def package(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:

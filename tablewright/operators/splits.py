@@ -86,7 +86,7 @@ def id_closure(stays: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.select(F.inline(kinds)).where("id is not null").distinct()
 
 
-#: Keys by which a raw table is cut, the first that it has.
+#: Keys by which a raw table is cut, the first that it has.
 CUT_ORDER = ("stay_id", "hadm_id", "subject_id")
 
 
@@ -115,6 +115,32 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("path"), "n_rows") for n, df in sorted(tables.items())])
 
 
+SPLITS = ("train", "validation", "test")
+
+
+def layout(tables: dict[str, DataFrame]) -> str:
+    """clinical where raw tables lie in hosp and icu folders, else generic."""
+    folders = {n.split("/")[0] for n in tables}
+    return "clinical" if {"hosp", "icu"} <= folders else "generic"
+
+
+def prepare(raw: dict[str, DataFrame], package: dict[str, DataFrame], split: DataFrame, key: str, stays: DataFrame | None = None) -> tuple[dict[tuple[str, str, str], DataFrame], DataFrame]:
+    """The tables of each split by (split, part, path), part keys, raw or reference, and a record (split, part, path, n_rows) of them.
+
+    split is (key, split).  Raw tables of a clinical layout are cut by all ids that the keys lead to in
+    stays, those of any other by the key; reference tables by the key.
+    """
+    out = {}
+    for name in SPLITS:
+        keys = split.where(F.col("split") == name).select(key).distinct()
+        out[name, "keys", "keys"] = keys
+        cut_ = subset_raw(raw, id_closure(stays, keys, key))[0] if layout(raw) == "clinical" and stays is not None else subset_generic(raw, keys, key)
+        out |= {(name, "raw", p): df for p, df in cut_.items()}
+        out |= {(name, "reference", p): df for p, df in subset_generic(package, keys, key).items()}
+    rows = [df.agg(F.count("*").alias("n_rows")).select(F.lit(s).alias("split"), F.lit(part).alias("part"), F.lit(p).alias("path"), "n_rows") for (s, part, p), df in sorted(out.items())]
+    return out, reduce(DataFrame.unionByName, rows)
+
+
 def coverage_select(errors: DataFrame, key: str, k: int, seed: str) -> DataFrame:
     """(key, place): greedily the key that adds most new subtypes, then classes, then has most errors, then the smaller digest.
 

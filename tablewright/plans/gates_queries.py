@@ -200,6 +200,19 @@ def split_records(spark, d):
     return rows[0].unionByName(rows[1])
 
 
+@query(
+    "split_preparation",
+    W.sql(f"""{COUNTED}, s AS (SELECT o_orderkey AS hadm_id, split FROM split_), names AS (SELECT DISTINCT split FROM s)
+  SELECT split, 'keys' AS part, 'keys' AS path, count(*) AS n_rows FROM s GROUP BY 1 UNION ALL SELECT split, 'raw', 'hosp/admissions', count(*) FROM admissions JOIN (SELECT DISTINCT hadm_id, split FROM stays JOIN s USING (hadm_id)) USING (hadm_id) GROUP BY 1
+  UNION ALL SELECT split, 'raw', 'icu/icustays', count(*) FROM stays JOIN s USING (hadm_id) GROUP BY 1 UNION ALL SELECT split, 'raw', 'hosp/d_codes', (SELECT count(*) FROM code_dictionary) FROM names
+  UNION ALL SELECT split, 'reference', 'cohort/orders', count(*) FROM orders JOIN s ON o_orderkey = hadm_id GROUP BY 1 UNION ALL SELECT split, 'reference', 'features/lines', count(*) FROM lineitem JOIN s ON l_orderkey = hadm_id GROUP BY 1"""),
+)
+def split_preparation(spark, d):
+    raw = {"hosp/admissions": W.admissions(spark, d), "hosp/d_codes": W.code_dictionary(spark, d), "icu/icustays": W.stays(spark, d)}
+    reference = {n: df.withColumnRenamed("stay_id", "hadm_id") for n, df in package(spark, d).items() if n in ("cohort/orders", "features/lines")}
+    return S.prepare(raw, reference, counted(spark, d).withColumnRenamed("o_orderkey", "hadm_id"), "hadm_id", W.stays(spark, d))[1]
+
+
 def errors(spark, d):
     return error_rows(table(spark, d, "lineitem"))
 

@@ -84,6 +84,6 @@ def table_fingerprint(spark, d):
     return P.fingerprint(small_package(spark, d))
 
 
-@query("contract_row", "SELECT 'cohort/orders' AS cohort, 'directory' AS kind, 'stay_id' AS key, 'label' AS label_columns, 'o_orderstatus' AS feature_columns WHERE (SELECT count(*) FROM orders) >= 0")
+@query("contract_row", "SELECT 'cohort/orders' AS cohort, 'directory' AS kind, 'stay_id' AS key, 'label' AS label_columns, 'o_orderstatus' AS feature_columns, count(*) AS n_rows, count(o_orderkey) AS n_keys FROM orders")
 def contract_row(spark, d):
     return P.contract(spark, small_package(spark, d))

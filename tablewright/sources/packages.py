@@ -171,10 +171,12 @@ def primary(tables: dict[str, DataFrame]) -> str:
 
 
 def contract(spark: SparkSession, tables: dict[str, DataFrame], labels=("label", "outcome", "target")) -> DataFrame:
-    """One row from schemas alone: key, kind of layout, feature and label columns of the first cohort table."""
+    """One row: key, kind of layout, feature and label columns of the first cohort table, and its rows and filled keys."""
     kind = "single" if len(tables) == 1 else "directory" if any(p.startswith("features/") for p in tables) else "wide"
     cohort = next((p for p in sorted(tables) if p.startswith("cohort/")), sorted(tables)[0])
     columns = tables[cohort].columns
     key = next((k for k in ("stay_id", "hadm_id", "subject_id", *KEY_ORDER) if k in columns), None)
     own = [c for c in columns if c in labels]
-    return spark.createDataFrame([(cohort, kind, key, ",".join(own), ",".join(c for c in columns if c not in own and c != key))], "cohort string, kind string, key string, label_columns string, feature_columns string")
+    told = {"cohort": cohort, "kind": kind, "key": key, "label_columns": ",".join(own), "feature_columns": ",".join(c for c in columns if c not in own and c != key)}
+    one = tables[cohort].agg(F.count("*").alias("n_rows"), (F.count(key) if key else F.lit(0).cast("long")).alias("n_keys"))
+    return one.select(*[F.lit(v).cast("string").alias(k) for k, v in told.items()], "n_rows", "n_keys")
