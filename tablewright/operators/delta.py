@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.sources.lineage import numbered
+
 
 def same_keys(keys: list[str], left: str = "a", right: str = "b") -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
@@ -112,11 +114,20 @@ def plain(c: Column) -> Column:
 def compare(expected: DataFrame, actual: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
     """One row a shared column: compared and unequal cells, for rows aligned by key and place within the key.
 
-    Rows of a repeated key are aligned in the order of their other columns.
+    Rows of a repeated key are aligned in the order of their other columns; a row's place in its key
+    is its place in a global sort less that of the key's first row.
     """
     columns = shared_columns(expected, actual)
-    w = Window.partitionBy(*keys).orderBy(*[c for c in columns if c not in keys])
-    side = lambda df, tag: df.select(*[plain(F.col(c)).alias(c) for c in columns]).withColumn("_n", F.row_number().over(w)).withColumn(f"_{tag}", F.lit(True)).alias(tag)
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        at = numbered(df.select(*[plain(F.col(c)).alias(c) for c in columns]), [*keys, *[c for c in columns if c not in keys]])
+        if keys:
+            first = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_i").alias("_first"))
+            at = at.join(first, reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_{k}") for k in keys)))
+        else:
+            at = at.withColumn("_first", F.lit(0))
+        return at.select(*columns, (F.col("_i") - F.col("_first")).alias("_n"), F.lit(True).alias(f"_{tag}")).alias(tag)
+
     p = side(expected, "a").join(side(actual, "b"), same_keys([*keys, "_n"]), "full_outer")
 
     def unequal(c: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import first_by_digest
-from tablewright.sources.lineage import cut
+from tablewright.sources.lineage import numbered
 
 #: The cohort's columns in order.
 COHORT_COLUMNS = ("subject_id", "stay_id", "intime", "outtime", "Age", "gender", "ethnicity", "insurance", "label", "dod", "hadm_id")
@@ -71,24 +71,9 @@ def label_eligible(stays: DataFrame, include: int = 72, predict: int = 2) -> Dat
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """Each value and its place in sorted order, from 0.
-
-    Values are ranked inside ranges of a global sort, so that no task sees them all: a
-    range's first place is the count of values in the ranges before it.
-    """
+    """Each value and its place in sorted order, from 0; no task sees all values."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    # cut once: planned again, the ranges would be sampled anew and their sizes belong to others
-    ranged = cut(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    # one row a partition: as many rows as tasks, ordered on the driver
-    counts = sorted((r["_part"], r["n"]) for r in sizes.collect())
-    before, total = {}, 0
-    for p, n in counts:
-        before[p] = total
-        total += n
-    first = F.coalesce(*[F.when(part == p, F.lit(b)) for p, b in before.items()], F.lit(0)) if before else F.lit(0)
-    return ranged.select("value", (first + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long").alias("idx"))
+    return numbered(values, ["value"]).select("value", F.col("_i").alias("idx"))
 
 
 def check(name: str, observed: Column, expected: int = 0) -> Column:
@@ -122,3 +107,73 @@ def package_checks(cohort: DataFrame, labels: DataFrame, features: dict[str, Dat
         extra = f.select("stay_id").distinct().join(known, "stay_id", "left_anti")
         parts.append(extra.agg(F.array(check(f"{name}_subset", F.count("*"))).alias("c")).select(F.inline("c")))
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Files that no package of tables may hold.
+MODEL_FILES = r"(?i)\.(pt|pth|onnx)$"
+LABEL_COLUMNS = ("stay_id", "label")
+
+
+def verdict(name: str, wrong: dict[str, Column], details: Column | None = None) -> Column:
+    """A check that passes where nothing is wrong: (name, passed, observed as JSON, details)."""
+    observed = F.struct(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in wrong.items()])
+    passed = reduce(lambda a, b: a & b, (F.coalesce(v, F.lit(0)) == 0 for v in wrong.values()))
+    return F.struct(F.lit(name).alias("name"), passed.alias("passed"), F.to_json(observed).alias("observed"), (F.lit("") if details is None else details).alias("details"))
+
+
+def inventory_checks(files: DataFrame, expected: dict[str, tuple[str, list[str], bool]]) -> DataFrame:
+    """files (path) against {check: (folder, paths, nothing else allowed)}; details name up to 20 missing or extra paths."""
+    want = files.sparkSession.createDataFrame([(k, f"{folder}{p}") for k, (folder, paths, _) in expected.items() for p in paths], "name string, path string").withColumn("want", F.lit(1))
+    alone = {k: folder for k, (folder, _, only) in expected.items() if only}
+    there = files.select("path").distinct()
+    rows = want.join(there.withColumn("have", F.lit(1)), "path", "left").select("name", "path", F.col("have").isNull().cast("int").alias("missing"), F.lit(0).alias("extra"))
+    for k, folder in alone.items():
+        more = there.where(F.col("path").startswith(folder)).join(want.where(F.col("name") == k).select("path"), "path", "left_anti")
+        rows = rows.unionByName(more.select(F.lit(k).alias("name"), "path", F.lit(0).alias("missing"), F.lit(1).alias("extra")))
+    bad = F.array_sort(F.collect_list(F.when(F.col("missing") + F.col("extra") > 0, F.col("path"))))  # paths of one folder
+    out = rows.groupBy("name").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"), F.array_join(F.slice(bad, 1, 20), ",").alias("bad"))
+    return out.select(F.inline(F.array(*[F.struct(F.col("name").alias("name"), ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("passed"), F.to_json(F.struct(F.col("missing"), F.col("extra"))).alias("observed"), F.col("bad").alias("details"))])))
+
+
+def validation_report(cohort: DataFrame, labels: DataFrame, features: dict[str, DataFrame], diagnosis_columns: tuple[list[str], list[str]], products: dict[str, DataFrame], files: DataFrame, expected: dict[str, tuple[str, list[str], bool]], snapshots: tuple[str, str], include: int = 72, predict: int = 2) -> DataFrame:
+    """(name, passed, observed, details) of every check of a package.
+
+    Tables: cohort, labels (stay_id, label), features by file name, and per-stay products by name, all with
+    stay_id; diagnosis_columns and snapshots are pairs of what is there and what should be; files (path) is the inventory.
+    """
+    columns = lambda name, have, want: verdict(name, {"differs": F.lit(int(list(have) != list(want)))}, F.lit("" if list(have) == list(want) else ",".join(have)))
+    hours = F.floor((F.unix_timestamp("outtime") - F.unix_timestamp("intime")) / 3600)
+    died = F.coalesce(F.col("dod").between(F.col("intime"), F.col("outtime")), F.lit(False)).cast("int")
+    own = cohort.agg(
+        F.array(
+            columns("cohort_schema", cohort.columns, COHORT_COLUMNS),
+            columns("labels_schema", labels.columns, LABEL_COLUMNS),
+            columns("diagnosis_schema", *diagnosis_columns),
+            verdict("original_data_untouched", {"differs": F.lit(int(snapshots[0] != snapshots[1]))}),
+            verdict("cohort_adults", {"under_age": count_if(F.coalesce(F.col("Age") < 18, F.lit(True)))}),
+            verdict("cohort_label_domain", {"outside": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))}),
+            verdict("cohort_stay_keys", {"duplicates": F.count("stay_id") - F.count_distinct("stay_id"), "missing": count_if(F.col("stay_id").isNull())}),
+            verdict("cohort_mortality_rule", {"mismatches": count_if(~F.col("label").eqNullSafe(died))}),
+        ).alias("c")
+    ).select(F.inline("c"))
+    known = cohort.where("stay_id is not null").groupBy("stay_id").agg(F.min(hours).alias("_hours"))
+    at = labels.join(known.withColumn("_known", F.lit(1)), "stay_id", "left")
+    short = F.col("_known").isNotNull() & F.coalesce(F.col("_hours") < include + predict, F.lit(True))
+    few = at.where(short).select("stay_id").distinct().orderBy("stay_id").limit(20).collect()  # 20 rows
+    shown = F.lit(",".join(str(r[0]) for r in few))
+    mine = at.agg(
+        F.array(
+            verdict("labels_keys_and_domain", {"outside_cohort": F.count_distinct(F.when(F.col("_known").isNull(), F.col("stay_id"))), "outside_domain": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))}),
+            verdict("labels_observation_window", {"short_stays": F.count_distinct(F.when(short, F.col("stay_id"))), "duplicate_label_rows": F.count("*") - F.count_distinct("stay_id")}, shown),
+        ).alias("c")
+    ).select(F.inline("c"))
+    extras = [f.select("stay_id").distinct().join(known, "stay_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("file"), "n") for n, f in sorted(features.items())]
+    beyond = reduce(DataFrame.unionByName, extras).agg(verdict("feature_stays_in_cohort", {"outside": F.sum("n")}, F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("file")))), ",")).alias("v")).select("v.*")
+    wanted = labels.select("stay_id").where("stay_id is not null").distinct()
+    parts = []
+    for n, p in sorted(products.items()):
+        both = wanted.withColumn("_w", F.lit(1)).join(p.select("stay_id").distinct().withColumn("_h", F.lit(1)), "stay_id", "full_outer")
+        parts.append(both.agg(count_if(F.col("_h").isNull()).alias("missing"), count_if(F.col("_w").isNull()).alias("extra")).select(F.lit(n).alias("product"), "missing", "extra"))
+    whole = reduce(DataFrame.unionByName, parts).agg(verdict("stay_csv_completeness", {"missing": F.sum("missing"), "extra": F.sum("extra")}).alias("v")).select("v.*")
+    models = files.agg(verdict("no_model_artifacts", {"files": count_if(F.col("path").rlike(MODEL_FILES))}).alias("v")).select("v.*")
+    return reduce(DataFrame.unionByName, [own, mine, beyond, whole, models, inventory_checks(files, expected)])

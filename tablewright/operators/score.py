@@ -70,7 +70,7 @@ def tagged(gold: DataFrame, result: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def counts(gold: DataFrame, result: DataFrame, columns: list[str]) -> DataFrame:
-    return tagged(gold, result, columns).groupBy(*columns).agg(F.sum("_g").alias("g"), F.sum("_r").alias("r"))
+    return tagged(gold, result, columns).groupBy(*columns).agg(F.sum("_g").alias("_gold"), F.sum("_r").alias("_result"))
 
 
 def total(c: Column) -> Column:
@@ -78,7 +78,7 @@ def total(c: Column) -> Column:
 
 
 def summed(m: DataFrame) -> DataFrame:
-    return m.agg(total(F.least("g", "r")).alias("matched"), total(F.col("g")).alias("gold_rows"), total(F.col("r")).alias("result_rows"))
+    return m.agg(total(F.least("_gold", "_result")).alias("matched"), total(F.col("_gold")).alias("gold_rows"), total(F.col("_result")).alias("result_rows"))
 
 
 def key_structure(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def cells_unique(gold: DataFrame, result: DataFrame, keys: list[str], columns: l
 
 def paired_cells(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """cells_unique() of counts()."""
-    a, b = rows.where("g > 0").alias("a"), rows.where("r > 0").alias("b")
+    a, b = rows.where("_gold > 0").alias("a"), rows.where("_result > 0").alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
     equal = [F.struct(F.lit(c).alias("column"), total((F.col(f"a.{c}") == F.col(f"b.{c}")).cast("int")).alias("matched")) for c in columns]
     return a.join(b, same).agg(F.array(*equal).alias("r")).select(F.inline("r"))
@@ -202,29 +202,30 @@ def cells_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     distinct rows and how often each is left; work and memory grow with the distinct rows of one key.
     """
     every = keys + [c for c in columns if c not in keys]
-    exact = rows.agg(total(F.least("g", "r")).alias("n"))
+    exact = rows.agg(total(F.least("_gold", "_result")).alias("n"))
     exact = exact.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), "n")
-    left = rows.select(*every, F.explode(F.expr("filter(array(struct('g' as side, greatest(g - r, 0) as n), struct('r' as side, greatest(r - g, 0) as n)), x -> x.n > 0)")).alias("s")).select(*every, "s.side", "s.n")
-    group = left.groupBy(*keys).agg(F.sum(F.when(F.col("side") == "g", F.col("n"))).alias("ng"), F.sum(F.when(F.col("side") == "r", F.col("n"))).alias("nr")).where("ng is not null and nr is not null")
-    single = left.join(group.where("least(ng, nr) = 1").select(*keys), keys, "left_semi")
-    a, b = single.where("side = 'g'").alias("a"), single.where("side = 'r'").alias("b")
+    sides = F.expr("filter(array(struct('g' as side, greatest(_gold - _result, 0) as n), struct('r' as side, greatest(_result - _gold, 0) as n)), x -> x.n > 0)")
+    left = rows.select(*every, F.explode(sides).alias("_s")).select(*every, F.col("_s.side").alias("_side"), F.col("_s.n").alias("_n"))
+    group = left.groupBy(*keys).agg(F.sum(F.when(F.col("_side") == "g", F.col("_n"))).alias("_ng"), F.sum(F.when(F.col("_side") == "r", F.col("_n"))).alias("_nr")).where("_ng is not null and _nr is not null")
+    single = left.join(group.where("least(_ng, _nr) = 1").select(*keys), keys, "left_semi")
+    a, b = single.where("_side = 'g'").alias("a"), single.where("_side = 'r'").alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
     equal = F.array(*[(F.col(f"a.{c}") == F.col(f"b.{c}")).cast("int") for c in columns])
-    scored = a.join(b, same).select(*[F.col(f"a.{k}").alias(k) for k in keys], equal.alias("e"))
-    best = scored.groupBy(*keys).agg(F.max(F.struct(F.aggregate("e", F.lit(0), lambda x, y: x + y).alias("n"), F.col("e"))).alias("m"))
-    singles = best.agg(F.array(*[F.struct(F.lit(c).alias("column"), total(F.get("m.e", F.lit(i))).alias("n")) for i, c in enumerate(columns)]).alias("r")).select(F.inline("r"))
-    group = group.where("least(ng, nr) > 1")
+    scored = a.join(b, same).select(*[F.col(f"a.{k}").alias(k) for k in keys], equal.alias("_e"))
+    best = scored.groupBy(*keys).agg(F.max(F.struct(F.aggregate("_e", F.lit(0), lambda x, y: x + y).alias("n"), F.col("_e").alias("e"))).alias("_m"))
+    singles = best.agg(F.array(*[F.struct(F.lit(c).alias("column"), total(F.get("_m.e", F.lit(i))).alias("n")) for i, c in enumerate(columns)]).alias("r")).select(F.inline("r"))
+    group = group.where("least(_ng, _nr) > 1")
     open_ = left.join(group.select(*keys), keys, "left_semi")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        g, r = (pdf[pdf.side == k].groupby(columns, as_index=False, dropna=False, sort=True).n.sum() for k in ("g", "r"))
+        g, r = (pdf[pdf._side == k].groupby(columns, as_index=False, dropna=False, sort=True)._n.sum() for k in ("g", "r"))
         equal = lambda c: g[c].to_numpy()[:, None] == r[c].to_numpy()[None, :]
         weights = np.zeros((len(g), len(r)), np.int64)
         for c in columns:
             weights += equal(c)
-        flow = transport(weights, g.n.to_numpy(), r.n.to_numpy())
+        flow = transport(weights, g["_n"].to_numpy(), r["_n"].to_numpy())
         i, j = flow.nonzero()
         hit = np.array([int((flow[i, j] * (g[c].to_numpy()[i] == r[c].to_numpy()[j])).sum()) for c in columns])
         return pd.DataFrame({"column": columns, "n": hit.astype("int64")})
@@ -246,9 +247,9 @@ def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool
     # both sides are brought to normal form and counted once; keys, cells and exact rows are read off the counts
     rows = cut(counts(gold, result, shared))
     cell = paired_cells(rows, keys, shared) if unique else cells_of(rows, keys, shared)
-    key = summed(rows.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("r").alias("r")))
+    key = summed(rows.groupBy(*keys).agg(F.sum("_gold").alias("_gold"), F.sum("_result").alias("_result")))
     # a row that lacks a column equals no whole row
-    exact = summed(rows if shared == gold.columns else rows.select(F.col("g"), F.lit(0).cast("long").alias("r")))
+    exact = summed(rows if shared == gold.columns else rows.select("_gold", F.lit(0).cast("long").alias("_result")))
     parts = key.select(F.struct("matched", "gold_rows", "result_rows").alias("k"), F.lit(None).cast("struct<m:long>").alias("x"), F.lit(None).cast("struct<c:string,m:long>").alias("c"))
     parts = parts.unionAll(exact.select(F.lit(None).cast("struct<matched:long,gold_rows:long,result_rows:long>"), F.struct(F.col("matched").alias("m")), F.lit(None).cast("struct<c:string,m:long>")))
     parts = parts.unionAll(cell.select(F.lit(None).cast("struct<matched:long,gold_rows:long,result_rows:long>"), F.lit(None).cast("struct<m:long>"), F.struct(F.col("column").alias("c"), F.col("matched").alias("m"))))
@@ -266,7 +267,7 @@ def column_scores(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFr
     shared = [c for c in gold.columns if c in result.columns]
     rows = cut(counts(gold, result, shared))
     every = gold.sparkSession.createDataFrame([(c, "matched" if c in shared else "missing_column") for c in gold.columns], "column string, status string")
-    whole = rows.agg(total(F.col("g")).alias("gold_cells"), total(F.col("r")).alias("result_cells")).first()
+    whole = rows.agg(total(F.col("_gold")).alias("gold_cells"), total(F.col("_result")).alias("result_cells")).first()
     at = every.join(cells_of(rows, keys, shared), "column", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
     at = at.withColumns({c: F.lit(whole[c]).cast("long") for c in ("gold_cells", "result_cells")})
     share = lambda c: F.round(F.col("matched") / F.greatest(F.col(c), F.lit(1)), 6)
@@ -359,8 +360,8 @@ def recall(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
     shared = [c for c in columns if c in result.columns]
     rows, key = counts(gold, result.select(*shared), columns if shared == columns else shared), counts(gold, result, keys)
     cell = tagged(gold, result, shared).select(*["_g", "_r"], F.concat_ws("\u001f", *keys).alias("key"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in shared if c not in keys]))).where("value <> ''")
-    cell = cell.groupBy("key", "column", "value").agg(F.sum("_g").alias("g"), F.sum("_r").alias("r"))
-    share = lambda df, name: df.agg(F.round(total(F.least("g", "r")) / F.greatest(total(F.col("g")), F.lit(1)), 6).alias("recall"), F.round(total(F.least("g", "r")) / F.greatest(total(F.col("r")), F.lit(1)), 6).alias("precision")).select(F.lit(name).alias("part"), "recall", "precision")
+    cell = cell.groupBy("key", "column", "value").agg(F.sum("_g").alias("_gold"), F.sum("_r").alias("_result"))
+    share = lambda df, name: df.agg(F.round(total(F.least("_gold", "_result")) / F.greatest(total(F.col("_gold")), F.lit(1)), 6).alias("recall"), F.round(total(F.least("_gold", "_result")) / F.greatest(total(F.col("_result")), F.lit(1)), 6).alias("precision")).select(F.lit(name).alias("part"), "recall", "precision")
     parts = share(rows, "row").unionByName(share(key, "key")).unionByName(share(cell, "cell"))
     column = round(len(shared) / max(len(columns), 1), 6)
     pick = lambda p, c: F.max(F.when(F.col("part") == p, F.col(c)))
@@ -371,7 +372,7 @@ def recall(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
 
 def recall_targets(gold: DataFrame, result: DataFrame, keys: list[str], columns: list[str], low: float = LOW) -> DataFrame:
     """(target, detail, value): too many rows, missing keys, and columns of low recall among paired rows."""
-    key = counts(gold, result, keys).agg(total(F.greatest(F.col("r") - F.col("g"), F.lit(0))).alias("over"), total(F.greatest(F.col("g") - F.col("r"), F.lit(0))).alias("under"))
+    key = counts(gold, result, keys).agg(total(F.greatest(F.col("_result") - F.col("_gold"), F.lit(0))).alias("over"), total(F.greatest(F.col("_gold") - F.col("_result"), F.lit(0))).alias("under"))
     rows = key.select(F.inline(F.array(F.struct(F.lit("over_extraction").alias("target"), F.lit("").alias("detail"), F.col("over").cast("double").alias("value")), F.struct(F.lit("missing_reference_rows").alias("target"), F.lit("").alias("detail"), F.col("under").cast("double").alias("value"))))).where("value > 0")
     n = unique_recall(gold, result, keys, columns)
     return rows.unionByName(n.where(F.col("recall") < low).select(F.lit("low_column_recall").alias("target"), F.col("column").alias("detail"), F.col("recall").alias("value")))

@@ -120,3 +120,56 @@ CHECK = "SELECT '{0}' AS name, {1} = 0 AS passed, ({1})::BIGINT AS observed, 0::
 def package_checks(spark, d):
     stays = W.stays(spark, d)
     return E.package_checks(cohort(spark, d), E.label_eligible(stays), {"chart": stays.select("stay_id")})
+
+
+FEATURE_FILES = ["preproc_chart_icu.csv.gz", "preproc_diag_icu.csv.gz", "preproc_med_icu.csv.gz", "preproc_out_icu.csv.gz", "preproc_proc_icu.csv.gz"]
+INVENTORY = {"cohort_exists": ("cohort/", ["cohort.csv.gz"], False), "five_feature_files": ("features/", FEATURE_FILES, False), "labels_exists": ("csv/", ["labels.csv"], False), "dictionary_inventory": ("dict/", [f"d{i}" for i in range(6)], False), "summary_inventory": ("summary/", [f"s{i}.csv" for i in range(10)], True), "gold_candidate_inventory": ("", ["cohort/cohort.csv.gz", *[f"features/{f}" for f in FEATURE_FILES], "csv/labels.csv", *[f"summary/s{i}.csv" for i in range(10)]], False)}
+LISTED = """files AS (SELECT DISTINCT 'cohort/cohort.csv.gz' AS path FROM part UNION SELECT 'csv/labels.csv' FROM part UNION SELECT 'features/preproc_' || ['chart', 'diag', 'med', 'out', 'other'][p_size % 5 + 1] || '_icu.csv.gz' FROM part
+  UNION SELECT 'dict/d' || (p_size % 6) FROM part UNION SELECT 'summary/s' || (p_size % 11) || '.csv' FROM part UNION SELECT 'models/' || lower(p_brand[7:]) || '.PT' FROM part WHERE p_size = 7)"""
+
+
+def listed(spark, d):
+    p = W.table(spark, d, "part")
+    kind = F.get(F.array(*map(F.lit, ("chart", "diag", "med", "out", "other"))), (F.col("p_size") % 5).cast("int"))
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    own = F.array(F.lit("cohort/cohort.csv.gz"), F.lit("csv/labels.csv"), text("features/preproc_", kind, "_icu.csv.gz"), text("dict/d", (F.col("p_size") % 6).cast("string")), text("summary/s", (F.col("p_size") % 11).cast("string"), ".csv"))
+    models = F.when(F.col("p_size") == 7, F.array(text("models/", F.lower(F.substring("p_brand", 7, 9)), ".PT"))).otherwise(F.array().cast("array<string>"))
+    return p.select(F.explode(F.concat(own, models)).alias("path")).distinct()
+
+
+def _told(name: str, wrong: dict[str, str], source: str, details: str = "''") -> str:
+    n = ", ".join(f"({v})::BIGINT AS {k}" for k, v in wrong.items())
+    json = " || ',' || ".join(f"""'"{k}":' || {k}""" for k in wrong)
+    return f"SELECT '{name}' AS name, {' AND '.join(f'{k} = 0' for k in wrong)} AS passed, '{{' || {json} || '}}' AS observed, {details} AS details FROM (SELECT {n} FROM {source})"
+
+
+def _inventory_sql() -> str:
+    parts = []
+    for k, (folder, paths, only) in INVENTORY.items():
+        want = "SELECT unnest([" + ", ".join(f"'{folder}{p}'" for p in paths) + "]) AS path"
+        more = f" UNION ALL SELECT path, 0, 1 FROM files WHERE path LIKE '{folder}%' AND path NOT IN ({want})" if only else ""
+        rows = f"(SELECT path, (path NOT IN (SELECT path FROM files))::INT AS m, 0 AS e FROM ({want}){more})"
+        parts.append(f"""SELECT '{k}' AS name, m + e = 0 AS passed, '{{"missing":' || m || ',"extra":' || e || '}}' AS observed, bad AS details FROM (SELECT sum(m)::BIGINT AS m, sum(e)::BIGINT AS e, coalesce(string_agg(path, ',' ORDER BY path) FILTER (m + e > 0), '') AS bad FROM {rows})""")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "validation_report",
+    W.sql(
+        CONTRACT + ", labels_ AS (SELECT stay_id, (stay_id % 3)::INT AS label FROM stays), known AS (SELECT stay_id, floor(epoch(outtime - intime) / 3600) AS h FROM cohort), j AS (SELECT l.*, h, k.stay_id IS NOT NULL AS here FROM labels_ l LEFT JOIN known k USING (stay_id)), " + LISTED
+        + ", short AS (SELECT DISTINCT stay_id FROM j WHERE here AND (h IS NULL OR h < 74)), few AS (SELECT stay_id FROM short ORDER BY 1 LIMIT 20), demo AS (SELECT stay_id FROM cohort) "
+        + " UNION ALL ".join((
+            _told("cohort_schema", {"differs": "count(*) * 0"}, "cohort"), _told("labels_schema", {"differs": "count(*) * 0"}, "labels_"), _told("diagnosis_schema", {"differs": "(count(*) > 0)::INT"}, "diagnoses", "'hadm_id,icd_code'"), _told("original_data_untouched", {"differs": "count(*) * 0"}, "cohort"),
+            _told("cohort_adults", {"under_age": 'count(*) FILTER (coalesce("Age" < 18, true))'}, "cohort"), _told("cohort_label_domain", {"outside": "count(*) FILTER (label NOT IN (0, 1))"}, "cohort"), _told("cohort_stay_keys", {"duplicates": "count(stay_id) - count(DISTINCT stay_id)", "missing": "count(*) - count(stay_id)"}, "cohort"),
+            _told("cohort_mortality_rule", {"mismatches": "count(*) FILTER (label IS DISTINCT FROM coalesce((dod BETWEEN intime AND outtime)::INT, 0))"}, "cohort"), _told("labels_keys_and_domain", {"outside_cohort": "count(DISTINCT CASE WHEN NOT here THEN stay_id END)", "outside_domain": "count(*) FILTER (label NOT IN (0, 1))"}, "j"),
+            _told("labels_observation_window", {"short_stays": "(SELECT count(*) FROM short)", "duplicate_label_rows": "count(*) - count(DISTINCT stay_id)"}, "j", "(SELECT coalesce(string_agg(stay_id::VARCHAR, ',' ORDER BY stay_id), '') FROM few)"),
+            _told("feature_stays_in_cohort", {"outside": "count(*)"}, "(SELECT DISTINCT stay_id FROM stays WHERE stay_id NOT IN (SELECT stay_id FROM cohort))", "CASE WHEN outside > 0 THEN 'chart' ELSE '' END"),
+            _told("stay_csv_completeness", {"missing": "(SELECT count(*) FROM labels_ WHERE stay_id NOT IN (SELECT stay_id FROM demo))", "extra": "(SELECT count(*) FROM demo WHERE stay_id NOT IN (SELECT stay_id FROM labels_))"}, "(SELECT 1)"),
+            _told("no_model_artifacts", {"files": "count(*) FILTER (regexp_matches(path, '(?i)\\.(pt|pth|onnx)$'))"}, "files"), _inventory_sql(),
+        ))
+    ),
+)
+def validation_report(spark, d):
+    s, c = W.stays(spark, d), cohort(spark, d)
+    labels = s.select("stay_id", (F.col("stay_id") % 3).cast("int").alias("label"))
+    return E.validation_report(c, labels, {"chart": s.select("stay_id")}, (["hadm_id", "icd_code"], ["stay_id", "new_icd_code", "root_icd_code"]), {"demo": E.stay_demo(c), "static": s.select("stay_id")}, listed(spark, d), INVENTORY, ("same", "same"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -31,3 +32,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _i, each row's place from 0 in the order of the given columns.
+
+    Rows are numbered inside ranges of a global sort, so that no task sees them all: a range's
+    first place is the count of rows in the ranges before it.  The ranges are cut once: planned
+    again, they would be sampled anew and their sizes belong to others.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect())  # a row a range
+    offsets, before = [], 0
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    first = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return ranged.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("_i", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
