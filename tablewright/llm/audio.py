@@ -15,7 +15,8 @@ transform and mel tables, and a logarithm read off the binary exponent), so equa
 have equal features whatever batch they are computed in.
 
 Defined results: null text counts as empty and is one block of spaces.  Repeated rows
-give equal values.  Only doc_id and text are looked at.
+give equal values.  An empty table gives no rows.  Very long texts are one WAV each, worked
+on in frames.  Only doc_id and text are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations

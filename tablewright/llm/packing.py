@@ -13,6 +13,7 @@ Ranges are as many as the characters ask for, so that none grows with the corpus
 Nothing of a range is held but the current batch; sequence ids number the range in
 their upper bits.  Defined results: null text counts as empty, and an empty document
 is the end id alone; repeated rows are packed once each; null ids are packed too.
+An empty table gives no rows; a very long text is cut into as many pieces as it takes.
 Other columns are not looked at.
 """
 

@@ -5,8 +5,10 @@ integer comparison of two measures, so every engine decides alike.  kept is fals
 where the base rule fails or any rule of the table does; failed_rules names them.
 
 Defined results: a null text counts as empty; empty text has no words and fails
-the base rule.  Repeated rows are judged one by one and alike.  Other columns pass
-by unread; only doc_id and text are looked at.
+the base rule.  Repeated rows are judged one by one and alike.  An empty table gives no
+rows; very long texts are measured whole.  Other columns pass by unread; only doc_id and
+text are looked at.  Stop words are those of four languages: a text in any other one has
+none and fails that rule; hand in other RULES for such corpora.
 """
 
 from __future__ import annotations

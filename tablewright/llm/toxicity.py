@@ -20,7 +20,8 @@ reads every document.
 
 Defined results: null text counts as empty; a text without words scores 0.  Equal texts
 score alike.  Labels without a document or without a value are not used; of repeated
-labels the highest counts.  Without labels of both kinds every score is 0.
+labels the highest counts.  Without labels of both kinds every score is 0.  An empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
