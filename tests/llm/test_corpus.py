@@ -615,3 +615,13 @@ def test_lm_rare_words_of_null_ids(spark, monkeypatch):
         monkeypatch.setattr(lm, "HOT", hot)
         got[hot] = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(df).collect())
     assert got[2] == got[every] and len(got[2]) == len(rows)
+
+
+def test_near_dedup_stage_keeps_one_row_of_an_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    rows = [(1, one, "en", "s", 9), (1, one, "en", "s", 9), (2, two, "en", "s", 9), (2, two + " more", None, None, None), (3, one, "en", "s", 9), (None, one, "en", "s", 9), (4, None, "en", "s", 0)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), DIR)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id or -1), r.text or "") for r in got.collect()) == [(-1, one), (1, one), (2, two + " more"), (4, "")]
