@@ -79,6 +79,5 @@ def first_by_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    digest = F.xxhash64(*[F.col(c).cast("string") for c in rest])
-    row = F.struct(digest.alias("digest"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(rest)])
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), row).alias("_row")).select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
+    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rest])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), digest).alias("_row")).select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])

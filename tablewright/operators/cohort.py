@@ -22,7 +22,7 @@ def dedupe(df: DataFrame, keys: list[str], tie: list) -> DataFrame:
     """One row for each non-null key, the first by the tie-break columns, then by digest; keys meet before rows move."""
     rest = [c for c in df.columns if c not in keys]
     named = [(c if isinstance(c, Column) else F.col(c)).alias(f"t{i}") for i, c in enumerate(tie)]
-    order = F.struct(*named, F.xxhash64(*[F.col(c).cast("string") for c in rest]).alias("digest"))
+    order = F.struct(*named, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rest]).alias("digest"))
     one = df.dropna(subset=keys).groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return one.select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
 
