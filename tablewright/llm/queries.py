@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, rules, toxicity
+from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, rules, spelling, toxicity
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_rules": rules.op9_rules,
     "op10_pack": packing.op10_pack,
+    "op11_spelling": spelling.op11_spelling,
 }
 _ORACLE: dict[str, str] = {
     "op2_mix": mixing.ORACLE,
