@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import audio, chat, lm, minhash, mixing, packing, pii, quality, rules, spelling, toxicity
+from tablewright.llm import audio, chat, lm, minhash, mixing, nearest, negatives, packing, pii, quality, rules, spelling, toxicity
 
 _QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,11 +16,14 @@ _QUERIES = {
     "op9_rules": rules.op9_rules,
     "op10_pack": packing.op10_pack,
     "op11_spelling": spelling.op11_spelling,
+    "op12_nearest": nearest.op12_nearest,
+    "op13_negatives": negatives.op13_negatives,
 }
 _ORACLE: dict[str, str] = {
     "op2_mix": mixing.ORACLE,
     "op6_chat": chat.ORACLE,
     "op9_rules": rules.ORACLE,
+    "op13_negatives": negatives.ORACLE,
 }
 
 
