@@ -9,10 +9,13 @@ two near words the one whose prefix ends earlier has a pivot in the other's pref
 
 A pivot that is left alone lies on one side of the edit, and its other side is equal in both
 words.  So the index holds, for each bigram of a prefix, the text from the word's start up to
-it, with the word's length, and the text from it to the end, with its position; a pivot asks
-for its own text on either side, with lengths and positions up to EDITS away.  Text is
-indexed by 64-bit hashes; the pairs that meet are then verified by edit distance within the join,
-so a collision adds nothing.
+it, with the word's length, and the text from it to the end, with its position, either once
+alone and once with the letter at the word's other end; a pivot asks for its own text, with lengths and
+positions up to EDITS away.  An edit before both pivots leaves the first one and all behind it, one behind both
+the second and all before it.  Of any other edit the first pivot's beginning and the word's last
+letter, or the second one's ending and the first letter, stay (if the pivots leave such a letter out).
+Text is indexed by 64-bit hashes; of the pairs that meet those whose letters can be one edit apart
+are verified by edit distance within the join, so a collision adds nothing.
 
 Letters are 26 and 64, so there are 8,100 bigrams at most, whatever the corpus; their
 counts alone come to the driver.  Words follow their form to a word at least RATIO times as
@@ -139,8 +142,30 @@ def keys(words: pa.Array, counts: np.ndarray, pivots: bool) -> tuple[np.ndarray,
         begin, end = start[word], start[word + 1]
         left = mix((sums[place + 2] - sums[begin]) * back[begin])
         right = mix((sums[end] - sums[place]) * back[place] + U64(1))
-        made = [mix(side + (number + k).astype(U64) * U64(BASE)) for k in offsets for side, number in ((left, end - begin), (right, place - begin))]
-    return np.tile(word, len(made)), np.concatenate(made), np.tile(last[word], len(made))
+        head, tail, none = codes[begin] + 1, codes[end - 1] + 1, np.zeros(len(word), dtype=np.int64)
+        if pivots:
+            one, two = np.arange(0, len(word), 2), np.arange(1, len(word), 2)  # first and second pivot of each word
+            asked = [(right[one], place[one] - begin[one], none[one]), (left[two], end[two] - begin[two], none[two])]
+            asked.append((left[one], end[one] - begin[one], np.where(place[two] + 2 < end[two], tail[one], 0)))
+            asked.append((right[two], place[two] - begin[two], np.where(place[one] > begin[one], head[two], 0)))
+            of = word[one]
+        else:
+            asked = [(side, number, letter) for side, number, ends in ((left, end - begin, tail), (right, place - begin, head)) for letter in (none, ends)]
+            of = word
+        made = [mix(side + (number + k).astype(U64) * U64(BASE) + letter.astype(U64) * U64(INVERSE)) for k in offsets for side, number, letter in asked]
+    return np.tile(of, len(made)), np.concatenate(made), np.tile(last[of], len(made))
+
+
+def bags(words: pa.Array) -> np.ndarray:
+    """64 bits of each word's letters, of which one edit changes two at most.
+
+    Whether a to z occur, whether they occur twice, and whether letters of each of 12 classes of the others occur.
+    """
+    codes, start = _spelt(words)
+    word = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    held = np.bincount(word * LETTERS + codes, minlength=(len(start) - 1) * LETTERS).reshape(-1, LETTERS)
+    bits = [held[:, :26] >= 1, held[:, :26] >= 2, *[(held[:, 26 + k :: 12] > 0).any(axis=1)[:, None] for k in range(12)]]
+    return np.concatenate(bits, axis=1) @ (U64(1) << np.arange(64, dtype=U64))
 
 
 def _keyed(counts: np.ndarray, pivots: bool) -> Callable:
@@ -149,17 +174,19 @@ def _keyed(counts: np.ndarray, pivots: bool) -> Callable:
             for at in range(0, whole.num_rows, BATCH_WORDS):
                 batch = whole.slice(at, BATCH_WORDS)
                 word, key, last = keys(batch.column("word"), counts, pivots)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("word").take(word), batch.column("n").take(word), pa.array(last)], ["key", "word", "n", "last"])
+                bag = bags(batch.column("word")).view(np.int64)[word]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("word").take(word), batch.column("n").take(word), pa.array(last), pa.array(bag)], ["key", "word", "n", "last", "bag"])
 
     return run
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near, n): both directions of every pair of near words, with near's count."""
-    counts, schema = gram_counts(words), "key long, word string, n long, last long"
-    asks = words.mapInArrow(_keyed(counts, True), schema).toDF("key", "word", "n", "last").alias("a")
-    held = words.mapInArrow(_keyed(counts, False), schema).toDF("key", "word", "n", "last").alias("b")
-    met = asks.join(held, (F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & (F.col("a.word") != F.col("b.word")) & (F.levenshtein("a.word", "b.word", EDITS) == EDITS))
+    counts, schema = gram_counts(words), "key long, word string, n long, last long, bag long"
+    asks = words.mapInArrow(_keyed(counts, True), schema).alias("a")
+    held = words.mapInArrow(_keyed(counts, False), schema).alias("b")
+    alike = F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= 2 * EDITS
+    met = asks.join(held, (F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & alike & (F.levenshtein("a.word", "b.word", EDITS) == EDITS))
     ab = F.struct(F.col("a.word").alias("word"), F.col("b.word").alias("near"), F.col("b.n").alias("n"))
     ba = F.struct(F.col("b.word").alias("word"), F.col("a.word").alias("near"), F.col("a.n").alias("n"))
     return met.select(F.explode(F.array(ab, ba)).alias("p")).select("p.*").distinct()
