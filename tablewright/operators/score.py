@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import f1, first_by_digest, normal_cell
+from tablewright.operators.matching import best_pairs
 from tablewright.sources.lineage import cut
 
 #: Weights of the four parts of a file's score.
@@ -27,6 +28,8 @@ FILE_KEYS = {
 FOLDER_KEYS = {"cohort/": ("stay_id",), "summary/diag_": ("new_icd_code",), "summary/": ("itemid",)}
 ANY_KEYS = ("stay_id", "hadm_id", "subject_id", "itemid", "new_icd_code")
 LOW = 0.98
+#: A key whose distinct rows left make more pairs than this is paired by Spark jobs, not by one task.
+TASK_PAIRS = 40_000
 
 
 def normal(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -198,15 +201,18 @@ def cells_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(column, matched) of counts() with repeated keys: equal rows are paired first, the rest of a key by best assignment.
 
     Where one row of a side is left, its best partner is an aggregate over as many pairs as
-    the other side has rows.  Only keys with several rows left on both sides reach Python, as
-    distinct rows and how often each is left; work and memory grow with the distinct rows of one key.
+    the other side has rows.  Keys with several rows left on both sides reach Python, as
+    distinct rows and how often each is left, if these make at most TASK_PAIRS pairs; larger keys are paired by
+    best_pairs(), so no task grows with a key.
     """
     every = keys + [c for c in columns if c not in keys]
     exact = rows.agg(total(F.least("_gold", "_result")).alias("n"))
     exact = exact.select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), "n")
     sides = F.expr("filter(array(struct('g' as side, greatest(_gold - _result, 0) as n), struct('r' as side, greatest(_result - _gold, 0) as n)), x -> x.n > 0)")
     left = rows.select(*every, F.explode(sides).alias("_s")).select(*every, F.col("_s.side").alias("_side"), F.col("_s.n").alias("_n"))
-    group = left.groupBy(*keys).agg(F.sum(F.when(F.col("_side") == "g", F.col("_n"))).alias("_ng"), F.sum(F.when(F.col("_side") == "r", F.col("_n"))).alias("_nr")).where("_ng is not null and _nr is not null")
+    of = lambda side, c: F.when(F.col("_side") == side, c)
+    group = left.groupBy(*keys).agg(F.sum(of("g", F.col("_n"))).alias("_ng"), F.sum(of("r", F.col("_n"))).alias("_nr"), (F.count(of("g", F.lit(1))) * F.count(of("r", F.lit(1)))).alias("_pairs"))
+    group = cut(group.where("_ng is not null and _nr is not null"))
     single = left.join(group.where("least(_ng, _nr) = 1").select(*keys), keys, "left_semi")
     a, b = single.where("_side = 'g'").alias("a"), single.where("_side = 'r'").alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
@@ -215,7 +221,8 @@ def cells_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     best = scored.groupBy(*keys).agg(F.max(F.struct(F.aggregate("_e", F.lit(0), lambda x, y: x + y).alias("n"), F.col("_e").alias("e"))).alias("_m"))
     singles = best.agg(F.array(*[F.struct(F.lit(c).alias("column"), total(F.get("_m.e", F.lit(i))).alias("n")) for i, c in enumerate(columns)]).alias("r")).select(F.inline("r"))
     group = group.where("least(_ng, _nr) > 1")
-    open_ = left.join(group.select(*keys), keys, "left_semi")
+    open_ = left.join(group.where(F.col("_pairs") <= TASK_PAIRS).select(*keys), keys, "left_semi")
+    large = group.where(F.col("_pairs") > TASK_PAIRS).select(*keys)
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -231,18 +238,29 @@ def cells_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
         return pd.DataFrame({"column": columns, "n": hit.astype("int64")})
 
     rest = open_.groupBy(*keys).applyInPandas(pair, "column string, n long")
+    if not large.isEmpty():
+        most = cut(left.join(large, keys, "left_semi"))
+        g, r = (most.where(F.col("_side") == side).select(*every, "_n") for side in ("g", "r"))
+        rest = rest.unionAll(best_pairs(g, r, keys, columns, "_n"))
     return exact.unionAll(singles).unionAll(rest).groupBy("column").agg(total(F.col("n")).alias("matched"))
 
 
+def keyed(gold: DataFrame, result: DataFrame, keys: list[str]) -> bool:
+    """Whether rows of both sides can be aligned: there is a key, and both sides have its columns."""
+    return bool(keys) and all(k in gold.columns and k in result.columns for k in keys)
+
+
 def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
-    """One row: schema, key, cell and exact F1 of a table and their weighted score."""
+    """One row: schema, key, cell and exact F1 of a table and their weighted score.
+
+    Without a key, or where a side lacks a key column, rows cannot be told apart: only the schema scores.
+    """
     schema = schema_score(gold.columns, result.columns)["f1"]
-    if not all(k in result.columns for k in keys):
-        zero = [(schema, 0.0, 0.0, 0.0, round(PART_WEIGHTS["schema"] * schema, 6))]
-        n = gold.agg(F.count("*").alias("gold_rows"))
-        return n.select(
-            *[F.lit(x).alias(c) for x, c in zip(zero[0], ("schema_f1", "key_f1", "cell_f1", "exact_f1", "score"))], "gold_rows", F.lit(0).cast("long").alias("result_rows")
-        )
+    if not keyed(gold, result, keys):
+        zero = {"schema_f1": schema, "key_f1": 0.0, "cell_f1": 0.0, "exact_f1": 0.0, "score": round(PART_WEIGHTS["schema"] * schema, 6)}
+        side = lambda df, g: df.agg(F.count("*").alias("n")).select(F.when(F.lit(g), F.col("n")).alias("gold_rows"), F.when(F.lit(not g), F.col("n")).alias("result_rows"))
+        n = side(gold, True).unionByName(side(result, False)).agg(F.max("gold_rows").alias("gold_rows"), F.max("result_rows").alias("result_rows"))
+        return n.select(*[F.lit(v).alias(c) for c, v in zero.items()], "gold_rows", "result_rows")
     shared = [c for c in gold.columns if c in result.columns]
     # both sides are brought to normal form and counted once; keys, cells and exact rows are read off the counts
     rows = cut(counts(gold, result, shared))
@@ -263,12 +281,17 @@ def file_score(gold: DataFrame, result: DataFrame, keys: list[str], unique: bool
 
 
 def column_scores(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each gold column: matched cells of paired rows, precision, recall and F1; a column the result lacks has none."""
+    """A row for each gold column: matched cells of paired rows, precision, recall and F1; a column the result lacks has none.
+
+    Where rows cannot be aligned (see keyed()) no cell matches.
+    """
     shared = [c for c in gold.columns if c in result.columns]
-    rows = cut(counts(gold, result, shared))
+    aligned = keyed(gold, result, keys)
+    rows = cut(counts(gold, result, shared)) if shared else gold.select(F.lit(1).alias("_gold"), F.lit(0).alias("_result")).unionAll(result.select(F.lit(0), F.lit(1)))
     every = gold.sparkSession.createDataFrame([(c, "matched" if c in shared else "missing_column") for c in gold.columns], "column string, status string")
     whole = rows.agg(total(F.col("_gold")).alias("gold_cells"), total(F.col("_result")).alias("result_cells")).first()
-    at = every.join(cells_of(rows, keys, shared), "column", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
+    cell = cells_of(rows, keys, shared) if aligned else every.select("column", F.lit(0).cast("long").alias("matched"))
+    at = every.join(cell, "column", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
     at = at.withColumns({c: F.lit(whole[c]).cast("long") for c in ("gold_cells", "result_cells")})
     share = lambda c: F.round(F.col("matched") / F.greatest(F.col(c), F.lit(1)), 6)
     out = at.withColumn("precision", share("result_cells")).withColumn("recall", share("gold_cells"))
@@ -359,7 +382,7 @@ def recall(gold: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
     columns = gold.columns
     shared = [c for c in columns if c in result.columns]
     rows, key = counts(gold, result.select(*shared), columns if shared == columns else shared), counts(gold, result, keys)
-    cell = tagged(gold, result, shared).select(*["_g", "_r"], F.concat_ws("\u001f", *keys).alias("key"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in shared if c not in keys]))).where("value <> ''")
+    cell = tagged(gold, result, shared).select(*["_g", "_r"], F.struct(*keys).alias("key"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in shared if c not in keys]))).where("value <> ''")
     cell = cell.groupBy("key", "column", "value").agg(F.sum("_g").alias("_gold"), F.sum("_r").alias("_result"))
     share = lambda df, name: df.agg(F.round(total(F.least("_gold", "_result")) / F.greatest(total(F.col("_gold")), F.lit(1)), 6).alias("recall"), F.round(total(F.least("_gold", "_result")) / F.greatest(total(F.col("_result")), F.lit(1)), 6).alias("precision")).select(F.lit(name).alias("part"), "recall", "precision")
     parts = share(rows, "row").unionByName(share(key, "key")).unionByName(share(cell, "cell"))
