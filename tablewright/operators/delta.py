@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.sources.lineage import numbered
+from tablewright.sources.lineage import cut, numbered
 
 
 def same_keys(keys: list[str], left: str = "a", right: str = "b") -> Column:
@@ -114,21 +114,37 @@ def plain(c: Column) -> Column:
 def compare(expected: DataFrame, actual: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
     """One row a shared column: compared and unequal cells, for rows aligned by key and place within the key.
 
-    Rows of a repeated key are aligned in the order of their other columns; a row's place in its key
-    is its place in a global sort less that of the key's first row.
+    Keys that occur once are aligned by a join alone.  Rows of a repeated key are aligned in the order of their
+    other columns; a row's place in its key is its place in a global sort less that of the key's first row.
     """
     columns = shared_columns(expected, actual)
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        at = numbered(df.select(*[plain(F.col(c)).alias(c) for c in columns]), [*keys, *[c for c in columns if c not in keys]])
+    normal = {tag: df.select(*[plain(F.col(c)).alias(c) for c in columns]) for tag, df in (("a", expected), ("b", actual))}
+    again = None
+    if keys:
+        often = lambda df: df.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").select(*keys)
+        again = cut(often(normal["a"]).unionAll(often(normal["b"])).distinct())
+        again = None if again.isEmpty() else again
+
+    def places(df: DataFrame) -> DataFrame:
+        at = numbered(df, [*keys, *[c for c in columns if c not in keys]])
         if keys:
             first = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_i").alias("_first"))
             at = at.join(first, reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_{k}") for k in keys)))
         else:
             at = at.withColumn("_first", F.lit(0))
-        return at.select(*columns, (F.col("_i") - F.col("_first")).alias("_n"), F.lit(True).alias(f"_{tag}")).alias(tag)
+        return at.select(*columns, (F.col("_i") - F.col("_first")).cast("long").alias("_n"))
+
+    def side(tag: str) -> DataFrame:
+        df, first = normal[tag], F.lit(0).cast("long").alias("_n")
+        if not keys:
+            at = places(df)
+        elif again is None:
+            at = df.select(*columns, first)
+        else:
+            at = df.join(again, keys, "left_anti").select(*columns, first).unionByName(places(df.join(again, keys, "left_semi").select(*columns)))
+        return at.withColumn(f"_{tag}", F.lit(True)).alias(tag)
 
-    p = side(expected, "a").join(side(actual, "b"), same_keys([*keys, "_n"]), "full_outer")
+    p = side("a").join(side("b"), same_keys([*keys, "_n"]), "full_outer")
 
     def unequal(c: str) -> Column:
         x, y = F.col(f"a.{c}").try_cast("double"), F.col(f"b.{c}").try_cast("double")

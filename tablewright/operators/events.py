@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import first_by_digest
@@ -54,6 +55,24 @@ def summary_tables(families: dict[str, tuple[DataFrame, str, str | None]]) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
+def family_rows(source: DataFrame, families: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(family, item, visit, filled) of a source: each of its rows once for each family, given as (item, visit, value), from one scan."""
+    rows = [F.struct(F.lit(name).alias("family"), item.cast("string").alias("item"), visit.cast("long").alias("visit"), value.isNotNull().cast("int").alias("filled")) for name, (item, visit, value) in sorted(families.items())]
+    return source.select(F.inline(F.array(*rows)))
+
+
+def family_tables(rows: DataFrame) -> DataFrame:
+    """(name, item, total_count, visits, missing_rate) of the summary and features table of every family, and its totals.
+
+    rows: family_rows() of all sources.  One aggregate over grouping sets makes items and totals (item '*') of all families at once.
+    """
+    some = rows.where("item is not null").groupingSets([["family", "item"], ["family"]], "family", "item")
+    some = some.agg(F.grouping("item").alias("_all"), F.count("*").alias("total_count"), F.count_distinct("visit").alias("visits"), F.sum("filled").alias("_n"))
+    some = some.withColumn("item", F.when(F.col("_all") == 1, "*").otherwise(F.col("item"))).withColumn("missing_rate", F.round(1 - F.col("_n") / F.col("total_count"), 6))
+    kinds = F.array(F.struct(F.concat("family", F.lit("_summary")).alias("name"), F.col("total_count").alias("n")), F.struct(F.concat("family", F.lit("_features")).alias("name"), F.col("_n").alias("n")))
+    return some.select("item", "visits", "missing_rate", F.inline(kinds)).where("n > 0").select("name", "item", F.col("n").alias("total_count"), "visits", "missing_rate")
+
+
 def stay_demo(cohort: DataFrame) -> DataFrame:
     """What is known of a stay's person."""
     return cohort.select("stay_id", "Age", "gender", "ethnicity", "insurance")
@@ -135,45 +154,85 @@ def inventory_checks(files: DataFrame, expected: dict[str, tuple[str, list[str],
     return out.select(F.inline(F.array(*[F.struct(F.col("name").alias("name"), ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("passed"), F.to_json(F.struct(F.col("missing"), F.col("extra"))).alias("observed"), F.col("bad").alias("details"))])))
 
 
-def validation_report(cohort: DataFrame, labels: DataFrame, features: dict[str, DataFrame], diagnosis_columns: tuple[list[str], list[str]], products: dict[str, DataFrame], files: DataFrame, expected: dict[str, tuple[str, list[str], bool]], snapshots: tuple[str, str], include: int = 72, predict: int = 2) -> DataFrame:
+def absent(table: DataFrame | None, columns: Iterable[str], name: str) -> str:
+    """What of a table a check lacks: the table itself, or columns."""
+    return name if table is None else ",".join(f"{name}.{c}" for c in columns if c not in table.columns)
+
+
+def verdicts(table: DataFrame | None, name: str, checks: dict[str, tuple[tuple[str, ...], Callable[[], Column]]]) -> list[DataFrame]:
+    """The checks of one table in one pass; a check whose columns are not there fails and says which, without being computed."""
+    spark, lost = SparkSession.active(), {k: absent(table, columns, name) for k, (columns, _) in checks.items()}
+    failed = [(k, False, f'{{"absent":{1 + x.count(",")}}}', f"absent: {x}") for k, x in lost.items() if x]
+    out = [spark.createDataFrame(failed, "name string, passed boolean, observed string, details string")] if failed else []
+    held = [make() for k, (_, make) in checks.items() if not lost[k]]
+    return out + ([table.agg(F.array(*held).alias("c")).select(F.inline("c"))] if held else [])
+
+
+def with_expected(report: DataFrame) -> DataFrame:
+    """A report with expected: what observed shows where a check passes."""
+    return report.withColumn("expected", F.regexp_replace("observed", ":-?[0-9]+", ":0"))
+
+
+def validation_report(cohort: DataFrame | None, labels: DataFrame | None, features: dict[str, DataFrame | None], diagnosis_columns: tuple[list[str], list[str]], products: dict[str, DataFrame | None], files: DataFrame, expected: dict[str, tuple[str, list[str], bool]], snapshots: tuple[str, str], include: int = 72, predict: int = 2) -> DataFrame:
     """(name, passed, observed, details) of every check of a package.
 
     Tables: cohort, labels (stay_id, label), features by file name, and per-stay products by name, all with
-    stay_id; diagnosis_columns and snapshots are pairs of what is there and what should be; files (path) is the inventory.
+    stay_id; None for one that is not there.  diagnosis_columns and snapshots are pairs of what is there and what should
+    be; files (path) is the inventory.  Only schemas are looked at first: a check that lacks a table or a
+    column fails and names it, the others are taken.
     """
     columns = lambda name, have, want: verdict(name, {"differs": F.lit(int(list(have) != list(want)))}, F.lit("" if list(have) == list(want) else ",".join(have)))
     hours = F.floor((F.unix_timestamp("outtime") - F.unix_timestamp("intime")) / 3600)
     died = F.coalesce(F.col("dod").between(F.col("intime"), F.col("outtime")), F.lit(False)).cast("int")
-    own = cohort.agg(
-        F.array(
-            columns("cohort_schema", cohort.columns, COHORT_COLUMNS),
-            columns("labels_schema", labels.columns, LABEL_COLUMNS),
-            columns("diagnosis_schema", *diagnosis_columns),
-            verdict("original_data_untouched", {"differs": F.lit(int(snapshots[0] != snapshots[1]))}),
-            verdict("cohort_adults", {"under_age": count_if(F.coalesce(F.col("Age") < 18, F.lit(True)))}),
-            verdict("cohort_label_domain", {"outside": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))}),
-            verdict("cohort_stay_keys", {"duplicates": F.count("stay_id") - F.count_distinct("stay_id"), "missing": count_if(F.col("stay_id").isNull())}),
-            verdict("cohort_mortality_rule", {"mismatches": count_if(~F.col("label").eqNullSafe(died))}),
-        ).alias("c")
-    ).select(F.inline("c"))
-    known = cohort.where("stay_id is not null").groupBy("stay_id").agg(F.min(hours).alias("_hours"))
-    at = labels.join(known.withColumn("_known", F.lit(1)), "stay_id", "left")
-    short = F.col("_known").isNotNull() & F.coalesce(F.col("_hours") < include + predict, F.lit(True))
-    few = at.where(short).select("stay_id").distinct().orderBy("stay_id").limit(20).collect()  # 20 rows
-    shown = F.lit(",".join(str(r[0]) for r in few))
-    mine = at.agg(
-        F.array(
-            verdict("labels_keys_and_domain", {"outside_cohort": F.count_distinct(F.when(F.col("_known").isNull(), F.col("stay_id"))), "outside_domain": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))}),
-            verdict("labels_observation_window", {"short_stays": F.count_distinct(F.when(short, F.col("stay_id"))), "duplicate_label_rows": F.count("*") - F.count_distinct("stay_id")}, shown),
-        ).alias("c")
-    ).select(F.inline("c"))
-    extras = [f.select("stay_id").distinct().join(known, "stay_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("file"), "n") for n, f in sorted(features.items())]
-    beyond = reduce(DataFrame.unionByName, extras).agg(verdict("feature_stays_in_cohort", {"outside": F.sum("n")}, F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("file")))), ",")).alias("v")).select("v.*")
-    wanted = labels.select("stay_id").where("stay_id is not null").distinct()
-    parts = []
-    for n, p in sorted(products.items()):
-        both = wanted.withColumn("_w", F.lit(1)).join(p.select("stay_id").distinct().withColumn("_h", F.lit(1)), "stay_id", "full_outer")
-        parts.append(both.agg(count_if(F.col("_h").isNull()).alias("missing"), count_if(F.col("_w").isNull()).alias("extra")).select(F.lit(n).alias("product"), "missing", "extra"))
-    whole = reduce(DataFrame.unionByName, parts).agg(verdict("stay_csv_completeness", {"missing": F.sum("missing"), "extra": F.sum("extra")}).alias("v")).select("v.*")
+    parts = verdicts(
+        cohort,
+        "cohort",
+        {
+            "cohort_schema": ((), lambda: columns("cohort_schema", cohort.columns, COHORT_COLUMNS)),
+            "labels_schema": ((), lambda: columns("labels_schema", labels.columns if labels is not None else [], LABEL_COLUMNS)),
+            "diagnosis_schema": ((), lambda: columns("diagnosis_schema", *diagnosis_columns)),
+            "original_data_untouched": ((), lambda: verdict("original_data_untouched", {"differs": F.lit(int(snapshots[0] != snapshots[1]))})),
+            "cohort_adults": (("Age",), lambda: verdict("cohort_adults", {"under_age": count_if(F.coalesce(F.col("Age") < 18, F.lit(True)))})),
+            "cohort_label_domain": (("label",), lambda: verdict("cohort_label_domain", {"outside": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))})),
+            "cohort_stay_keys": (("stay_id",), lambda: verdict("cohort_stay_keys", {"duplicates": F.count("stay_id") - F.count_distinct("stay_id"), "missing": count_if(F.col("stay_id").isNull())})),
+            "cohort_mortality_rule": (("label", "dod", "intime", "outtime"), lambda: verdict("cohort_mortality_rule", {"mismatches": count_if(~F.col("label").eqNullSafe(died))})),
+        },
+    )
+    lost = absent(cohort, ("stay_id", "intime", "outtime"), "cohort")
+    known = None if lost else cohort.where("stay_id is not null").groupBy("stay_id").agg(F.min(hours).alias("_hours"))
+
+    def without(name: str, what: str) -> DataFrame:
+        told = (name, False, f'{{"absent":{1 + what.count(",")}}}', f"absent: {what}")
+        return SparkSession.active().createDataFrame([told], "name string, passed boolean, observed string, details string")
+
+    lacks = lambda *more: ",".join(x for x in (lost, *more) if x)
+    if no := lacks(absent(labels, LABEL_COLUMNS, "labels")):
+        parts += [without(k, no) for k in ("labels_keys_and_domain", "labels_observation_window")]
+    else:
+        at = labels.join(known.withColumn("_known", F.lit(1)), "stay_id", "left")
+        short = F.col("_known").isNotNull() & F.coalesce(F.col("_hours") < include + predict, F.lit(True))
+        few = at.where(short).select("stay_id").distinct().orderBy("stay_id").limit(20).collect()  # 20 rows
+        shown = F.lit(",".join(str(r[0]) for r in few))
+        mine = at.agg(
+            F.array(
+                verdict("labels_keys_and_domain", {"outside_cohort": F.count_distinct(F.when(F.col("_known").isNull(), F.col("stay_id"))), "outside_domain": count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(True)))}),
+                verdict("labels_observation_window", {"short_stays": F.count_distinct(F.when(short, F.col("stay_id"))), "duplicate_label_rows": F.count("*") - F.count_distinct("stay_id")}, shown),
+            ).alias("c")
+        )
+        parts.append(mine.select(F.inline("c")))
+    if no := lacks(*(absent(f, ("stay_id",), n) for n, f in sorted(features.items()))):
+        parts.append(without("feature_stays_in_cohort", no))
+    else:
+        extras = [f.select("stay_id").distinct().join(known, "stay_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("file"), "n") for n, f in sorted(features.items())]
+        parts.append(reduce(DataFrame.unionByName, extras).agg(verdict("feature_stays_in_cohort", {"outside": F.sum("n")}, F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("file")))), ",")).alias("v")).select("v.*"))
+    if no := ",".join(x for x in (absent(labels, ("stay_id",), "labels"), *(absent(p, ("stay_id",), n) for n, p in sorted(products.items()))) if x):
+        parts.append(without("stay_csv_completeness", no))
+    else:
+        wanted = labels.select("stay_id").where("stay_id is not null").distinct()
+        counted = []
+        for n, p in sorted(products.items()):
+            both = wanted.withColumn("_w", F.lit(1)).join(p.select("stay_id").distinct().withColumn("_h", F.lit(1)), "stay_id", "full_outer")
+            counted.append(both.agg(count_if(F.col("_h").isNull()).alias("missing"), count_if(F.col("_w").isNull()).alias("extra")).select(F.lit(n).alias("product"), "missing", "extra"))
+        parts.append(reduce(DataFrame.unionByName, counted).agg(verdict("stay_csv_completeness", {"missing": F.sum("missing"), "extra": F.sum("extra")}).alias("v")).select("v.*"))
     models = files.agg(verdict("no_model_artifacts", {"files": count_if(F.col("path").rlike(MODEL_FILES))}).alias("v")).select("v.*")
-    return reduce(DataFrame.unionByName, [own, mine, beyond, whole, models, inventory_checks(files, expected)])
+    return reduce(DataFrame.unionByName, [*parts, models, inventory_checks(files, expected)])

@@ -104,17 +104,19 @@ def empty_features(cohort: DataFrame, key: str) -> DataFrame:
     return cohort.select(key).distinct()
 
 
-def assemble(cohort: DataFrame, features: list[DataFrame], grain: str) -> DataFrame:
+def assemble(cohort: DataFrame, features: list[DataFrame], grain: str, grouped: bool = False) -> DataFrame:
     """The cohort with each feature table joined left on the grain; overlapping columns stay the cohort's.
 
     Of several rows of a grain key the one with the smallest digest is taken, whatever the partitioning.
+    grouped: the tables have one row a key already, as results of a groupBy on the grain do, so none is looked for.
     """
-    out = first_by_digest(cohort, [grain])
+    one = (lambda df: df) if grouped else (lambda df: first_by_digest(df, [grain]))
+    out = one(cohort)
     for f in features:
         if grain not in f.columns:
             continue
         fresh = [c for c in f.columns if c == grain or c not in out.columns]
-        out = out.join(first_by_digest(f.select(*fresh), [grain]), grain, "left")
+        out = out.join(one(f.select(*fresh)), grain, "left")
     return out
 
 

@@ -137,3 +137,17 @@ def unresolved(requests: DataFrame, log: DataFrame) -> DataFrame:
 
 def summary(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("errors"))
+
+
+def resolved(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """The log, in an order of requests, with a refusal in its own plan: a request without an entry ends the query that reads it."""
+    held = log.select("source_error_id", F.struct(*[c for c in log.columns if c != "source_error_id"]).alias("_entry"))
+    at = requests.select("source_error_id").join(held, "source_error_id", "left")
+    refused = F.raise_error(F.concat(F.lit("request "), F.col("source_error_id").cast("string"), F.lit(" found no row"))).cast(dict(held.dtypes)["_entry"])
+    return at.select("source_error_id", F.when(F.col("_entry").isNull(), refused).otherwise(F.col("_entry")).alias("_e")).select("source_error_id", "_e.*")
+
+
+def rollup(log: DataFrame, *by: str) -> DataFrame:
+    """Errors by all the columns, by all but the last, and so on to the total; level counts the columns that hold."""
+    level = F.lit(len(by)) - sum((F.grouping(c).cast("int") for c in by), F.lit(0))
+    return log.rollup(*by).agg(level.cast("int").alias("level"), F.count("*").alias("errors"))

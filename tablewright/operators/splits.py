@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.sources.lineage import cut
+from tablewright.sources.lineage import cut, numbered
 
 
 def order_key(seed: str, key: str) -> Column:
@@ -144,22 +144,26 @@ def prepare(raw: dict[str, DataFrame], package: dict[str, DataFrame], split: Dat
 def coverage_select(errors: DataFrame, key: str, k: int, seed: str) -> DataFrame:
     """(key, place): greedily the key that adds most new subtypes, then classes, then has most errors, then the smaller digest.
 
-    k rounds over one row a key; the summary is bounded by the number of keys with errors and stays on Spark.
+    Of keys with the same subtypes and classes only the first in order can add anything, so candidates are one a
+    combination.  Once nothing new is left, which is after as many rounds as there are subtypes and classes
+    at most, all further places go by order in one sort: jobs do not grow with k.
     """
-    from tablewright.sources.lineage import cut
-
-    own = errors.groupBy(key).agg(F.collect_set("error_subtype").alias("subs"), F.collect_set("error_class").alias("classes"), F.count("*").alias("n")).withColumn("_h", order_key(seed, key))
-    own = cut(own)
+    sets = errors.groupBy(key).agg(F.sort_array(F.collect_set("error_subtype")).alias("subs"), F.sort_array(F.collect_set("error_class")).alias("classes"), F.count("*").alias("n"))
+    own = cut(sets.withColumn("_h", order_key(seed, key)).withColumn("_less", -F.col("n")))
+    order = ["_less", "_h", key]
+    candidates = cut(own.groupBy("subs", "classes").agg(F.min(F.struct(*order)).alias("o")).select("subs", "classes", "o.*"))
     picked, subs, classes = [], [], []
-    for _ in range(k):
-        fresh = lambda c, have: F.size(F.array_except(c, F.array(*map(F.lit, have)).cast("array<string>")))
-        left = own.where(~F.col(key).isin(picked)) if picked else own
-        best = left.orderBy(F.desc(fresh("subs", subs)), F.desc(fresh("classes", classes)), F.desc("n"), "_h", key).limit(1).collect()
-        if not best:
+    fresh = lambda c, have: F.size(F.array_except(c, F.array(*map(F.lit, have)).cast("array<string>")))
+    while len(picked) < k:
+        at = candidates.withColumns({"_s": fresh("subs", subs), "_c": fresh("classes", classes)}).where("_s + _c > 0")
+        best = at.orderBy(F.desc("_s"), F.desc("_c"), *order).first()
+        if best is None:
             break
-        picked.append(best[0][key])
-        subs, classes = sorted({*subs, *best[0]["subs"]}), sorted({*classes, *best[0]["classes"]})
-    return errors.sparkSession.createDataFrame(list(zip(picked, range(1, len(picked) + 1))), f"{key} long, place long")
+        picked.append(best[key])
+        subs, classes = sorted({*subs, *best["subs"]}), sorted({*classes, *best["classes"]})
+    first = errors.sparkSession.createDataFrame(list(zip(picked, range(1, len(picked) + 1))), f"{key} {dict(own.dtypes)[key]}, place long")
+    left = own.join(first.select(key), key, "left_anti").orderBy(*order).limit(k - len(picked))
+    return first.unionByName(numbered(left, order).select(key, (F.col("_i") + len(picked) + 1).cast("long").alias("place")))
 
 
 def split_checks(split: DataFrame, key: str, universe: DataFrame) -> DataFrame:

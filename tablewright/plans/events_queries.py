@@ -60,6 +60,28 @@ def summary_tables(spark, d):
     return E.summary_tables({"chart": (W.measures(spark, d), "itemid", "valuenum"), "diag": (W.diagnoses(spark, d), "icd_code", None), "med": (W.prescriptions(spark, d), "drug", None)})
 
 
+FAMILIES = (
+    ("chart", "itemid", "try_cast(valuenum AS DOUBLE)", "measures"), ("diag", "icd_code", "icd_code", "diagnoses"), ("med", "drug", "drug", "prescriptions"),
+    ("out", "event_type", "CASE WHEN value > 20 THEN value END", "(SELECT *, user_id AS hadm_id FROM events)"), ("proc", "l_suppkey", "CASE WHEN l_suppkey % 3 = 0 THEN 1 END", "diagnoses"),
+)
+
+
+@query(
+    "summary_families",
+    W.sql("f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS family, {i}::VARCHAR AS item, hadm_id AS visit, {v} IS NOT NULL AS filled FROM {t}" for n, i, v, t in FAMILIES) + """),
+  g AS (SELECT family, CASE WHEN grouping(item) = 1 THEN '*' ELSE item END AS item, count(*) AS n, count(DISTINCT visit) AS visits, count(*) FILTER (filled) AS filled FROM f WHERE item IS NOT NULL GROUP BY GROUPING SETS ((family, item), (family)))
+  SELECT family || '_summary' AS name, item, n AS total_count, visits, round(1 - filled / n, 6) AS missing_rate FROM g UNION ALL
+  SELECT family || '_features', item, filled, visits, round(1 - filled / n, 6) FROM g WHERE filled > 0"""),
+)
+def summary_families(spark, d):
+    c = F.col
+    coded = E.family_rows(W.diagnoses(spark, d), {"diag": (c("icd_code"), c("hadm_id"), c("icd_code")), "proc": (c("l_suppkey"), c("hadm_id"), F.when(c("l_suppkey") % 3 == 0, 1))})
+    chart = E.family_rows(W.measures(spark, d), {"chart": (c("itemid"), c("hadm_id"), c("valuenum").try_cast("double"))})
+    med = E.family_rows(W.prescriptions(spark, d), {"med": (c("drug"), c("hadm_id"), c("drug"))})
+    out = E.family_rows(W.table(spark, d, "events"), {"out": (c("event_type"), c("user_id"), F.when(c("value") > 20, c("value")))})
+    return E.family_tables(coded.unionAll(chart).unionAll(med).unionAll(out))
+
+
 @query("stay_demo", W.sql(CONTRACT + ' SELECT stay_id, "Age", gender, ethnicity, insurance FROM cohort'))
 def stay_demo(spark, d):
     return E.stay_demo(cohort(spark, d))
@@ -173,3 +195,27 @@ def validation_report(spark, d):
     s, c = W.stays(spark, d), cohort(spark, d)
     labels = s.select("stay_id", (F.col("stay_id") % 3).cast("int").alias("label"))
     return E.validation_report(c, labels, {"chart": s.select("stay_id")}, (["hadm_id", "icd_code"], ["stay_id", "new_icd_code", "root_icd_code"]), {"demo": E.stay_demo(c), "static": s.select("stay_id")}, listed(spark, d), INVENTORY, ("same", "same"))
+
+
+def _absent(name: str, *what: str) -> str:
+    return f"""SELECT '{name}' AS name, false AS passed, '{{"absent":{len(what)}}}' AS observed, 'absent: {",".join(what)}' AS details"""
+
+
+@query(
+    "validation_report_absent",
+    W.sql(
+        CONTRACT + ", labels_ AS (SELECT stay_id, (stay_id % 3)::INT AS label FROM stays), " + LISTED
+        + ", r AS (" + " UNION ALL ".join((
+            _told("cohort_schema", {"differs": "(count(*) > 0)::INT"}, "cohort", "'subject_id,stay_id,intime,gender,ethnicity,insurance,label,hadm_id'"), _told("labels_schema", {"differs": "(count(*) = 0)::INT"}, "labels_"), _told("diagnosis_schema", {"differs": "(count(*) > 0)::INT"}, "diagnoses", "'hadm_id,icd_code'"),
+            _told("original_data_untouched", {"differs": "(count(*) > 0)::INT"}, "cohort"), _absent("cohort_adults", "cohort.Age"), _told("cohort_label_domain", {"outside": "count(*) FILTER (label NOT IN (0, 1))"}, "cohort"),
+            _told("cohort_stay_keys", {"duplicates": "count(stay_id) - count(DISTINCT stay_id)", "missing": "count(*) - count(stay_id)"}, "cohort"), _absent("cohort_mortality_rule", "cohort.dod", "cohort.outtime"),
+            _absent("labels_keys_and_domain", "cohort.outtime"), _absent("labels_observation_window", "cohort.outtime"), _absent("feature_stays_in_cohort", "cohort.outtime", "chart", "med.stay_id"),
+            _absent("stay_csv_completeness", "static"), _told("no_model_artifacts", {"files": "count(*) FILTER (regexp_matches(path, '(?i)\\.(pt|pth|onnx)$'))"}, "files"), _inventory_sql(),
+        )) + ") SELECT *, regexp_replace(observed, ':-?[0-9]+', ':0', 'g') AS expected FROM r"
+    ),
+)
+def validation_report_absent(spark, d):
+    s, c = W.stays(spark, d), cohort(spark, d).drop("Age", "dod", "outtime")
+    labels = s.select("stay_id", (F.col("stay_id") % 3).cast("int").alias("label"))
+    report = E.validation_report(c, labels, {"chart": None, "med": W.prescriptions(spark, d)}, (["hadm_id", "icd_code"], ["stay_id", "new_icd_code", "root_icd_code"]), {"demo": c, "static": None}, listed(spark, d), INVENTORY, ("before", "after"))
+    return E.with_expected(report)

@@ -132,7 +132,7 @@ def features_wide(spark, d):
     dx = X.code_features(W.diagnoses(spark, d), "hadm_id", "dx")
     lab = X.measure_features(W.measures(spark, d), W.item_dictionary(spark, d), "hadm_id", "lab", 10)
     med = X.medication_features(W.prescriptions(spark, d), "hadm_id", 10)
-    wide = X.assemble(cohort, [dx, lab, med], "hadm_id")
+    wide = X.assemble(cohort, [dx, lab, med], "hadm_id", grouped=True)
     return wide.select("hadm_id", "stay_id", "subject_id", "label", "Age", "gender", "los", "dx_count", "dx_distinct", "lab_events", "lab_items", "med_count")
 
 

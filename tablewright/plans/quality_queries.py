@@ -121,6 +121,11 @@ def inspect_table(spark, d):
     return P.inspect(dirty(spark, d).select(*ORDER_COLUMNS))
 
 
+@query("inspect_sample", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders ORDER BY md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) LIMIT 5")
+def inspect_sample(spark, d):
+    return P.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
 def _flag(name: str, condition: str, extra: str = "") -> str:
     return f"WITH {DIRTY} SELECT o_orderkey, {condition} AS violates FROM dirty {extra}"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import inject as I
 from tablewright.operators import repair as R
 from tablewright.operators import search as X
+from tablewright.operators.windows import in_windows
 from tablewright.plans.registry import query
 from tablewright.sources.warehouse import patients, stays, table
 
@@ -116,6 +117,13 @@ def inject_summary(spark, d):
     return I.summary(logged(spark, d), "error_class", "error_subtype")
 
 
+@query("inject_rollup", f"""WITH {RAW}, logged_ AS (SELECT *, CASE WHEN source_error_id % 5 = 0 THEN 'train' ELSE 'test' END AS split FROM ({ALL_LOGS}))
+  SELECT split, error_class, error_subtype, 3 - grouping(split) - grouping(error_class) - grouping(error_subtype) AS level, count(*) AS errors FROM logged_ GROUP BY ROLLUP (split, error_class, error_subtype)""")
+def inject_rollup(spark, d):
+    log = logged(spark, d).withColumn("split", F.when(F.col("source_error_id") % 5 == 0, "train").otherwise("test"))
+    return I.rollup(log, "split", "error_class", "error_subtype")
+
+
 @query("inject_target_rows", f"WITH {RAW} SELECT _stay, min(_row_index) AS _row_index, (SELECT CASE WHEN hadm % {STEP} = 6 THEN 2 ELSE 1 END FROM ctx x WHERE x._stay = c._stay) AS n_requests FROM chartevents c WHERE _stay IN (SELECT _stay FROM ctx WHERE hadm % {STEP} IN (6, 7, 8, 10, 13, 16, 17)) GROUP BY 1")
 def inject_target_rows(spark, d):
     own = [s for s, (t, _, _) in I.SUBTYPES.items() if t == "chartevents"]
@@ -302,6 +310,20 @@ def repair_window(spark, d):
     return R.inside_window(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), o, "l_orderkey", "l_shipdate", "o_orderdate", "until")
 
 
+@query(
+    "window_join",
+    """SELECT e.l_orderkey AS event_order, e.l_linenumber AS event_line, w.o_orderkey AS window_order FROM (SELECT *, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) e
+  JOIN orders w ON w.o_custkey = e.o_custkey AND e.l_shipdate BETWEEN w.o_orderdate AND w.o_orderdate + INTERVAL 60 DAY""",
+)
+def window_join(spark, d):
+    """Line items inside the sixty days after any order of their customer: windows of one key overlap."""
+    o = table(spark, d, "orders")
+    e = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("o_custkey", "l_orderkey", "l_linenumber", "l_shipdate")
+    w = o.select("o_custkey", "o_orderkey", "o_orderdate", F.expr("o_orderdate + interval 60 days").alias("until"))
+    found = in_windows(e, w, ["o_custkey"], "l_shipdate", "o_orderdate", "until", 60 * 86400)
+    return found.select(F.col("l_orderkey").alias("event_order"), F.col("l_linenumber").alias("event_line"), F.col("o_orderkey").alias("window_order"))
+
+
 @query(
     "leakage_probe",
     """WITH e AS (SELECT o_orderkey, o_custkey % 2 AS label, l_partkey % 40 AS item, CASE WHEN l_partkey % 40 = 7 THEN (o_custkey % 2) * 10 ELSE l_quantity::INT END AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey),

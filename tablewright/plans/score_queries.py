@@ -283,3 +283,26 @@ def targets_from_issues(spark, d):
     more = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit(" or cohort/"), F.substring("p_brand", 7, 9))).otherwise("")
     texts = table(spark, d, "part").select(F.concat(F.lit("see features/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(" and features/parts"), more).alias("text"))
     return S.targets_from_issues(texts, S.repair_targets(files(spark, d)))
+
+
+@query(
+    "score_file_unaligned",
+    """WITH r AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F'), g AS (SELECT count(*) AS n FROM orders) SELECT "case", schema_f1, 0.0::DOUBLE AS key_f1, 0.0::DOUBLE AS cell_f1, 0.0::DOUBLE AS exact_f1, round(0.1 * schema_f1, 6) AS score, g.n AS gold_rows, r.n AS result_rows
+  FROM r, g, (SELECT 'key column missing' AS "case", round(2 * 2 / (3 + 2), 6)::DOUBLE AS schema_f1 UNION ALL SELECT 'no key', 1.0)""",
+)
+def score_file_unaligned(spark, d):
+    """Scores of a result without the gold table's key column, and of a table without a known key."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    r = o.where("o_orderstatus <> 'F'")
+    missing = S.file_score(o, r.drop("o_orderkey"), ["o_orderkey"]).select(F.lit("key column missing").alias("case"), "*")
+    return missing.unionByName(S.file_score(o, r, []).select(F.lit("no key").alias("case"), "*"))
+
+
+@query(
+    "score_columns_unaligned",
+    """SELECT "column", CASE WHEN "column" = 'o_orderkey' THEN 'missing_column' ELSE 'matched' END AS status, 0::BIGINT AS matched, (SELECT count(*) FROM orders) AS gold_cells, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS result_cells,
+  0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS column_f1 FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus']) AS "column")""",
+)
+def score_columns_unaligned(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return S.column_scores(o, o.where("o_orderstatus <> 'F'").drop("o_orderkey"), ["o_orderkey"])

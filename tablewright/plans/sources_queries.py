@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import events as E
 from tablewright.plans.registry import query
+from tablewright.sources import warehouse as W
 from tablewright.sources import packages as P
 from tablewright.sources.lineage import scratch
 from tablewright.sources.warehouse import table
@@ -87,3 +89,25 @@ def table_fingerprint(spark, d):
 @query("contract_row", "SELECT 'cohort/orders' AS cohort, 'directory' AS kind, 'stay_id' AS key, 'label' AS label_columns, 'o_orderstatus' AS feature_columns, count(*) AS n_rows, count(o_orderkey) AS n_keys FROM orders")
 def contract_row(spark, d):
     return P.contract(spark, small_package(spark, d))
+
+
+@query(
+    "stay_products_written",
+    W.sql("""c AS (SELECT stay_id, coalesce(dod BETWEEN intime AND outtime, false)::INT AS label FROM stays JOIN patients USING (subject_id)),
+  r AS (SELECT DISTINCT stay_id, substr(icd_code, 1, 3) AS root FROM stays JOIN diagnoses USING (hadm_id)),
+  b AS (SELECT stay_id, itemid, floor(epoch(charttime - intime) / 86400)::BIGINT AS bucket FROM measures JOIN stays USING (hadm_id) WHERE charttime >= intime AND epoch(charttime - intime) < 2400 * 3600 GROUP BY ALL)
+  SELECT 'demo' AS product, count(*) AS n_rows, count(DISTINCT stay_id) AS stays FROM c UNION ALL SELECT 'static', count(*), count(DISTINCT stay_id) FROM r UNION ALL SELECT 'dynamic', count(*), count(DISTINCT stay_id) FROM b"""),
+)
+def stay_products_written(spark, d):
+    """The three products of every stay, written in folders of stays and read back."""
+    s = W.stays(spark, d)
+    products = {
+        "demo": s.join(W.patients(spark, d), "subject_id").select("stay_id", "gender", "anchor_age"),
+        "static": E.stay_static(s, W.diagnoses(spark, d).withColumn("root_icd_code", F.substring("icd_code", 1, 3)), "hadm_id"),
+        "dynamic": E.bucket_events(W.measures(spark, d), s, "hadm_id", 2400, 24),
+    }
+    root, rows = scratch(spark, "stays"), []
+    for name, df in products.items():
+        P.write_by_key(df, f"{root}/{name}", "stay_id", 16)
+        rows.append(spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n_rows"), F.count_distinct("stay_id").alias("stays")).select(F.lit(name).alias("product"), "n_rows", "stays"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

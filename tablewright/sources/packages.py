@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.cohort import KEY_ORDER
@@ -62,9 +64,19 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a delimited file ends inside a quoted cell, so that records span lines."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A delimited file with a header, every column as text; .gz is read as it is."""
-    return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    """A delimited file with a header, every column as text; .gz is read as it is.
+
+    A file is one task's only if its records span lines; else it is read in splits.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", open_quotes(spark, path)).csv(path)
 
 
 def read_structured(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -96,10 +108,44 @@ def read_checked(spark: SparkSession, path: str, columns: list[str], sep: str =
     return reader.option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path)
 
 
+def read_guarded(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
+    """read_checked(), but a line with more cells than columns is refused, with its file and line."""
+    df = read_checked(spark, path, columns, sep, header)
+    cells = F.size(F.split(F.regexp_replace("_corrupt", '"([^"]|"")*"', ""), re.escape(sep)))
+    over = df.where(F.col("_corrupt").isNotNull() & (cells > len(columns))).first()
+    if over is None:
+        return df
+    # lines of a file are in order within a block, and blocks by their start
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    first = lines.where(F.col("value") == over["_corrupt"]).groupBy("file").agg(F.min("at").alias("at")).orderBy("file").first()
+    before = F.struct(F.lit(first["at"]["block"]).cast("long").alias("block"), F.lit(first["at"]["id"]).cast("long").alias("id"))
+    line = lines.where((F.col("file") == first["file"]) & (F.col("at") <= before)).count()
+    raise ValueError(f"{first['file']}, line {line}: more than {len(columns)} cells")
+
+
 def write_csv(df: DataFrame, path: str, gzip: bool = True) -> None:
     df.write.option("header", True).option("escape", '"').option("compression", "gzip" if gzip else "none").mode("errorifexists").csv(path)
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)).cast("int")
+
+
+def write_by_key(df: DataFrame, path: str, key: str, parts: int = 64) -> None:
+    """df in folders of keys by digest, sorted by the key within files, so that one key's rows lie in one folder.
+
+    Rows of a folder are dealt over files by their key, so a folder is not one task's however large it is.
+    """
+    at = df.withColumn("part", part_of(F.col(key), parts))
+    at.repartition("part", F.xxhash64(key) % 8).sortWithinPartitions("part", key).write.partitionBy("part").mode("errorifexists").parquet(path)
+
+
+def read_key(spark: SparkSession, path: str, key: str, value, parts: int = 64) -> DataFrame:
+    """The rows of one key of a table that write_by_key() wrote with as many parts: one folder is read, and of it the row groups that may hold the key."""
+    part = zlib.crc32(str(value).encode()) % parts
+    return spark.read.parquet(path).where((F.col("part") == part) & (F.col(key) == value)).drop("part")
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime) of all files under a root but its manifests; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
