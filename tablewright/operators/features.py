@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import clean_code, code_prefix, first_by_digest, is_missing, safe_name
+from tablewright.sources.lineage import cut
 
 
 def semi_scan(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -15,6 +16,51 @@ def semi_scan(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return events.join(keys.select(key).distinct(), key, "left_semi")
 
 
+#: Bits of one block of the key filter, set bits of a key, and the most blocks (4 KB each) that are broadcast.
+BLOCK_BITS, KEY_BITS, MOST_BLOCKS = 32_768, 3, 2_048
+
+
+def key_blocks(keys: DataFrame, key: str, bits_a_key: int = 12) -> tuple[DataFrame, int] | None:
+    """A blocked Bloom filter of the keys as (_block, bitmap), and its number of blocks; None where it would pass MOST_BLOCKS.
+
+    A key sets KEY_BITS bits of the one block its digest names; blocks are built by a bitmap aggregate.
+    """
+    n = keys.count()
+    blocks = 1
+    while blocks * BLOCK_BITS < n * bits_a_key:
+        blocks *= 2
+    if blocks > MOST_BLOCKS:
+        return None
+    at = keys.select(_block(F.col(key), blocks).alias("_block"), F.explode(F.array(*_bits(F.col(key)))).alias("_bit"))
+    return at.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")), blocks
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _bits(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(BLOCK_BITS)) for k in range(1, KEY_BITS + 1)]
+
+
+def probed(events: DataFrame, key: str, filter_: DataFrame, blocks: int) -> DataFrame:
+    """Events whose key may be in the filter: all that are, and few others, before any shuffle."""
+    byte = lambda bit: F.conv(F.hex(F.substring("_bitmap", (bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = [F.getbit(byte(b), (b % 8).cast("int")) == 1 for b in _bits(F.col(key))]
+    at = events.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(filter_), "_block")
+    for h in held:
+        at = at.where(h)
+    return at.drop("_block", "_bitmap")
+
+
+def semi_scan_filtered(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """semi_scan() for key sets too large to broadcast: a filter of at most 8 MB goes first, the exact join follows on what it lets through."""
+    one = cut(keys.select(key).where(F.col(key).isNotNull()).distinct())
+    made = key_blocks(one, key)
+    some = events if made is None else probed(events, key, *made)
+    return some.join(one, key, "left_semi")
+
+
 def enrich(events: DataFrame, dictionary: DataFrame | None, shared: list[str]) -> DataFrame:
     """Events with the dictionary's columns; without a dictionary they stay as they are."""
     return events if dictionary is None else events.join(dictionary, shared, "left")

@@ -19,6 +19,12 @@ def event_semi_scan(spark, d):
     return X.semi_scan(W.table(spark, d, "events"), keys, "user_id").select("event_id", "user_id", "event_type", "value")
 
 
+@query("event_semi_filtered", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def event_semi_filtered(spark, d):
+    keys = W.table(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return X.semi_scan_filtered(W.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), keys, "l_orderkey")
+
+
 @query("enrich_dictionary", W.sql("SELECT hadm_id, seq_num, icd_code, icd_version, long_title FROM diagnoses LEFT JOIN code_dictionary USING (icd_code, icd_version)"))
 def enrich_dictionary(spark, d):
     return X.enrich(W.diagnoses(spark, d), W.code_dictionary(spark, d), ["icd_code", "icd_version"]).select("hadm_id", "seq_num", "icd_code", "icd_version", "long_title")

@@ -306,3 +306,15 @@ def score_file_unaligned(spark, d):
 def score_columns_unaligned(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return S.column_scores(o, o.where("o_orderstatus <> 'F'").drop("o_orderkey"), ["o_orderkey"])
+
+
+@query(
+    "score_unreadable",
+    """SELECT 'cohort/orders' AS path, 'missing' AS status, 0.0::DOUBLE AS score, count(*) AS gold_rows, 0::BIGINT AS result_rows FROM orders UNION ALL SELECT 'csv/labels', 'unreadable', 0.0, count(*), 0 FROM customer
+  UNION ALL SELECT 'features/parts', 'scored', 1.0, count(*), count(*) FROM part UNION ALL SELECT 'summary/flags', 'missing', 0.0, count(DISTINCT l_returnflag), 0 FROM lineitem""",
+)
+def score_unreadable(spark, d):
+    """Files that are missing or cannot be read score zero and keep their gold rows."""
+    g = gold(spark, d)
+    files = S.package_files(g, {"csv/labels": None, "features/parts": g["features/parts"]}, KEYS)
+    return files.select("path", "status", "score", "gold_rows", "result_rows")

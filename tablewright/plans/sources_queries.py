@@ -111,3 +111,72 @@ def stay_products_written(spark, d):
         P.write_by_key(df, f"{root}/{name}", "stay_id", 16)
         rows.append(spark.read.parquet(f"{root}/{name}").agg(F.count("*").alias("n_rows"), F.count_distinct("stay_id").alias("stays")).select(F.lit(name).alias("product"), "n_rows", "stays"))
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+AFTER = "after_ AS (SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 1009 <> 3 UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 1013 = 7)"
+BEFORE = "before_ AS (SELECT o_orderkey, o_orderstatus FROM orders)"
+
+
+def versions(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    changed = F.when(F.col("o_orderkey") % 997 == 5, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    return o, o.where("o_orderkey % 1009 <> 3").select("o_orderkey", changed).unionAll(o.where("o_orderkey % 1013 = 7"))
+
+
+@query(
+    "fingerprint_leaves",
+    f"""WITH {BEFORE}, {AFTER}, r AS (SELECT o_orderkey, o_orderstatus, sum(b) AS b, sum(a) AS a FROM (SELECT *, 1 AS b, 0 AS a FROM before_ UNION ALL SELECT *, 0, 1 FROM after_) GROUP BY ALL)
+  SELECT substr(md5(o_orderkey::VARCHAR), 1, 3) AS leaf, sum(b)::BIGINT AS rows_before, sum(a)::BIGINT AS rows_after FROM r GROUP BY 1 HAVING count(*) FILTER (a <> b) > 0""",
+)
+def fingerprint_leaves(spark, d):
+    before, after = versions(spark, d)
+    return P.changed_leaves(P.leaves(before, ["o_orderkey"]), P.leaves(after, ["o_orderkey"]))
+
+
+@query(
+    "fingerprint_located",
+    f"""WITH {BEFORE}, {AFTER}, r AS (SELECT o_orderkey, o_orderstatus, sum(n) AS n FROM (SELECT *, 1 AS n FROM before_ UNION ALL SELECT *, -1 FROM after_) GROUP BY ALL HAVING sum(n) <> 0)
+  SELECT o_orderkey, sum(greatest(n, 0))::BIGINT AS gone, sum(greatest(-n, 0))::BIGINT AS come FROM r GROUP BY 1""",
+)
+def fingerprint_located(spark, d):
+    before, after = versions(spark, d)
+    return P.changed_keys(before, after, ["o_orderkey"], P.changed_leaves(P.leaves(before, ["o_orderkey"]), P.leaves(after, ["o_orderkey"])))
+
+
+@query("sink_csv", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"' AS o_orderpriority FROM orders")
+def sink_csv(spark, d):
+    """Written as gzipped csv and read back as texts."""
+    path = scratch(spark, "sink")
+    P.write_csv(table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("o_orderpriority")), path)
+    return P.read_strings(spark, path)
+
+
+@query("scan_optional", "SELECT 'parts.csv' AS name, 'p_partkey,p_brand' AS columns, count(*) AS n_rows, count(DISTINCT p_brand) AS brands FROM part UNION ALL SELECT 'absent.csv', NULL, 0, 0")
+def scan_optional(spark, d):
+    """A root found below the one given, a table cut to those of the wanted columns it has, and one that is not there."""
+    root, rows = scratch(spark, "root"), []
+    P.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), f"{root}/3.1/hosp/parts.csv")
+    found = P.resolve_root(spark, root)
+    for name in ("parts.csv", "absent.csv"):
+        df = P.read_optional(spark, f"{found}/hosp", name, ["p_partkey", "p_brand", "p_unknown"])
+        if df is None:
+            df = table(spark, d, "part").limit(0).select("p_brand")
+            columns = F.lit(None).cast("string")
+        else:
+            columns = F.lit(",".join(df.columns))
+        rows.append(df.agg(F.count("*").alias("n_rows"), F.count_distinct("p_brand").alias("brands")).select(F.lit(name).alias("name"), columns.alias("columns"), "n_rows", "brands"))
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "discovered_package",
+    """SELECT 'cohort/orders' AS path, 'cohort' AS role, true AS is_primary, count(*) AS n_rows FROM orders UNION ALL SELECT 'features/parts', 'feature', false, count(*) FROM part UNION ALL SELECT 'summary/nations', 'summary', false, count(*) FROM nation""",
+)
+def discovered_package(spark, d):
+    """A package written, found again by its folders, and each table's rows counted."""
+    root, tables = scratch(spark, "package"), small_package(spark, d)
+    P.assemble(tables, root, {})
+    found, rows = P.discover(spark, root, "stay_id", ["label"]), []
+    for path in sorted(tables):
+        rows.append(P.read_structured(spark, f"{root}/{path}", "parquet").agg(F.count("*").alias("n_rows")).select(F.lit(path).alias("path"), "n_rows"))
+    return found.join(rows[0].unionByName(rows[1]).unionByName(rows[2]), "path").select("path", "role", "is_primary", "n_rows")

@@ -80,8 +80,8 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_structured(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A csv, tsv, parquet, json or jsonl file with inferred types."""
-    kind = kind or suffix(path)
+    """A csv, tsv, parquet, json or jsonl file with inferred types; a name without a suffix is a table that assemble() wrote."""
+    kind = kind or (suffix(path) if "." in path.rsplit("/", 1)[-1] else "parquet")
     if kind in SEPARATORS:
         return spark.read.option("header", True).option("inferSchema", True).option("sep", SEPARATORS[kind]).option("escape", '"').csv(path)
     if kind == "parquet":
@@ -169,6 +169,48 @@ def fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def file_digests(spark: SparkSession, root: str) -> DataFrame:
+    """(path under the root, length, sha256 of its bytes) of every file but manifests; a file of up to 2 GB is one row of one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    kept = files.where(~F.substring_index("path", "/", -1).isin(*IGNORED))
+    return kept.select(F.regexp_replace("path", f"^.*{re.escape(root.rstrip('/'))}/", "").alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+#: Hex digits of a key's digest that name its leaf: 16 ** LEAF leaves at most, whatever the table.
+LEAF = 3
+
+
+def leaf_of(keys: list[str]) -> Column:
+    return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])), 1, LEAF)
+
+
+def leaves(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(leaf, n_rows, a, b): an order-free digest of the rows of each leaf; digests of wider ranges are sums of these.
+
+    The 16 ** LEAF rows are a table's fingerprint: kept, they tell later which leaves changed without the old rows.
+    """
+    text = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in sorted(df.columns)]))
+    at = df.select(leaf_of(keys).alias("leaf"), F.xxhash64(text).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(7), text).cast("decimal(38,0)").alias("b"))
+    return at.groupBy("leaf").agg(F.count("*").alias("n_rows"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def changed_leaves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(leaf, rows_before, rows_after) of the leaves in which two fingerprints differ."""
+    x, y = before.alias("x"), after.alias("y")
+    same = F.col("x.n_rows").eqNullSafe(F.col("y.n_rows")) & F.col("x.a").eqNullSafe(F.col("y.a")) & F.col("x.b").eqNullSafe(F.col("y.b"))
+    rows = lambda side: F.coalesce(F.col(f"{side}.n_rows"), F.lit(0)).cast("long")
+    return x.join(y, F.col("x.leaf") == F.col("y.leaf"), "full_outer").where(~same).select(F.coalesce("x.leaf", "y.leaf").alias("leaf"), rows("x").alias("rows_before"), rows("y").alias("rows_after"))
+
+
+def changed_keys(before: DataFrame, after: DataFrame, keys: list[str], changed: DataFrame) -> DataFrame:
+    """Keys and rows gone and come (gone, come) of what differs, looked for in the changed leaves only."""
+    names = F.broadcast(changed.select("leaf"))  # 16 ** LEAF rows at most
+    columns = [c for c in before.columns if c in after.columns]
+    side = lambda df, n: df.select(*columns, leaf_of(keys).alias("leaf")).join(names, "leaf", "left_semi").select(*columns, F.lit(n).alias("_n"))
+    rows = side(before, 1).unionAll(side(after, -1)).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return rows.groupBy(*keys).agg(F.sum(F.greatest("_n", F.lit(0))).cast("long").alias("gone"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).cast("long").alias("come"))
+
+
 def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.select("path", F.col("digest").alias("da")), after.select("path", F.col("digest").alias("db"))
     status = F.when(F.col("da").isNull(), "extra").when(F.col("db").isNull(), "missing").otherwise("mismatched")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import delta, events, inject, profile, splits
+from tablewright.operators import delta, events, features, inject, profile, splits
 from tablewright.operators.windows import in_windows
 from tablewright.sources import packages
 
@@ -119,3 +119,44 @@ def test_comparison_of_keys_that_repeat_on_one_side(spark):
     b = spark.createDataFrame([(1, "x"), (2, "a"), (4, "q"), (3, "z"), (3, "q")], "k int, v string")
     row = {r.column: r for r in delta.compare(a, b, ["k"]).collect()}["v"]
     assert (row.compared, row.unequal, row.missing_rows, row.extra_rows) == (3, 0, 1, 2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_key_filter_lets_all_hits_and_few_others_through(spark, n):
+    rows = spark.range(60_000).select((F.col("id") * 7).alias("k"), F.col("id").alias("x"))
+    keys = spark.range(n).select((F.col("id") * 21).alias("k"))
+    filter_, blocks = features.key_blocks(keys, "k")
+    let = {r.k for r in features.probed(rows, "k", filter_, blocks).collect()}
+    hits = {21 * i for i in range(n) if 21 * i < 420_000}
+    assert hits <= let and len(let - hits) <= 0.03 * 60_000
+    assert {r.k for r in features.semi_scan_filtered(rows, keys, "k").collect()} == hits
+    plan = features.probed(rows, "k", filter_, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_key_filter_too_large_to_broadcast_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(features, "MOST_BLOCKS", 1)
+    keys = spark.range(10_000).select(F.col("id").alias("k"))
+    assert features.key_blocks(keys, "k") is None
+    assert features.semi_scan_filtered(spark.range(9_990, 10_020).select(F.col("id").alias("k")), keys, "k").count() == 10
+
+
+def test_a_changed_byte_and_a_changed_row_are_found(spark, tmp_path):
+    root = tmp_path / "package"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "one.csv").write_bytes(b"x,y\n1,2\n")
+    (root / "two.csv").write_bytes(b"z\n")
+    (root / "manifest.json").write_text("{}")
+    before = {r.path: (r.length, r.sha256) for r in packages.file_digests(spark, str(root)).collect()}
+    import hashlib
+
+    assert before == {"a/one.csv": (8, hashlib.sha256(b"x,y\n1,2\n").hexdigest()), "two.csv": (2, hashlib.sha256(b"z\n").hexdigest())}
+    (root / "a" / "one.csv").write_bytes(b"x,y\n1,3\n")
+    after = {r.path: (r.length, r.sha256) for r in packages.file_digests(spark, str(root)).collect()}
+    assert [p for p in before if before[p] != after[p]] == ["a/one.csv"]
+
+    old = spark.range(3000).select("id", (F.col("id") % 5).alias("v"))
+    new = old.withColumn("v", F.when(F.col("id") == 77, -1).otherwise(F.col("v"))).where("id <> 5").unionAll(spark.createDataFrame([(9, 4)], "id long, v long"))
+    changed = packages.changed_leaves(packages.leaves(old, ["id"]), packages.leaves(new.repartition(7), ["id"]))
+    assert changed.count() == 3
+    assert sorted(map(tuple, packages.changed_keys(old, new, ["id"], changed).collect())) == [(5, 1, 0), (9, 0, 1), (77, 1, 1)]
