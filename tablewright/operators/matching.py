@@ -18,18 +18,19 @@ In each phase
 
 Free left rows are as low as any, so after as many falls as there are columns they are at 0 and the
 pairing is a best one; what is left free on both sides shares no cell.  A round is a
-few joins on rows, nodes and their pairs, cut by checkpoint; nothing is gathered by key, and
-of the state only counts reach the driver.  Work follows the rows times the column sets they share.
+few joins on rows, nodes and their pairs, each written as a table in the shared folder: unlike a
+checkpoint, which hands on the estimates of the plan before it and lets them multiply round by round, it
+is planned with by its true size.  Nothing is gathered by key, and of the state only counts reach the driver.  Work follows the rows times the column sets they share.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.sources.lineage import cut
+from tablewright.sources.lineage import scratch
 
 #: Left rows of one node that a round offers to the node's right rows, at most; the others wait for a later round.
 SLOTS = 4096
@@ -40,12 +41,28 @@ def _null_safe(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
 
 
-def _numbered(rows: DataFrame, count: str) -> DataFrame:
+class _Keep:
+    """Writes tables under a fresh folder and reads them again; remove() deletes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, scratch(spark, "pairs"), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+    def remove(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _numbered(cut: _Keep, rows: DataFrame, count: str) -> DataFrame:
     """Each row as often as it is there, with its own _id."""
     return cut(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).drop("_copy", count).withColumn("_id", F.monotonically_increasing_id()))
 
 
-def _nodes(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
+def _nodes(cut: _Keep, left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """(row, node, size) of either side, and the largest size.
 
     Sets of columns grow one column at a time, and only from sets whose values both sides have:
@@ -74,7 +91,7 @@ def _nodes(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str
     return every[0], every[1], len(done[0])
 
 
-def _counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+def _counted(cut: _Keep, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
     """df cut, and figures of it."""
     done = cut(df)
     return done, done.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in figures.items()]).first().asDict()
@@ -96,7 +113,7 @@ def _grow(right: DataFrame, front: DataFrame, reached: DataFrame | None) -> Data
     return there.groupBy("row", "mate").agg(F.min_by(pick, chance).alias("p")).select("row", "p.by", "p.root", "mate")
 
 
-def _switched(state: tuple[DataFrame, DataFrame], layers: list[DataFrame], ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _switched(cut: _Keep, state: tuple[DataFrame, DataFrame], layers: list[DataFrame], ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """State after each tree has switched the pairs along the path that ends at its free right row."""
     pairs, at = [], ends.select("row", "by")
     for below in [*reversed(layers[:-1]), None]:
@@ -116,9 +133,10 @@ def best_pairs(left: DataFrame, right: DataFrame, keys: list[str], columns: list
     left, right: keys, columns and how often each row occurs.  A null cell equals none.  Rows of a key are
     paired as far as the smaller side goes, those without an equal cell too.
     """
-    left, right = _numbered(left, count), _numbered(right, count)
+    cut = _Keep(left.sparkSession)
+    left, right = _numbered(cut, left, count), _numbered(cut, right, count)
     free = columns_apart(columns, keys)
-    nodes_l, nodes_r, most = _nodes(left, right, keys, free) if free else (None, None, 0)
+    nodes_l, nodes_r, most = _nodes(cut, left, right, keys, free) if free else (None, None, 0)
     def begun(rows: DataFrame, nodes: DataFrame | None, name: str, height: int) -> DataFrame:
         own = rows.select(F.col("_id").alias("row"), F.lit(height).alias(name), F.lit(None).cast("long").alias("mate"))
         if nodes is None:
@@ -126,21 +144,21 @@ def best_pairs(left: DataFrame, right: DataFrame, keys: list[str], columns: list
         held = nodes.groupBy("row").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))  # column sets of one row
         return own.join(held, "row", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast(_NODES)))
 
-    (l, seen), r = _counted(begun(left, nodes_l, "u", most), n=F.count(F.lit(1))), cut(begun(right, nodes_r, "v", 0))
+    (l, seen), r = _counted(cut, begun(left, nodes_l, "u", most), n=F.count(F.lit(1))), cut(begun(right, nodes_r, "v", 0))
     state, free_rows, height, salt = (l, r), seen["n"], most, 0
     while height > 0 and free_rows:
         layers, reached, ends = [], None, 0
         front = state[0].where("mate is null").withColumn("root", F.col("row"))
         while True:
             salt += 1
-            new, seen = _counted(_grow(state[1], front.withColumn("salt", F.lit(salt)), reached), n=F.count(F.lit(1)), free=F.count_if(F.col("mate").isNull()))
+            new, seen = _counted(cut, _grow(state[1], front.withColumn("salt", F.lit(salt)), reached), n=F.count(F.lit(1)), free=F.count_if(F.col("mate").isNull()))
             if not seen["n"]:
                 break
             layers.append(new)
             reached = new if reached is None else reached.unionAll(new)
             if seen["free"]:
-                found, seen = _counted(new.where("mate is null").groupBy("root").agg(F.min(F.struct("row", "by")).alias("e")).select("e.*"), n=F.count(F.lit(1)))
-                state, ends = _switched(state, layers, found), seen["n"]
+                found, seen = _counted(cut, new.where("mate is null").groupBy("root").agg(F.min(F.struct("row", "by")).alias("e")).select("e.*"), n=F.count(F.lit(1)))
+                state, ends = _switched(cut, state, layers, found), seen["n"]
                 break
             front = new.select(F.col("mate").alias("row"), "root").join(state[0].select("row", "u", "nodes"), "row")
         free_rows -= ends
@@ -161,7 +179,10 @@ def best_pairs(left: DataFrame, right: DataFrame, keys: list[str], columns: list
     sides = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
     all_ = sides(left, "nl").alias("l").join(sides(right, "nr").alias("r"), _null_safe(keys)).agg(total(F.least("nl", "nr")).alias("n"))
     of_keys = all_.select(F.explode(F.array(*[F.lit(k) for k in columns if k in keys]).cast("array<string>")).alias("column"), "n")
-    return of_keys if out is None else out.unionAll(of_keys)
+    found = [tuple(r) for r in (of_keys if out is None else out.unionAll(of_keys)).collect()]  # a row a column
+    spark = cut.spark
+    cut.remove()
+    return spark.createDataFrame(found, "column string, n long")
 
 
 def columns_apart(columns: list[str], keys: list[str]) -> list[str]:

@@ -39,14 +39,14 @@ def logical_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.select("column", "n", kind.alias("logical_type"))
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, shares: tuple[float, ...]) -> DataFrame:
-    """by and q (an array): exact quantiles of x in each group, linear between neighbours.
+def quantiles(df: DataFrame, by: list[str], x: str, shares: tuple[float, ...], weight: Column | None = None) -> DataFrame:
+    """by and q (an array): exact quantiles of x in each group, linear between neighbours; weight: how often a row counts.
 
     Equal values are counted first; the counts are range-sorted once, places are summed inside
     ranges and ranges are added up, so that no task holds a group and no map its values.
     """
     group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)]))
-    counts = df.where(F.col(x).isNotNull()).groupBy(group.alias("_g"), F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(group.alias("_g"), F.col(x).cast("double").alias("_x")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_c"))
     ranged = cut(counts.repartitionByRange("_g", "_x").withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p", "_g").agg(F.sum("_c").alias("_s"))  # a row for each range and group in it
     sizes = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_s")).withColumn("_n", F.sum("_s").over(Window.partitionBy("_g"))).drop("_s")
@@ -64,14 +64,15 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None, keys: list[
     """Missing, distinct, five-number summary of numbers and lengths of texts, a row a column (and group)."""
     cells = long_cells(df, columns, list(keys))
     value = F.when(~is_missing(F.col("value")), F.col("value"))
-    x, length = value.try_cast("double"), F.length(value)
     by = [*keys, "column"]
-    cells = cells.select(*by, value.alias("v"), x.alias("x"), length.alias("l"))
-    out = cells.groupBy(*by).agg(
-        F.count("*").alias("n_rows"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("distinct_values"), F.count("x").alias("numbers"), F.min("l").alias("min_length"), F.max("l").alias("max_length"),
+    # each value of a column is counted once; all figures are read off the counts
+    counts = cut(cells.groupBy(*by, value.alias("v")).agg(F.count("*").alias("c")).withColumns({"x": F.col("v").try_cast("double"), "l": F.length("v")}))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("c"))), F.lit(0))
+    out = counts.groupBy(*by).agg(
+        F.sum("c").alias("n_rows"), (F.sum("c") - of("v")).alias("missing"), F.count("v").alias("distinct_values"), of("x").alias("numbers"), F.min("l").alias("min_length"), F.max("l").alias("max_length"),
     )
-    both = cells.select(*by, F.inline(F.array(F.struct(F.lit("x").alias("what"), F.col("x").alias("m")), F.struct(F.lit("l").alias("what"), F.col("l").cast("double").alias("m")))))
-    places = quantiles(both, [*by, "what"], "m", (0.0, 0.25, 0.5, 0.75, 1.0)).groupBy(*by).agg(F.max(F.when(F.col("what") == "x", F.col("q"))).alias("five"), F.max(F.when(F.col("what") == "l", F.get("q", F.lit(2)))).alias("median_length"))
+    both = counts.select(*by, "c", F.inline(F.array(F.struct(F.lit("x").alias("what"), F.col("x").alias("m")), F.struct(F.lit("l").alias("what"), F.col("l").cast("double").alias("m")))))
+    places = quantiles(both, [*by, "what"], "m", (0.0, 0.25, 0.5, 0.75, 1.0), F.col("c")).groupBy(*by).agg(F.max(F.when(F.col("what") == "x", F.col("q"))).alias("five"), F.max(F.when(F.col("what") == "l", F.get("q", F.lit(2)))).alias("median_length"))
     same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by))
     out = out.alias("o").join(places.alias("p"), same, "left").select("o.*", "p.five", "p.median_length")
     numeric = (F.col("n_rows") > F.col("missing")) & (F.col("numbers") >= 0.95 * (F.col("n_rows") - F.col("missing")))

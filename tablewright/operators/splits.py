@@ -55,8 +55,8 @@ def quotas(sizes: DataFrame, count: int) -> DataFrame:
 
 def by_count(df: DataFrame, key: str, train: int, validation: int, test: int | None, seed: str, stratum: str | None = None) -> DataFrame:
     """(key, split): so many keys each, shared among strata by largest remainder; test None takes the rest."""
-    at = placed(one_stratum(df, key, stratum), key, stratum, seed)
-    sizes = at.groupBy("_s").agg(F.count("*").alias("n"))
+    at = cut(placed(one_stratum(df, key, stratum), key, stratum, seed))
+    sizes = cut(at.groupBy("_s").agg(F.count("*").alias("n")))
     a = quotas(sizes, train).withColumnRenamed("quota", "qa")
     rest = sizes.join(a, "_s").select("_s", (F.col("n") - F.col("qa")).alias("n"))
     b = quotas(rest, validation).withColumnRenamed("quota", "qb")
