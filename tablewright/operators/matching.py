@@ -13,7 +13,8 @@ In each phase
 1. trees grow from all free left rows at once, along tight edges to right rows not yet reached
    and from these to their mates.  Each right row picks one of a node's left rows by
    digest, so that free rows of one node spread over it;
-2. where trees reach free right rows, each tree switches the pairs along one of its paths, and growth begins anew;
+2. a tree that reaches a free right row grows no further, the others for as many layers again; then each
+   such tree switches the pairs along one of its paths, and growth begins anew;
 3. where none is reached, u of all left rows in trees falls by 1 and v of all right rows in trees rises by 1.
 
 Free left rows are as low as any, so after as many falls as there are columns they are at 0 and the
@@ -113,14 +114,16 @@ def _grow(right: DataFrame, front: DataFrame, reached: DataFrame | None) -> Data
     return there.groupBy("row", "mate").agg(F.min_by(pick, chance).alias("p")).select("row", "p.by", "p.root", "mate")
 
 
-def _switched(cut: _Keep, state: tuple[DataFrame, DataFrame], layers: list[DataFrame], ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State after each tree has switched the pairs along the path that ends at its free right row."""
-    pairs, at = [], ends.select("row", "by")
-    for below in [*reversed(layers[:-1]), None]:
-        pairs.append(at.select(F.col("by").alias("l"), F.col("row").alias("r")))
-        if below is not None:
-            # the left row leaves its old mate, which was reached in the layer below
-            at = cut(below.join(at.select(F.col("by").alias("mate")), "mate").select("row", "by"))
+def _switched(cut: _Keep, state: tuple[DataFrame, DataFrame], layers: list[DataFrame], ends: list[DataFrame | None]) -> tuple[DataFrame, DataFrame]:
+    """State after each tree has switched the pairs along its path; ends has the free right rows of each layer that end one."""
+    pairs, at = [], None
+    for layer, own in zip(reversed(layers), reversed(ends)):
+        # a left row of a path leaves its old mate, which was reached in the layer below
+        below = None if at is None else layer.join(at.select(F.col("by").alias("mate")), "mate").select("row", "by")
+        both = [x for x in (own, below) if x is not None]
+        if both:
+            at = cut(reduce(DataFrame.unionAll, both))
+            pairs.append(at.select(F.col("by").alias("l"), F.col("row").alias("r")))
     new = cut(reduce(DataFrame.unionAll, pairs))
     left = state[0].join(new.select(F.col("l").alias("row"), F.col("r").alias("now")), "row", "left").select("row", "u", F.coalesce("now", "mate").alias("mate"), "nodes")
     right = state[1].join(new.select(F.col("r").alias("row"), F.col("l").alias("now")), "row", "left").select("row", "v", F.coalesce("now", "mate").alias("mate"), "nodes")
@@ -147,22 +150,25 @@ def best_pairs(left: DataFrame, right: DataFrame, keys: list[str], columns: list
     (l, seen), r = _counted(cut, begun(left, nodes_l, "u", most), n=F.count(F.lit(1))), cut(begun(right, nodes_r, "v", 0))
     state, free_rows, height, salt = (l, r), seen["n"], most, 0
     while height > 0 and free_rows:
-        layers, reached, ends = [], None, 0
+        layers, reached, ends, ended, first = [], None, [], 0, 0
         front = state[0].where("mate is null").withColumn("root", F.col("row"))
-        while True:
+        while not first or len(layers) <= 2 * first:
             salt += 1
             new, seen = _counted(cut, _grow(state[1], front.withColumn("salt", F.lit(salt)), reached), n=F.count(F.lit(1)), free=F.count_if(F.col("mate").isNull()))
             if not seen["n"]:
                 break
             layers.append(new)
+            ends.append(None)
             reached = new if reached is None else reached.unionAll(new)
+            grown = new.where("mate is not null")
             if seen["free"]:
-                found, seen = _counted(cut, new.where("mate is null").groupBy("root").agg(F.min(F.struct("row", "by")).alias("e")).select("e.*"), n=F.count(F.lit(1)))
-                state, ends = _switched(cut, state, layers, found), seen["n"]
-                break
-            front = new.select(F.col("mate").alias("row"), "root").join(state[0].select("row", "u", "nodes"), "row")
-        free_rows -= ends
-        if ends:
+                found, seen = _counted(cut, new.where("mate is null").groupBy("root").agg(F.min(F.struct("row", "by")).alias("e")).select("root", "e.*"), n=F.count(F.lit(1)))
+                ends[-1], ended, first = found.select("row", "by"), ended + seen["n"], first or len(layers)
+                grown = grown.join(found.select("root"), "root", "left_anti")  # a tree has one path; the others grow on
+            front = grown.select(F.col("mate").alias("row"), "root").join(state[0].select("row", "u", "nodes"), "row")
+        free_rows -= ended
+        if ended:
+            state = _switched(cut, state, layers, ends)
             continue
         # no free right row is in reach: heights in the trees change
         grown = state[0].where("mate is null").select("row")
