@@ -7,9 +7,10 @@ their counts in a join on the word's hash.
 
 Model.  Texts become subword ids of a public tokenizer, once, with an end id each.  From
 all training ids come unigram counts, counts of pairs of neighbours, and counts of ids
-after the ids that their word has so far; the PAIRS most frequent pairs and the SPELLINGS
-most frequent of the others are kept, and each falls back on the one before (Witten-Bell),
-so each distribution sums to one.  A causal self-attention layer looks at the places
+after the ids that their word has so far; each falls back on the one before (Witten-Bell),
+so each distribution sums to one.  The most frequent PAIRS and SPELLINGS of these counts travel to
+the tasks; every other count that a text asks for meets it in a join and lies beside the
+text's ids, so that all counts are used, however many there are.  A causal self-attention layer looks at the places
 before the current one, whose values are the ids that followed there: its weights are a
 distribution over ids to copy, with a weight of its own for not copying.  What it has
 gathered also sets the shares in which unigrams, pairs, spellings and copies are mixed, so that a
@@ -41,7 +42,7 @@ from tablewright.llm.session import cut, prepared, table
 from tablewright.llm.subwords import subwords
 from tablewright.llm.words import BASE, INVERSE, U64, chunks, mix, power, segment, string_lists
 
-#: Words, pairs of ids, and ids in their words that travel to the tasks: the most frequent ones, at most so many.
+#: Words, pairs of ids, and ids in their words that travel to the tasks: the most frequent ones, at most so many; the others are joined.
 HOT, PAIRS, SPELLINGS = 400_000, 500_000, 500_000
 #: What the tokenizer puts at a word's end.
 WORD_END = "</w>"
@@ -323,52 +324,106 @@ def _id_counts(start: int, ends: np.ndarray, within: bool):
 # ---------------------------------------------------------------- the model
 
 
+def rates(total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What one sighting after a context is worth, what is fallen back on, and how sure the context is."""
+    whole = np.maximum(total + kinds, 1)
+    # how sure: the total by powers of two, and how many kinds it has among these
+    level = 4 * np.minimum(np.log2(np.maximum(total, 1)), 14).astype(int) + np.minimum(4 * kinds / np.maximum(total, 1), 3).astype(int)
+    return (1 / whole).astype(np.float32), (kinds / whole).astype(np.float32), (level + 2).astype(np.uint8)
+
+
+class Facts:
+    """Counts that a batch's texts brought along, of contexts and ids that do not travel to the tasks."""
+
+    def __init__(self, context: np.ndarray, id_: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray):
+        keys, first = np.unique(Followers.key(context, id_), return_index=True)
+        self.lookup, rate = Lookup(keys), rates(total[first], kinds[first])
+        self.n, self.one, self.back, self.level = (self.lookup.spread(x) for x in (n[first].astype(np.float32), *rate))
+
+    def find(self, context: np.ndarray, id_: np.ndarray) -> np.ndarray:
+        return self.lookup.find(Followers.key(context, id_))
+
+
+def facts(batch: pa.RecordBatch) -> list[Facts | None]:
+    """Facts of pairs and of spellings."""
+    if "facts" not in batch.schema.names:
+        return [None, None]
+    kind, context, *rest = (x.to_numpy(zero_copy_only=False) for x in batch.column("facts").flatten().flatten())
+    context = context.astype(np.int64).view(U64)
+    with np.errstate(over="ignore"):
+        return [Facts(c(context[kind == k]), *[x[kind == k] for x in rest]) for k, c in enumerate((mix, np.array))]
+
+
 class Followers:
-    """Counts of ids after contexts, as probabilities that fall back on others (Witten-Bell)."""
+    """Counts of ids after contexts, as probabilities that fall back on others (Witten-Bell).
 
-    def __init__(self, context: np.ndarray, id_: np.ndarray, n: np.ndarray):
-        self.keys, self.n = self.key(context, id_), n.astype(np.float32)
-        self.contexts, of = np.unique(context, return_inverse=True)
-        total, kinds = np.bincount(of, n), np.bincount(of)
+    total and kinds are those of each row's context over all counts, kept here or not; left out, all are here.
+    """
+
+    def __init__(self, context: np.ndarray, id_: np.ndarray, n: np.ndarray, total: np.ndarray | None = None, kinds: np.ndarray | None = None, every: bool = True):
+        self.keys, self.n, self.every = self.key(context, id_), n.astype(np.float32), every
+        self.contexts, first, of = np.unique(context, return_index=True, return_inverse=True)
+        here = np.bincount(of)
+        total, kinds = (np.bincount(of, n), here) if total is None else (total[first], kinds[first])
         self.of = of.astype(np.int32)
+        one, back, level = rates(total, kinds)
         # the last row is that of contexts never met: all is fallen back on
-        self.one = np.append(1 / np.maximum(total + kinds, 1), 0).astype(np.float32)
-        self.back = np.append(kinds / np.maximum(total + kinds, 1), 1).astype(np.float32)
-        # how sure a context is: its total by powers of two, and how many kinds it has among these
-        level = 4 * np.minimum(np.log2(np.maximum(total, 1)), 14).astype(int) + np.minimum(4 * kinds / np.maximum(total, 1), 3).astype(int)
-        self.level = np.append(level + 2, 1).astype(np.uint8)
+        self.one, self.back, self.level = np.append(one, np.float32(0)), np.append(back, np.float32(1)), np.append(level, np.uint8(1))
+        # whether all counts of a context are here, so that what is not found was never seen
+        self.whole = np.append(here == kinds, every)
 
     @staticmethod
     def key(context: np.ndarray, id_: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (context ^ (id_.astype(U64) << U64(40))) * U64(BASE)
+            return (context ^ (id_.astype(np.int64).view(U64) << U64(40))) * U64(BASE)
 
     def open(self) -> None:
         """Lays the table out for at(); what it is made from goes."""
         self.context, self.pair = Lookup(self.contexts), Lookup(self.keys)
         self.of_slot, self.n_slot = self.pair.spread(self.of), self.pair.spread(self.n)
         self.context_slot = self.context.spread(np.arange(len(self.contexts), dtype=np.int32))
-        self.any = len(self.keys) > 0
         del self.contexts, self.keys, self.of, self.n, self.context.slot, self.pair.slot
 
-    def at(self, context: np.ndarray, target: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _of(self, context: np.ndarray) -> np.ndarray:
+        slot = self.context.find(context)
+        return np.where(slot >= 0, self.context_slot[slot], -1)
+
+    def open_questions(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of counts that this table cannot tell, and those among them whose context it does not know."""
+        miss = np.flatnonzero(self.pair.find(self.key(context, target)) < 0)
+        of = self._of(context[miss])
+        ask = ~np.take(self.whole, of, mode="wrap")
+        return miss[ask], miss[ask & (of < 0)]
+
+    def at(self, context: np.ndarray, target: np.ndarray, other: np.ndarray, own: Facts | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the targets, where the others are what is fallen back on, and how sure the contexts are."""
         p, level = np.empty(len(target), np.float32), np.empty(len(target), np.uint8)
         for a in range(0, len(target), SLICE):
             part = slice(a, a + SLICE)
-            here = context[part]
-            place = self.pair.find(self.key(here, target[part]))
+            here, there = context[part], target[part]
+            place = self.pair.find(self.key(here, there))
             met = place >= 0
             of, n = np.full(len(here), -1, np.int32), np.zeros(len(here), np.float32)
             of[met], n[met] = self.of_slot[place[met]], self.n_slot[place[met]]
             rest = np.flatnonzero(~met)
-            slot = self.context.find(here[rest])
-            of[rest] = np.where(slot >= 0, self.context_slot[slot], -1)
-            p[part] = n * np.take(self.one, of, mode="wrap") + np.take(self.back, of, mode="wrap") * other[part]
-            level[part] = np.take(self.level, of, mode="wrap")
+            of[rest] = self._of(here[rest])
+            one, back, sure = (np.take(x, of, mode="wrap") for x in (self.one, self.back, self.level))
+            if own is not None:
+                rest = rest[~np.take(self.whole, of[rest], mode="wrap")]
+                slot = own.find(here[rest], there[rest])
+                alone = np.flatnonzero((slot < 0) & (of[rest] < 0))
+                slot[alone] = own.find(here[rest[alone]], np.full(len(alone), NO_ID))
+                rest, slot = rest[slot >= 0], slot[slot >= 0]
+                n[rest], one[rest], back[rest], sure[rest] = own.n[slot], own.one[slot], own.back[slot], own.level[slot]
+            p[part] = n * one + back * other[part]
+            level[part] = sure
         return p, level
 
 
+#: Stands for a context's own figures where facts are asked for.
+NO_ID = -1
+
+
 class Frequencies:
     """What the training ids tell: unigrams, ids after the last one, ids in their words, and the embedding row of each id."""
 
@@ -398,29 +453,47 @@ class Frequencies:
         square = np.zeros((n, n), np.float32)
         for a in range(0, n, 32):
             last, target = (x.ravel() for x in np.meshgrid(self.often[a : a + 32], self.often[:-1], indexing="ij"))
-            square[a : a + 32, :-1] = self.pairs.at(np.take(self.of_id, last), target, np.take(self.unigram, target))[0].reshape(-1, n - 1)
+            p = self.pairs.at(np.take(self.of_id, last), target, np.take(self.unigram, target))[0]
+            p[self.pairs.open_questions(np.take(self.of_id, last), target)[0]] = np.nan
+            square[a : a + 32, :-1] = p.reshape(-1, n - 1)
         self.square = square.ravel()
 
-    def at(self, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each target by pairs and by spellings, and how sure the latter are (0 at a word's beginning)."""
+    def _squared(self, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities by pairs as the square has them, and the places where it has none."""
         n = len(self.often)
         a, b = np.take(self.place, last), np.take(self.place, target)
         p = np.take(self.square, a * n + b, mode="clip")
-        rest = np.flatnonzero(np.maximum(a, b) == n)
-        p[rest] = self.pairs.at(self.of_id[last[rest]], target[rest], self.unigram[target[rest]])[0]
+        return p, np.flatnonzero((np.maximum(a, b) == n) | np.isnan(p))
+
+    def at(self, last: np.ndarray, target: np.ndarray, own: list[Facts | None] = (None, None)) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each target by pairs and by spellings, and how sure the latter are (0 at a word's beginning)."""
+        p, rest = self._squared(last, target)
+        p[rest] = self.pairs.at(self.of_id[last[rest]], target[rest], self.unigram[target[rest]], own[0])[0]
         given, level = np.stack((p, p), axis=1), np.zeros(len(last), np.uint8)
         with np.errstate(over="ignore"):
             inside, context = spelled(last, self.ends)
-        given[inside, 1], level[inside] = self.spellings.at(context, target[inside], p[inside])
+        given[inside, 1], level[inside] = self.spellings.at(context, target[inside], p[inside], own[1])
         return given, level
 
+    def open_questions(self, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, kind, context, id) of the counts that the tables here cannot tell; NO_ID asks for a context itself."""
+        _, rest = self._squared(last, target)
+        with np.errstate(over="ignore"):
+            inside, spelling = spelled(last, self.ends)
+        out = []
+        for kind, at, table, context, shown in ((0, rest, self.pairs, self.of_id[last[rest]], last[rest].astype(U64)), (1, inside, self.spellings, spelling, spelling)):
+            ask, alone = table.open_questions(context, target[at])
+            both = np.concatenate((ask, alone))
+            out.append((at[both], np.full(len(both), kind), shown[both], np.concatenate((target[at[ask]], np.full(len(alone), NO_ID)))))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
 
 class Texts:
     """The ids of a batch's texts in a row, with what the frequencies tell of them, and windows on them."""
 
     def __init__(self, freq: Frequencies, batch: pa.RecordBatch):
         self.last, self.target, self.head, self.length = streams(batch, freq.start)
-        self.given, self.level = freq.at(self.last, self.target)
+        self.given, self.level = freq.at(self.last, self.target, facts(batch))
         self.row = np.take(freq.row, self.last)
         # where the same id stood before
         order = np.argsort(self.target.astype(np.uint16), kind="stable")
@@ -596,33 +669,74 @@ def _trainer(values: np.ndarray, freq: Frequencies):
     return run
 
 
-def frequencies(training: DataFrame, path: str) -> Frequencies:
-    """Counts over all ids of the training texts."""
+def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame | None]:
+    """Counts over all ids of the training texts: those that travel, and a table of all (kind, context, id, n, total, kinds), None if all travel."""
     size, ends = vocabulary(path), word_ends(path)
 
     def counted(within: bool) -> DataFrame:
         return cut(training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").groupBy("context", "id").agg(F.sum("n").alias("n")))
 
-    def kept(counts: DataFrame, limit: int) -> tuple:
-        got = most(counts, "n", limit).orderBy("context", "id").toArrow()
-        return got.column("context").to_numpy().view(U64), got.column("id").to_numpy(), got.column("n").to_numpy()
+    def kept(counts: DataFrame, limit: int) -> tuple[tuple, DataFrame]:
+        figures = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        got = most(counts, "n", limit).join(figures, "context").orderBy("context", "id").toArrow()
+        every = got.num_rows == counts.count()
+        column = lambda c: got.column(c).to_numpy()
+        return (column("context").view(U64), *map(column, ("id", "n", "total", "kinds")), every), figures
 
-    pairs, one = counted(False), np.zeros(size)
+    pairs, spellings, one = counted(False), counted(True), np.zeros(size)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's length at most
         one[r.id] = r.n
-    return Frequencies(one, kept(pairs, PAIRS), kept(counted(True), SPELLINGS), ends)
+    (near, of_pairs), (within, of_spellings) = kept(pairs, PAIRS), kept(spellings, SPELLINGS)
+    freq, parts = Frequencies(one, near, within, ends), []
+    for kind, counts, figures in ((0, pairs, of_pairs), (1, spellings, of_spellings)):
+        of_contexts = figures.select("context", F.lit(NO_ID).alias("id"), F.lit(0).cast("long").alias("n"), "total", "kinds")
+        parts.append(counts.join(figures, "context").select("context", "id", "n", "total", "kinds").unionAll(of_contexts).select(F.lit(kind).alias("kind"), "*"))
+    return freq, None if freq.pairs.every and freq.spellings.every else parts[0].unionAll(parts[1])
+
+
+def _asked(freq: Frequencies):
+    """(row, kind, context, id): each count once that a text needs and the tasks' tables cannot tell."""
+
+    def run(batches):
+        freq.open()
+        for batch in batches:
+            if not len(batch):
+                continue
+            last, target, _, length = streams(batch, freq.start)
+            place, kind, context, id_ = freq.open_questions(last, target)
+            row = np.repeat(batch.column("row").to_numpy(), length)[place]
+            with np.errstate(over="ignore"):
+                mark = mix(context + mix(id_.astype(np.int64).view(U64) * U64(2) + kind.astype(U64))) ^ mix(row.view(U64))
+            _, first = np.unique(mark, return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[first]), pa.array(kind[first].astype(np.int32)), pa.array(context[first].view(np.int64)), pa.array(id_[first].astype(np.int32))],
+                names=["row", "kind", "context", "id"],
+            )
+
+    return run
+
+
+def with_facts(ids: DataFrame, freq: Frequencies, counts: DataFrame | None) -> DataFrame:
+    """ids (row, ids and others), each with the counts its text needs besides those that travel."""
+    if counts is None:
+        return ids
+    asked = ids.select("row", "ids").mapInArrow(_asked(freq), "row long, kind int, context long, id int")
+    told = asked.join(counts, ["kind", "context", "id"])  # what was never seen in training has no count
+    own = told.groupBy("row").agg(F.collect_list(F.struct("kind", "context", "id", "n", "total", "kinds")).alias("facts"))  # of one text
+    return cut(ids.join(own, "row", "left"))
 
 
-def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Frequencies]:
-    """(parameters, frequencies) learned from all the training documents of subword_ids()."""
-    training = ids.where("not held").select("ids")
-    freq, values = frequencies(training, path or tokenizer_path(TOKENIZER)), flat(start_model())
+def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Frequencies, DataFrame]:
+    """(parameters, frequencies, ids with facts) learned from all the training documents of subword_ids(), whose rows are numbered."""
+    freq, counts = frequencies(ids.where("not held").select("ids"), path or tokenizer_path(TOKENIZER))
+    ids, values = with_facts(ids, freq, counts), flat(start_model())
+    training = ids.where("not held").select(*[c for c in ids.columns if c in ("ids", "facts")])
     got = training.mapInArrow(_trainer(values, freq), "i int, p double").groupBy("i").agg(F.sum("p").alias("p")).toArrow()
     if len(got):
         p = np.zeros(len(values) + 1)
         p[got.column("i").to_numpy()] = got.column("p").to_numpy()
         values = p[:-1] / p[-1]
-    return values, freq
+    return values, freq, ids
 
 
 def _scorer(values: np.ndarray, freq: Frequencies):
@@ -657,9 +771,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     hot = most(counts.where(F.col("h") != END_HASH), "c", HOT).toArrow()
     hot_h, hot_c = hot.column("h").to_numpy().view(U64), hot.column("c").to_numpy()
     order = np.argsort(hot_h)
-    ids = cut(subword_ids(text, tokenizer_path(TOKENIZER)))
-    values, freq = train(ids)
-    scores = ids.select("doc_id", "text_hash", "ids").mapInArrow(_scorer(values, freq), "doc_id long, text_hash long, score double")
+    ids = cut(subword_ids(text, tokenizer_path(TOKENIZER)).withColumn("row", F.monotonically_increasing_id()))
+    values, freq, ids = train(ids)
+    scores = ids.select("doc_id", "text_hash", *[c for c in ids.columns if c in ("ids", "facts")]).mapInArrow(_scorer(values, freq), "doc_id long, text_hash long, score double")
     parts = text.select("doc_id", "text").mapInArrow(
         _base_parts(hot_h[order], hot_c[order], total, distinct),
         "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, rest array<long>, times array<long>",

@@ -617,6 +617,28 @@ def test_lm_rare_words_of_null_ids(spark, monkeypatch):
     assert got[2] == got[every] and len(got[2]) == len(rows)
 
 
+@pytest.mark.parametrize("pairs,spellings", [(0, 0), (3000, 800), (10**6, 0)])
+def test_lm_counts_that_do_not_travel_are_joined(spark, documents, monkeypatch, pairs, spellings):
+    """What is given of each place is the same, however many counts the tasks' tables hold; held-out and unseen ids too."""
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "zqx" * 500), (None, "q\u6f22 \u5b57")], "doc_id long, text string")
+    text = documents.select("doc_id", "text").unionAll(odd).withColumn("held", F.coalesce((F.col("doc_id") % 10 == 0) | (F.col("doc_id") < 0), F.lit(False)))
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    ids = lm.cut(lm.subword_ids(text, path).withColumn("row", F.monotonically_increasing_id()))
+    training = ids.where("not held").select("ids")
+    every, none = lm.frequencies(training, path)
+    monkeypatch.setattr(lm, "PAIRS", pairs)
+    monkeypatch.setattr(lm, "SPELLINGS", spellings)
+    some, counts = lm.frequencies(training, path)
+    assert none is None and counts is not None and len(some.pairs.n) <= pairs and len(some.spellings.n) <= spellings
+    rows = lm.with_facts(ids, some, counts)
+    assert rows.count() == ids.count()
+    every.open()
+    some.open()
+    for batch in rows.select("ids", "facts").toArrow().to_batches(100):
+        a, b = lm.Texts(every, batch.select(["ids"])), lm.Texts(some, batch)
+        assert np.array_equal(a.level, b.level) and np.allclose(a.given, b.given, rtol=1e-5)
+
+
 def test_near_dedup_stage_keeps_one_row_of_an_id(spark):
     import corpus_pipeline
 
