@@ -34,11 +34,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.packing import END_ID, TOKENIZER, tokenizer_path
-from tablewright.llm.session import cut, prepared, table
+from tablewright.llm.session import cut, prepared, table, written
 from tablewright.llm.subwords import subwords
 from tablewright.llm.words import BASE, INVERSE, U64, chunks, mix, power, segment, string_lists
 
@@ -100,16 +100,25 @@ class Lookup:
         return at
 
 
-def most(counts: DataFrame, n: str, limit: int) -> DataFrame:
-    """The rows with the largest n, at most limit of them: whole classes of nearly equal n, so that no order over all rows is needed."""
-    level = F.floor(16 * F.log2(F.col(n).cast("double"))).cast("int")
-    taken, lowest = 0, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 16 * 63 rows
+def level(n: str) -> Column:
+    """Classes of nearly equal n."""
+    return F.floor(16 * F.log2(F.col(n).cast("double"))).cast("int")
+
+
+def lowest(counts: DataFrame, n: str, limit: int) -> int:
+    """The lowest level whose rows and those of all higher ones are at most limit in number: whole levels, so that no order over all rows is needed."""
+    taken, low = 0, 2**30
+    for r in sorted(counts.groupBy(level(n).alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 16 * 63 rows
         taken += r["count"]
         if taken > limit:
             break
-        lowest = r["level"]
-    return counts.where(level >= lowest) if lowest is not None else counts.where("false")
+        low = r["level"]
+    return low
+
+
+def most(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows with the largest n, at most limit of them, in whole levels."""
+    return counts.where(level(n) >= lowest(counts, n, limit))
 
 
 # ---------------------------------------------------------------- word counts
@@ -441,11 +450,14 @@ class Frequencies:
         self.row[often] = np.arange(len(often))
         self.row[size] = ROWS - SHARED - 1
 
-    def open(self) -> None:
-        if hasattr(self, "square"):
+    def open(self, squared: bool = True) -> None:
+        """Lays the tables out; squared: with the square, which a task that looks up few ids does not need."""
+        if not hasattr(self, "opened"):
+            self.pairs.open()
+            self.spellings.open()
+            self.opened = True
+        if not squared or hasattr(self, "square"):
             return
-        self.pairs.open()
-        self.spellings.open()
         # pairs of the most frequent ids, and of the start with these, are read off a square
         n = len(self.often)
         self.place = np.full(self.start + 1, n, np.int32)
@@ -477,7 +489,7 @@ class Frequencies:
 
     def open_questions(self, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place, kind, context, id) of the counts that the tables here cannot tell; NO_ID asks for a context itself."""
-        _, rest = self._squared(last, target)
+        rest = np.arange(len(last))
         with np.errstate(over="ignore"):
             inside, spelling = spelled(last, self.ends)
         out = []
@@ -670,35 +682,41 @@ def _trainer(values: np.ndarray, freq: Frequencies):
 
 
 def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame | None]:
-    """Counts over all ids of the training texts: those that travel, and a table of all (kind, context, id, n, total, kinds), None if all travel."""
+    """Counts over all ids of the training texts: those that travel, and a table of the others (kind, context, id, n, total, kinds), None if all travel."""
     size, ends = vocabulary(path), word_ends(path)
 
     def counted(within: bool) -> DataFrame:
-        return cut(training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").groupBy("context", "id").agg(F.sum("n").alias("n")))
-
-    def kept(counts: DataFrame, limit: int) -> tuple[tuple, DataFrame]:
-        figures = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        got = most(counts, "n", limit).join(figures, "context").orderBy("context", "id").toArrow()
-        every = got.num_rows == counts.count()
+        """(context, id, n, total, kinds, top): with each count its context's sum, number and largest of counts, and whether the row is its context's first."""
+        counts = training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").groupBy("context", "id").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("context")  # a vocabulary's length at most
+        figures = {"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w), "top": F.max("n").over(w), "first": F.col("id") == F.min("id").over(w)}
+        return written(counts.withColumns(figures), "counts")
+
+    def kept(counts: DataFrame, low: int) -> tuple:
+        got = counts.where(level("n") >= low).orderBy("context", "id").toArrow()
         column = lambda c: got.column(c).to_numpy()
-        return (column("context").view(U64), *map(column, ("id", "n", "total", "kinds")), every), figures
+        return column("context").view(U64), *map(column, ("id", "n", "total", "kinds")), got.num_rows == counts.count()
+
+    def others(kind: int, counts: DataFrame, low: int) -> DataFrame:
+        few = counts.where(level("n") < low).select("context", "id", "n", "total", "kinds")
+        contexts = counts.where(F.col("first") & (level("top") < low)).select("context", F.lit(NO_ID).alias("id"), F.lit(0).cast("long").alias("n"), "total", "kinds")
+        return few.unionAll(contexts).select(F.lit(kind).alias("kind"), "*")
 
     pairs, spellings, one = counted(False), counted(True), np.zeros(size)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's length at most
         one[r.id] = r.n
-    (near, of_pairs), (within, of_spellings) = kept(pairs, PAIRS), kept(spellings, SPELLINGS)
-    freq, parts = Frequencies(one, near, within, ends), []
-    for kind, counts, figures in ((0, pairs, of_pairs), (1, spellings, of_spellings)):
-        of_contexts = figures.select("context", F.lit(NO_ID).alias("id"), F.lit(0).cast("long").alias("n"), "total", "kinds")
-        parts.append(counts.join(figures, "context").select("context", "id", "n", "total", "kinds").unionAll(of_contexts).select(F.lit(kind).alias("kind"), "*"))
-    return freq, None if freq.pairs.every and freq.spellings.every else parts[0].unionAll(parts[1])
+    low = lowest(pairs, "n", PAIRS), lowest(spellings, "n", SPELLINGS)
+    freq = Frequencies(one, kept(pairs, low[0]), kept(spellings, low[1]), ends)
+    if freq.pairs.every and freq.spellings.every:
+        return freq, None
+    return freq, others(0, pairs, low[0]).unionAll(others(1, spellings, low[1]))
 
 
 def _asked(freq: Frequencies):
     """(row, kind, context, id): each count once that a text needs and the tasks' tables cannot tell."""
 
     def run(batches):
-        freq.open()
+        freq.open(squared=False)
         for batch in batches:
             if not len(batch):
                 continue
@@ -723,7 +741,7 @@ def with_facts(ids: DataFrame, freq: Frequencies, counts: DataFrame | None) -> D
     asked = ids.select("row", "ids").mapInArrow(_asked(freq), "row long, kind int, context long, id int")
     told = asked.join(counts, ["kind", "context", "id"])  # what was never seen in training has no count
     own = told.groupBy("row").agg(F.collect_list(F.struct("kind", "context", "id", "n", "total", "kinds")).alias("facts"))  # of one text
-    return cut(ids.join(own, "row", "left"))
+    return written(ids.join(own, "row", "left"), "facts")
 
 
 def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Frequencies, DataFrame]:
@@ -771,7 +789,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     hot = most(counts.where(F.col("h") != END_HASH), "c", HOT).toArrow()
     hot_h, hot_c = hot.column("h").to_numpy().view(U64), hot.column("c").to_numpy()
     order = np.argsort(hot_h)
-    ids = cut(subword_ids(text, tokenizer_path(TOKENIZER)).withColumn("row", F.monotonically_increasing_id()))
+    ids = written(subword_ids(text, tokenizer_path(TOKENIZER)).withColumn("row", F.monotonically_increasing_id()), "ids")
     values, freq, ids = train(ids)
     scores = ids.select("doc_id", "text_hash", *[c for c in ids.columns if c in ("ids", "facts")]).mapInArrow(_scorer(values, freq), "doc_id long, text_hash long, score double")
     parts = text.select("doc_id", "text").mapInArrow(
