@@ -34,11 +34,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.packing import END_ID, TOKENIZER, tokenizer_path
-from tablewright.llm.session import cut, prepared, table, written
+from tablewright.llm.session import prepared, table, written
 from tablewright.llm.subwords import subwords
 from tablewright.llm.words import BASE, INVERSE, U64, chunks, mix, power, segment, string_lists
 
@@ -166,13 +167,27 @@ def text_hashes(words) -> np.ndarray:
     return (mixed[words.first[1:]] - mixed[words.first[:-1]]).view(np.int64)
 
 
-def _base_parts(hot_h: np.ndarray, hot_c: np.ndarray, total: int, distinct: int):
+class Words:
+    """Scores of the words that travel to the tasks."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, total: int, distinct: int):
+        order, floor = np.argsort(h), total + 0.1 * (distinct + 1)
+        self.h, self.value = h[order], np.log10((c[order] + 0.1) / floor) if floor > 0 else np.zeros(len(c))
+
+    def open(self) -> tuple[Lookup, np.ndarray]:
+        """Lays the table out, once in a worker."""
+        if not hasattr(self, "lookup"):
+            self.lookup = Lookup(self.h)
+            self.value = self.lookup.spread(self.value)
+            del self.h, self.lookup.slot
+        return self.lookup, self.value
+
+
+def _base_parts(shared: Broadcast):
     """For each text: what the bounded table knows, and the words left for the join."""
-    floor = total + 0.1 * (distinct + 1)
 
     def run(batches):
-        hot, value = Lookup(hot_h), np.log10((hot_c + 0.1) / floor) if floor > 0 else np.zeros(len(hot_c))
-        value = hot.spread(value)
+        hot, value = shared.value.open()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for a, b, raw, offsets in chunks(batch.column("text")):
@@ -649,10 +664,11 @@ def gradient(model: dict, row: np.ndarray, level: np.ndarray, hit: np.ndarray, o
 _CELLS = np.arange(ROWS * DIM).reshape(ROWS, DIM)
 
 
-def _trainer(values: np.ndarray, freq: Frequencies):
+def _trainer(values: np.ndarray, shared: Broadcast):
     """One task's pass over its texts from the common model; yields its parameters times the ids it has seen."""
 
     def run(batches):
+        freq = shared.value
         model = shaped(values)
         past = {k: np.full_like(w, 1e-6) for k, w in model.items()}  # squares of the gradients so far
         seen = step = 0
@@ -712,10 +728,11 @@ def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame
     return freq, others(0, pairs, low[0]).unionAll(others(1, spellings, low[1]))
 
 
-def _asked(freq: Frequencies):
+def _asked(shared: Broadcast):
     """(row, kind, context, id): each count once that a text needs and the tasks' tables cannot tell."""
 
     def run(batches):
+        freq = shared.value
         freq.open(squared=False)
         for batch in batches:
             if not len(batch):
@@ -734,32 +751,37 @@ def _asked(freq: Frequencies):
     return run
 
 
-def with_facts(ids: DataFrame, freq: Frequencies, counts: DataFrame | None) -> DataFrame:
+def with_facts(ids: DataFrame, freq: Frequencies | Broadcast, counts: DataFrame | None) -> DataFrame:
     """ids (row, ids and others), each with the counts its text needs besides those that travel."""
     if counts is None:
         return ids
-    asked = ids.select("row", "ids").mapInArrow(_asked(freq), "row long, kind int, context long, id int")
+    shared = freq if isinstance(freq, Broadcast) else ids.sparkSession.sparkContext.broadcast(freq)
+    asked = ids.select("row", "ids").mapInArrow(_asked(shared), "row long, kind int, context long, id int")
     told = asked.join(counts, ["kind", "context", "id"])  # what was never seen in training has no count
     own = told.groupBy("row").agg(F.collect_list(F.struct("kind", "context", "id", "n", "total", "kinds")).alias("facts"))  # of one text
     return written(ids.join(own, "row", "left"), "facts")
 
 
-def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Frequencies, DataFrame]:
-    """(parameters, frequencies, ids with facts) learned from all the training documents of subword_ids(), whose rows are numbered."""
+def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Broadcast, DataFrame]:
+    """(parameters, frequencies, ids with facts) learned from all the training documents of subword_ids(), whose rows are numbered.
+
+    The frequencies are broadcast as an object, so that a worker lays them out once and keeps them for its later tasks.
+    """
     freq, counts = frequencies(ids.where("not held").select("ids"), path or tokenizer_path(TOKENIZER))
-    ids, values = with_facts(ids, freq, counts), flat(start_model())
+    shared = ids.sparkSession.sparkContext.broadcast(freq)
+    ids, values = with_facts(ids, shared, counts), flat(start_model())
     training = ids.where("not held").select(*[c for c in ids.columns if c in ("ids", "facts")])
-    got = training.mapInArrow(_trainer(values, freq), "i int, p double").groupBy("i").agg(F.sum("p").alias("p")).toArrow()
+    got = training.mapInArrow(_trainer(values, shared), "i int, p double").groupBy("i").agg(F.sum("p").alias("p")).toArrow()
     if len(got):
         p = np.zeros(len(values) + 1)
         p[got.column("i").to_numpy()] = got.column("p").to_numpy()
         values = p[:-1] / p[-1]
-    return values, freq, ids
+    return values, shared, ids
 
 
-def _scorer(values: np.ndarray, freq: Frequencies):
+def _scorer(values: np.ndarray, shared: Broadcast):
     def run(batches):
-        model = shaped(values)
+        model, freq = shaped(values), shared.value
         freq.open()
         for batch in batches:
             if not len(batch):
@@ -784,19 +806,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     prepared(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held", held)
-    counts = cut(word_counts(text.where("not held")))
+    counts = written(word_counts(text.where("not held")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = most(counts.where(F.col("h") != END_HASH), "c", HOT).toArrow()
-    hot_h, hot_c = hot.column("h").to_numpy().view(U64), hot.column("c").to_numpy()
-    order = np.argsort(hot_h)
+    words = docs.sparkSession.sparkContext.broadcast(Words(hot.column("h").to_numpy().view(U64), hot.column("c").to_numpy(), total, distinct))
     ids = written(subword_ids(text, tokenizer_path(TOKENIZER)).withColumn("row", F.monotonically_increasing_id()), "ids")
-    values, freq, ids = train(ids)
-    scores = ids.select("doc_id", "text_hash", *[c for c in ids.columns if c in ("ids", "facts")]).mapInArrow(_scorer(values, freq), "doc_id long, text_hash long, score double")
+    values, shared, ids = train(ids)
+    scores = ids.select("doc_id", "text_hash", *[c for c in ids.columns if c in ("ids", "facts")]).mapInArrow(_scorer(values, shared), "doc_id long, text_hash long, score double")
     parts = text.select("doc_id", "text").mapInArrow(
-        _base_parts(hot_h[order], hot_c[order], total, distinct),
+        _base_parts(words),
         "doc_id long, text_hash long, n_tokens long, hot_known long, hot_score double, rest array<long>, times array<long>",
     )
-    parts = cut(parts)
+    parts = written(parts, "parts")
     floor = float(total) + 0.1 * (distinct + 1)
     rest = parts.select("doc_id", "text_hash", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("doc_id", "text_hash", F.col("w.rest").alias("h"), F.col("w.times").alias("times"))
     met = rest.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

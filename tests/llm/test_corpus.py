@@ -623,7 +623,7 @@ def test_lm_counts_that_do_not_travel_are_joined(spark, documents, monkeypatch,
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "zqx" * 500), (None, "q\u6f22 \u5b57")], "doc_id long, text string")
     text = documents.select("doc_id", "text").unionAll(odd).withColumn("held", F.coalesce((F.col("doc_id") % 10 == 0) | (F.col("doc_id") < 0), F.lit(False)))
     path = packing.tokenizer_path(packing.TOKENIZER)
-    ids = lm.cut(lm.subword_ids(text, path).withColumn("row", F.monotonically_increasing_id()))
+    ids = lm.written(lm.subword_ids(text, path).withColumn("row", F.monotonically_increasing_id()), "ids")
     training = ids.where("not held").select("ids")
     every, none = lm.frequencies(training, path)
     monkeypatch.setattr(lm, "PAIRS", pairs)
