@@ -12,12 +12,12 @@ so each distribution sums to one.  The most frequent PAIRS and SPELLINGS of thes
 the tasks; every other count that a text asks for meets it in a join and lies beside the
 text's ids, so that all counts are used, however many there are.  A causal self-attention layer looks at the places
 before the current one, whose values are the ids that followed there: its weights are a
-distribution over ids to copy, with a weight of its own for not copying.  What it has
-gathered also sets the shares in which unigrams, pairs, spellings and copies are mixed, so that a
-prediction sums to one over the vocabulary and costs no softmax over it.  Embeddings,
-attention and shares are trained in numpy by gradient on windows of WIDTH ids laid end to
-end over every training document: each id and each end is predicted once.  Every batch moves
-the parameters of the shares, and by turns those of embeddings and attention.  Each task
+distribution over ids to copy, with a weight of its own for not copying.  Pairs, spellings (each
+falling back on the counts below) and copies are mixed in shares learned for each class of
+sureness of the spelling, so that a prediction sums to one over the vocabulary and costs no
+softmax over it.  Embeddings, attention and shares are trained in numpy by gradient on windows
+of WIDTH ids laid end to end over every training document: each id and each end is predicted
+once, and every batch moves all parameters.  Each task
 trains a copy, and copies are averaged by the ids they have seen.  In scoring, windows of
 WIDTH ids overlap by WIDTH - STEP, and each id is scored once, in the window that gives
 it most context.
@@ -50,8 +50,7 @@ WORD_END = "</w>"
 WIDTH, STEP, DIM = 32, 24, 8
 #: Rows of embeddings: most ids share the last SHARED ones, the most frequent have their own.
 ROWS, SHARED = 4096, 1024
-#: Each batch moves the shares' parameters; one in DEEP moves embeddings and attention too.
-BATCH, RATE, DEEP = 192, 0.1, 3
+BATCH, RATE = 192, 0.1
 #: The most frequent ids, whose pairs are looked up by place.
 TOP = 2048
 #: Added to each unigram count.
@@ -556,7 +555,7 @@ def windows(length: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: How sure spellings can be; the parts that are mixed.
 LEVELS, PARTS = 62, 3
-SHAPES = {"emb": (ROWS, DIM), "pos": (WIDTH, DIM), "qkv": (DIM, 3 * DIM), "wo": (DIM, DIM), "gate": (DIM, PARTS), "level": (LEVELS, PARTS)}
+SHAPES = {"emb": (ROWS, DIM), "pos": (WIDTH, DIM), "qk": (DIM, 2 * DIM), "level": (LEVELS, PARTS)}
 
 
 def start_model() -> dict[str, np.ndarray]:
@@ -565,8 +564,7 @@ def start_model() -> dict[str, np.ndarray]:
     model = {name: (rng.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in SHAPES.items()}
     model["emb"] *= 10
     model["pos"] *= 0
-    model["qkv"][:, : 2 * DIM] = np.tile(np.eye(DIM, dtype=np.float32), 2) * 0.7
-    model["gate"] *= 0
+    model["qk"][:] = np.tile(np.eye(DIM, dtype=np.float32), 2) * 0.7
     model["level"][:] = -0.5, 1, -1
     return model
 
@@ -585,7 +583,7 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 _MASK = np.tril(np.ones((WIDTH, WIDTH), np.float32), -1)
-_ONES = np.ones(PARTS, np.float32)
+_ONES, _WIDE = np.ones(PARTS, np.float32), np.ones(WIDTH, np.float32)
 #: Attention scores stay under this, so that exponentials need no shift.
 BOUND = np.float32(30)
 
@@ -599,61 +597,38 @@ def forward(model: dict, row: np.ndarray, given: np.ndarray, level: np.ndarray,
     size = len(row)
     x = np.take(model["emb"], row, axis=0)
     x += model["pos"]
-    qkv = (x.reshape(-1, DIM) @ model["qkv"]).reshape(size, WIDTH, 3 * DIM)
-    own = np.ascontiguousarray(x[:, start:]).reshape(-1, DIM)
-    q = np.ascontiguousarray(qkv[:, start:, :DIM])
-    k = np.ascontiguousarray(qkv[..., DIM : 2 * DIM].transpose(0, 2, 1))
-    v = np.ones((size, WIDTH, DIM + 1), np.float32)
-    v[..., :DIM] = qkv[..., 2 * DIM :]
+    qk = (x.reshape(-1, DIM) @ model["qk"]).reshape(size, WIDTH, 2 * DIM)
+    q = np.ascontiguousarray(qk[:, start:, :DIM])
+    k = np.ascontiguousarray(qk[..., DIM:].transpose(0, 2, 1))
     a = q @ k
     if a.size and a.max() > BOUND:
         np.minimum(a, BOUND, out=a)
     np.exp(a, out=a)
     a *= _MASK[start:]
-    both = (a @ v).reshape(-1, DIM + 1)
-    scale = 1 / (both[:, -1] + 1)
-    copy = (np.bincount(of, np.take(a, hit), minlength=len(scale)) + given[:, -1]).astype(np.float32) * scale
-    z = both @ np.concatenate((model["wo"], np.zeros((1, DIM), np.float32)))
-    z *= scale[:, None]
-    z += own
-    g = z @ model["gate"]
-    g += np.take(model["level"], level, axis=0)
-    np.clip(g, -BOUND, BOUND, out=g)
-    np.exp(g, out=g)
-    g *= (1 / (g @ _ONES))[:, None]
+    scale = 1 / (a.reshape(-1, WIDTH) @ _WIDE + 1)
+    copy = ((np.bincount(of, np.take(a, hit), minlength=len(scale)) + given[:, -1]) * scale).astype(np.float32)
+    shares = np.exp(np.clip(model["level"], -BOUND, BOUND))
+    shares /= shares.sum(axis=1, keepdims=True)
+    g = np.take(shares, level, axis=0)
     parts = g * np.concatenate((given, copy[:, None]), axis=1)
     p = parts @ _ONES
-    return np.log(p).reshape(size, -1), (x, q, k, v, a, both, scale, copy, z, g, parts, p)
+    return np.log(p).reshape(size, -1), (x, q, k, a, scale, copy, g, parts, p)
 
 
-def gradient(model: dict, row: np.ndarray, level: np.ndarray, hit: np.ndarray, of: np.ndarray, saved, counted: np.ndarray, deep: bool = True) -> dict[str, np.ndarray]:
-    """Gradient of the counted log probabilities: of the shares, and if deep of all parameters; saved is of a whole forward()."""
-    x, q, k, v, a, both, scale, copy, z, g, parts, p = saved
+def gradient(model: dict, row: np.ndarray, level: np.ndarray, hit: np.ndarray, of: np.ndarray, saved, counted: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the counted log probabilities; saved is of a whole forward()."""
+    x, q, k, a, scale, copy, g, parts, p = saved
     out = {}
     weight = counted.ravel() / p
-    share = g[:, -1] * weight
     dg = (parts - g * p[:, None]) * weight[:, None]
-    out["gate"] = z.T @ dg
     out["level"] = np.stack([np.bincount(level, dg[:, i], minlength=LEVELS) for i in range(PARTS)], axis=1).astype(np.float32)
-    if not deep:
-        return out
-    dz = dg @ model["gate"].T
-    scaled = dz * scale[:, None]
-    out["wo"] = (both.T @ scaled)[:DIM]
-    # of the values and, in the last column, of the sum of the attention's weights
-    do = scaled @ np.concatenate((model["wo"], np.zeros((1, DIM), np.float32))).T
-    do[:, -1] = -scale * (share * copy + (do * both) @ np.append(np.ones(DIM, np.float32), np.float32(0)))
-    do = do.reshape(v.shape)
-    ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    ds *= a
-    ds.ravel()[hit] += np.take(a, hit) * (share * scale)[of]
-    dq = ds @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    dk = ds.transpose(0, 2, 1) @ q
-    dv = a.transpose(0, 2, 1) @ do[..., :DIM]
-    d = np.concatenate((dq, dk, dv), axis=2).reshape(-1, 3 * DIM)
-    out["qkv"] = x.reshape(-1, DIM).T @ d
-    dx = d @ model["qkv"].T
-    dx += dz
+    # of a weight before its exponential: what it adds where it hits, less what it takes from all copies
+    pull = g[:, -1] * weight * scale
+    ds = a * (-pull * copy).reshape(len(row), WIDTH, 1)
+    ds.ravel()[hit] += np.take(a, hit) * pull[of]
+    d = np.concatenate((ds @ k.transpose(0, 2, 1), ds.transpose(0, 2, 1) @ q), axis=2).reshape(-1, 2 * DIM)
+    out["qk"] = x.reshape(-1, DIM).T @ d
+    dx = d @ model["qk"].T
     out["pos"] = dx.reshape(x.shape).sum(axis=0)
     at = np.take(_CELLS, row.ravel(), axis=0)
     out["emb"] = np.bincount(at.ravel(), dx.ravel(), minlength=ROWS * DIM).astype(np.float32).reshape(ROWS, DIM)
@@ -671,7 +646,7 @@ def _trainer(values: np.ndarray, shared: Broadcast):
         freq = shared.value
         model = shaped(values)
         past = {k: np.full_like(w, 1e-6) for k, w in model.items()}  # squares of the gradients so far
-        seen = step = 0
+        seen = 0
         freq.open()
         for batch in batches:
             if not len(batch):
@@ -683,12 +658,11 @@ def _trainer(values: np.ndarray, shared: Broadcast):
                 row, given, level, hit, of = texts.window(texts.head[d] + at)
                 counted = (np.arange(WIDTH) < (texts.length[d] - at)[:, None]).astype(np.float32)
                 saved = forward(model, row, given, level, hit, of)[1]
-                for name, g in gradient(model, row, level, hit, of, saved, counted / counted.sum(), step % DEEP == 0).items():
+                for name, g in gradient(model, row, level, hit, of, saved, counted / counted.sum()).items():
                     past[name] += g * g
                     g *= RATE
                     g /= np.sqrt(past[name])
                     model[name] += g
-                step += 1
             seen += len(texts.target)
         if seen:
             p = np.concatenate((flat(model).astype(np.float64), [1.0])) * seen
