@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.packing import END_ID, TOKENIZER, tokenizer_path
-from tablewright.llm.session import prepared, table, written
+from tablewright.llm.session import discard, prepared, table, written
 from tablewright.llm.subwords import subwords
 from tablewright.llm.words import BASE, INVERSE, U64, chunks, mix, power, segment, string_lists
 
@@ -371,8 +371,8 @@ def facts(batch: pa.RecordBatch) -> list[Facts | None]:
     """Facts of pairs and of spellings."""
     if "facts" not in batch.schema.names:
         return [None, None]
-    kind, context, *rest = (x.to_numpy(zero_copy_only=False) for x in batch.column("facts").flatten().flatten())
-    context = context.astype(np.int64).view(U64)
+    context, what, n, figures = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.column("facts").flatten().flatten())
+    kind, context, rest = what & 1, context.view(U64), (what >> 1, n, figures >> KINDS_BITS, figures & (1 << KINDS_BITS) - 1)
     with np.errstate(over="ignore"):
         return [Facts(c(context[kind == k]), *[x[kind == k] for x in rest]) for k, c in enumerate((mix, np.array))]
 
@@ -445,6 +445,8 @@ class Followers:
 
 #: Stands for a context's own figures where facts are asked for.
 NO_ID = -1
+#: A context's number of kinds, a vocabulary's length at most, lies below its total in one number: few columns move in shuffles.
+KINDS_BITS = 20
 
 
 class Frequencies:
@@ -672,7 +674,10 @@ def _trainer(values: np.ndarray, shared: Broadcast):
 
 
 def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame | None]:
-    """Counts over all ids of the training texts: those that travel, and a table of the others (kind, context, id, n, total, kinds), None if all travel."""
+    """Counts over all ids of the training texts: those that travel, and a table of the others, None if all travel.
+
+    Its rows are (context, what, n, figures): what is twice the id, with 1 added for spellings, figures the context's total and kinds.
+    """
     size, ends = vocabulary(path), word_ends(path)
 
     def counted(within: bool) -> DataFrame:
@@ -690,7 +695,8 @@ def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame
     def others(kind: int, counts: DataFrame, low: int) -> DataFrame:
         few = counts.where(level("n") < low).select("context", "id", "n", "total", "kinds")
         contexts = counts.where(F.col("first") & (level("top") < low)).select("context", F.lit(NO_ID).alias("id"), F.lit(0).cast("long").alias("n"), "total", "kinds")
-        return few.unionAll(contexts).select(F.lit(kind).alias("kind"), "*")
+        figures = F.shiftleft("total", KINDS_BITS).bitwiseOR(F.col("kinds"))
+        return few.unionAll(contexts).select("context", (2 * F.col("id") + kind).alias("what"), "n", figures.alias("figures"))
 
     pairs, spellings, one = counted(False), counted(True), np.zeros(size)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's length at most
@@ -703,7 +709,7 @@ def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame
 
 
 def _asked(shared: Broadcast):
-    """(row, kind, context, id): each count once that a text needs and the tasks' tables cannot tell."""
+    """(row, context, what): each count once that a text needs and the tasks' tables cannot tell."""
 
     def run(batches):
         freq = shared.value
@@ -714,13 +720,11 @@ def _asked(shared: Broadcast):
             last, target, _, length = streams(batch, freq.start)
             place, kind, context, id_ = freq.open_questions(last, target)
             row = np.repeat(batch.column("row").to_numpy(), length)[place]
+            what = 2 * id_.astype(np.int64) + kind
             with np.errstate(over="ignore"):
-                mark = mix(context + mix(id_.astype(np.int64).view(U64) * U64(2) + kind.astype(U64))) ^ mix(row.view(U64))
+                mark = mix(context + mix(what.view(U64))) ^ mix(row.view(U64))
             _, first = np.unique(mark, return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[first]), pa.array(kind[first].astype(np.int32)), pa.array(context[first].view(np.int64)), pa.array(id_[first].astype(np.int32))],
-                names=["row", "kind", "context", "id"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(context[first].view(np.int64)), pa.array(what[first].astype(np.int32))], names=["row", "context", "what"])
 
     return run
 
@@ -730,9 +734,9 @@ def with_facts(ids: DataFrame, freq: Frequencies | Broadcast, counts: DataFrame
     if counts is None:
         return ids
     shared = freq if isinstance(freq, Broadcast) else ids.sparkSession.sparkContext.broadcast(freq)
-    asked = ids.select("row", "ids").mapInArrow(_asked(shared), "row long, kind int, context long, id int")
-    told = asked.join(counts, ["kind", "context", "id"])  # what was never seen in training has no count
-    own = told.groupBy("row").agg(F.collect_list(F.struct("kind", "context", "id", "n", "total", "kinds")).alias("facts"))  # of one text
+    asked = ids.select("row", "ids").mapInArrow(_asked(shared), "row long, context long, what int")
+    told = asked.join(counts, ["context", "what"])  # what was never seen in training has no count
+    own = told.groupBy("row").agg(F.collect_list(F.struct("context", "what", "n", "figures")).alias("facts"))  # of one text
     return written(ids.join(own, "row", "left"), "facts")
 
 
@@ -743,7 +747,11 @@ def train(ids: DataFrame, path: str | None = None) -> tuple[np.ndarray, Broadcas
     """
     freq, counts = frequencies(ids.where("not held").select("ids"), path or tokenizer_path(TOKENIZER))
     shared = ids.sparkSession.sparkContext.broadcast(freq)
-    ids, values = with_facts(ids, shared, counts), flat(start_model())
+    full = with_facts(ids, shared, counts)
+    if counts is not None:  # all that is read from here on lies in the table with facts
+        discard(counts, "counts")
+        discard(ids, "ids")
+    ids, values = full, flat(start_model())
     training = ids.where("not held").select(*[c for c in ids.columns if c in ("ids", "facts")])
     got = training.mapInArrow(_trainer(values, shared), "i int, p double").groupBy("i").agg(F.sum("p").alias("p")).toArrow()
     if len(got):

@@ -45,6 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame, name: str) -> None:
+    """Removes the tables of written(..., name) that df reads, once nothing needs them; whatever else it reads stays."""
+    spark = df.sparkSession
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    inside = re.compile(rf"{re.escape(re.sub('^[a-z]+:/+', '/', root))}/{re.escape(name)}-[0-9a-f]{{32}}$")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if inside.search(folder):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df marked for broadcast if it is counted to be within the bound, else as it is (a shuffle join follows).
 
