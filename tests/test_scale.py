@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import delta, events, features, inject, profile, splits
+from tablewright.functions.cells import normal_cell
+from tablewright.operators import delta, events, features, inject, profile, score, splits
 from tablewright.operators.windows import in_windows
 from tablewright.sources import packages
 
@@ -160,3 +161,23 @@ def test_a_changed_byte_and_a_changed_row_are_found(spark, tmp_path):
     changed = packages.changed_leaves(packages.leaves(old, ["id"]), packages.leaves(new.repartition(7), ["id"]))
     assert changed.count() == 3
     assert sorted(map(tuple, packages.changed_keys(old, new, ["id"], changed).collect())) == [(5, 1, 0), (9, 0, 1), (77, 1, 1)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_numbers_are_counted_without_patterns(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (-7, 2**62), (0, 5)], "k int, v long")
+    b = spark.createDataFrame([(1, None), (-7, 2**62), (0, 6)], "k long, v long")
+    found = score.exact_rows(a, b, ["k", "v"])
+    assert "RLIKE" not in plan(found)
+    assert tuple(found.first())[:3] == (2, 4, 3)
+    text = b.select(F.col("k").cast("string").alias("k"), F.when(F.col("v").isNull(), "NaN").otherwise(F.concat(F.col("v").cast("string"), F.lit(".0"))).alias("v"))
+    assert tuple(score.exact_rows(a, text, ["k", "v"]).first())[:3] == (2, 4, 3)
+
+
+def test_texts_that_are_no_numbers_keep_their_normal_form(spark):
+    cells = ["a\tb", "a  b", "a b", " A b ", "-", "+x", ".5", "-0.0", "3 days 01:30:00", "-1 day 00:00:00", "1e2", "n\x0bm", "NaT", "9a  9"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(normal_cell(F.col("c"))).collect()]
+    assert got == ["a b", "a b", "a b", "a b", "-", "+x", "0.5", "0", "73.5", "-24", "100", "n m", "", "9a 9"]
