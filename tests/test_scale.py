@@ -181,3 +181,10 @@ def test_texts_that_are_no_numbers_keep_their_normal_form(spark):
     cells = ["a\tb", "a  b", "a b", " A b ", "-", "+x", ".5", "-0.0", "3 days 01:30:00", "-1 day 00:00:00", "1e2", "n\x0bm", "NaT", "9a  9"]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(normal_cell(F.col("c"))).collect()]
     assert got == ["a b", "a b", "a b", "a b", "-", "+x", "0.5", "0", "73.5", "-24", "100", "n m", "", "9a 9"]
+
+
+def test_rowset_recall_joins_nothing(spark):
+    g, r = (spark.createDataFrame(x, "k int, s string") for x in ([(1, "a"), (1, "A"), (2, "b"), (None, None)], [(1, "a"), (None, ""), (None, ""), (3, "c")]))
+    found = score.rowset_recall(g, r, ["k", "s"])
+    assert "Join" not in plan(found)
+    assert tuple(found.first()) == (4, 3, 0.75)
