@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,48 @@ def test_rowset_recall_joins_nothing(spark):
     found = score.rowset_recall(g, r, ["k", "s"])
     assert "Join" not in plan(found)
     assert tuple(found.first()) == (4, 3, 0.75)
+
+
+def test_what_is_equal_is_not_kept_by_a_score(spark):
+    g = spark.range(1000).select("id", F.lit("a").alias("s"))
+    r = g.where("id <> 5").select("id", F.when(F.col("id") % 100 == 7, "b").otherwise(F.col("s")).alias("s"))
+    left = score.unequal(score.counts(g, r, ["id", "s"]))
+    assert left.count() == 21
+    assert dict((x.column, x.matched) for x in score.cells(g, r, ["id"], ["id", "s"]).collect()) == {"id": 999, "s": 989}
+
+
+def test_one_distinct_row_that_suffices_for_a_key_is_paired_without_python(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(rng.randrange(60), rng.choice("ab"), rng.choice("xyz")) for _ in range(n)]
+    a, b = rows(300) + [(99, "a", "x"), (99, "b", "y")], rows(250) + [(99, "q", "y")] * 3
+    g, r = (spark.createDataFrame(x, "k int, s string, t string") for x in (a, b))
+    got = dict((x.column, x.matched) for x in score.cells(g, r, ["k"], ["s", "t"]).collect())
+    want = 0
+    for k in {x[0] for x in a} & {x[0] for x in b}:
+        p, q = [x for x in a if x[0] == k], [x for x in b if x[0] == k]
+        w = np.array([[(x[1] == y[1]) + (x[2] == y[2]) + (4 if x == y else 0) for y in q] for x in p])
+        pairs = score.assignment(w)
+        want += sum((p[i][1] == q[j][1]) + (p[i][2] == q[j][2]) for i, j in pairs)
+    assert got["s"] + got["t"] == want
+    only = score.cells(g.where("k = 99"), r.where("k = 99"), ["k"], ["s", "t"])
+    assert {x.column: x.matched for x in only.collect()} == {"s": 0, "t": 1}
+
+
+def test_files_without_repeated_keys_keep_what_differs_alone(spark):
+    g = spark.createDataFrame([(i, "a", "x") for i in range(50)], "k int, s string, t string")
+    r = spark.createDataFrame([(i, "a" if i else "b", "x") for i in range(49)] + [(77, "a", "x")], "k int, s string, t string")
+    for unique in (True, False):
+        row = score.file_score(g, r, ["k"], unique).first()
+        assert (row.key_f1, row.exact_f1, row.cell_f1) == (0.98, 0.96, round(2 * (49 * 3 - 1) / 100 / 3, 6)), unique
+        assert (row.gold_rows, row.result_rows) == (50, 50)
+
+
+def test_a_log_reads_only_rows_of_wanted_stays_and_looks_up_only_those_without_one(spark):
+    stays = spark.createDataFrame([(13, 1, 5, "2100-01-01 00:00:00", "2100-01-02 00:00:00"), (23, 2, 5, "2100-01-03 00:00:00", "2100-01-04 00:00:00"), (33, 3, 6, "2100-01-05 00:00:00", "2100-01-06 00:00:00")], "stay_id long, hadm_id long, subject_id long, intime string, outtime string")
+    rows = spark.createDataFrame([(1, "13", "2", "5"), (2, None, "2", "3"), (3, "23", "1", "4"), (4, None, "3", "9")], "_row_index long, stay_id string, hadm_id string, amount string")
+    ask = spark.createDataFrame([(7, 23, "c1", "sentinel_or_negative_med_amount"), (8, 33, "c2", "stay_hadm_mismatch"), (9, 44, "c3", "stay_hadm_mismatch")], "source_error_id long, canonical_stay_id long, error_class string, error_subtype string")
+    dirty, log = inject.inject("inputevents", rows, stays, ask)
+    assert sorted((r.source_error_id, r._stay, r._row_index, r.clean_value, r.dirty_value, r.error_class) for r in log.collect()) == [(7, "23", 2, "3", "-999", "c1"), (8, "33", 4, "3", "1", "c2")]
+    assert sorted((r._row_index, r.hadm_id, r.amount) for r in dirty.collect()) == [(1, "2", "5"), (2, "2", "-999"), (3, "1", "4"), (4, "1", "9")]
+    # the log's plan meets the requests once and the rows not again by their number
+    assert "_row_index#" not in "".join(line for line in plan(log).splitlines() if "Join" in line)
