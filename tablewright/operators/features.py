@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import clean_code, code_prefix, first_by_digest, is_missing, safe_name
@@ -125,18 +125,38 @@ def medication_features(orders: DataFrame, key: str, n: int = 30) -> DataFrame:
     return counts.join(top_flags(named, key, "_drug", "med_", n), key, "left")
 
 
+#: Events of whole keys that one task lays out as columns, about.
+TASK_ROWS = 250_000
+
+
 def measure_features(events: DataFrame, dictionary: DataFrame | None, key: str, prefix: str, n: int) -> DataFrame:
-    """Count, mean, min and max of the n most frequent items a key, and counts over all items."""
+    """Count, mean, min and max of the n most frequent items a key, and counts over all items.
+
+    Narrow rows are dealt by key first; a key's items are summed up and only then laid out as columns, in the same
+    tasks.  No wide row is shuffled, and the number of tasks follows the events, so that a task's memory does not.
+    """
     at = enrich(events, dictionary, ["itemid"])
     label = F.coalesce(F.col("label"), F.col("itemid").cast("string")) if "label" in at.columns else F.col("itemid").cast("string")
     at = at.withColumn("_item", label).withColumn("_value", F.col("valuenum").try_cast("double"))
-    items = top_values(at, "_item", n)
+    sizes = cut(at.groupBy("_item").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    items = [r[0] for r in sizes.where(F.col("_item").isNotNull()).orderBy(F.desc("n"), "_item").limit(n).collect()]
     names = distinct_names(f"{prefix}_{_safe(i)}" for i in items)
-    aggs = [F.count("*").alias(f"{prefix}_events"), F.count_distinct("itemid").alias(f"{prefix}_items")]
-    for item, name in zip(items, names):
-        own = F.when(F.col("_item") == item, F.col("_value"))
-        aggs += [F.count(own).alias(f"{name}_count"), F.avg(own).alias(f"{name}_mean"), F.min(own).alias(f"{name}_min"), F.max(own).alias(f"{name}_max")]
-    return at.groupBy(key).agg(*aggs)
+    place = F.coalesce(*[F.when(F.col("_item") == item, F.lit(i)) for i, item in enumerate(items)], F.lit(-1))
+    own = at.select(key, "itemid", place.alias("_at"), "_value").repartition(total // TASK_ROWS + 1, key)
+    one = own.groupBy(key, "itemid", "_at").agg(F.count("*").alias("_rows"), F.count("_value").alias("_n"), F.sum("_value").alias("_sum"), F.min("_value").alias("_min"), F.max("_value").alias("_max"))
+    if "label" not in at.columns:
+        kinds = F.count("itemid")
+    else:
+        # an item with several labels has several places, and is one item
+        one = one.withColumn("_first", F.row_number().over(Window.partitionBy(key, "itemid").orderBy("_at")))
+        kinds = F.count(F.when(F.col("_first") == 1, F.col("itemid")))
+    aggs = [F.sum("_rows").alias(f"{prefix}_events"), kinds.alias(f"{prefix}_items")]
+    for i, name in enumerate(names):
+        of = lambda c: F.when(F.col("_at") == i, F.col(c))  # noqa: B023, E731
+        mean = F.sum(of("_sum")) / F.sum(F.when((F.col("_at") == i) & (F.col("_n") > 0), F.col("_n")))
+        aggs += [F.coalesce(F.sum(of("_n")), F.lit(0)).cast("long").alias(f"{name}_count"), mean.alias(f"{name}_mean"), F.min(of("_min")).alias(f"{name}_min"), F.max(of("_max")).alias(f"{name}_max")]
+    return one.groupBy(key).agg(*aggs)
 
 
 def stay_event_features(stays: DataFrame, events: DataFrame, key: str, n: int = 20) -> DataFrame:

@@ -234,3 +234,25 @@ def test_a_log_reads_only_rows_of_wanted_stays_and_looks_up_only_those_without_o
     assert sorted((r._row_index, r.hadm_id, r.amount) for r in dirty.collect()) == [(1, "2", "5"), (2, "2", "-999"), (3, "1", "4"), (4, "1", "9")]
     # the log's plan meets the requests once and the rows not again by their number
     assert "_row_index#" not in "".join(line for line in plan(log).splitlines() if "Join" in line)
+
+
+def test_measures_are_laid_out_by_tasks_that_follow_the_events(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice((1, 2, 3, None)), rng.choice((7, 8, 9, None)), rng.choice(("1", "2.5", "x", None))) for _ in range(400)]
+    events = spark.createDataFrame(rows, "k int, itemid int, valuenum string")
+    names = [(7, "a"), (7, "b"), (8, "a"), (9, None)]
+    monkeypatch.setattr(features, "TASK_ROWS", 100)
+    found = features.measure_features(events, spark.createDataFrame(names, "itemid int, label string"), "k", "m", 2)
+    own = [(k, i, n or str(i), v) for k, i, v in rows for j, n in names if i == j] + [(k, i, None, v) for k, i, v in rows if i is None]
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and f", {len(own) // 100 + 1})" in dealt[0]
+    got = {r.k: r for r in found.collect()}
+    assert set(got) == {1, 2, 3, None}
+    for k, r in got.items():
+        mine = [x for x in own if x[0] == k]
+        assert (r.m_events, r.m_items) == (len(mine), len({i for _, i, _, _ in mine} - {None}))
+        for item in ("a", "b"):
+            values = [float(v) for _, _, n, v in mine if n == item and v not in ("x", None)]
+            if f"m_{item.upper()}_count" in found.columns:
+                assert r[f"m_{item.upper()}_count"] == len(values) and abs(r[f"m_{item.upper()}_mean"] - sum(values) / len(values)) < 1e-9
+                assert (r[f"m_{item.upper()}_min"], r[f"m_{item.upper()}_max"]) == (min(values), max(values))
