@@ -55,20 +55,44 @@ def summary_tables(families: dict[str, tuple[DataFrame, str, str | None]]) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def family_rows(source: DataFrame, families: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    """(family, item, visit, filled) of a source: each of its rows once for each family, given as (item, visit, value), from one scan."""
-    rows = [F.struct(F.lit(name).alias("family"), item.cast("string").alias("item"), visit.cast("long").alias("visit"), value.isNotNull().cast("int").alias("filled")) for name, (item, visit, value) in sorted(families.items())]
-    return source.select(F.inline(F.array(*rows)))
+#: Items of visits that a task of family_tables() counts.
+TASK_ITEMS = 600_000
 
 
-def family_tables(rows: DataFrame) -> DataFrame:
-    """(name, item, total_count, visits, missing_rate) of the summary and features table of every family, and its totals.
+def family_tables(sources: list[tuple[DataFrame, Column, dict[str, tuple[Column, Column]]]], sized: DataFrame | None = None) -> DataFrame:
+    """(name, item, total_count, visits, missing_rate) of the summary and features table of every family, and its totals (item '*').
 
-    rows: family_rows() of all sources.  One aggregate over grouping sets makes items and totals (item '*') of all families at once.
+    sources: (events, visit, {family: (item, value)}); a family has one source.  Each event moves once, to its visit, with what all
+    its families need; a visit's items are then counted where they lie, so that only sums move on.  Events without a visit are dealt out.
+    The number of tasks follows the events, so that a task's memory does not.  sized: a table with about as many rows as the largest
+    source, which is counted for that; left out, each source is.
     """
-    some = rows.where("item is not null").groupingSets([["family", "item"], ["family"]], "family", "item")
-    some = some.agg(F.grouping("item").alias("_all"), F.count("*").alias("total_count"), F.count_distinct("visit").alias("visits"), F.sum("filled").alias("_n"))
-    some = some.withColumn("item", F.when(F.col("_all") == 1, "*").otherwise(F.col("item"))).withColumn("missing_rate", F.round(1 - F.col("_n") / F.col("total_count"), 6))
+    total = None if sized is None else sized.count()
+    names = [name for _, _, families in sources for name in families]
+    if len(set(names)) < len(names):
+        raise ValueError("a family has more than one source")
+    parts = []
+    for events, visit, families in sources:
+        named = sorted(families.items())
+        flat = [c for i, (_, (item, value)) in enumerate(named) for c in (item.alias(f"item{i}"), value.isNotNull().alias(f"filled{i}"))]
+        moved = events.select(visit.cast("long").alias("visit"), *flat)
+        spread = F.coalesce(F.col("visit"), F.xxhash64(*[F.col(f"item{i}") for i in range(len(named))]))
+        tasks = (events.count() if total is None else total) * len(named) // TASK_ITEMS + 1
+        moved = moved.withColumn("place", spread).repartition(tasks, "place")
+        # items: of each visit once, then over visits
+        kinds = [F.struct(F.lit(i).alias("kind"), F.col(f"item{i}").cast("string").alias("item"), F.col(f"filled{i}").cast("int").alias("filled")) for i in range(len(named))]
+        rows = moved.select("place", "visit", F.inline(F.array(*kinds))).where("item is not null")
+        own = rows.groupBy("place", "visit", "kind", "item").agg(F.count("*").alias("n"), F.sum("filled").alias("filled"))
+        own = own.groupBy("kind", "item").agg(F.sum("n").alias("total_count"), F.count("visit").alias("visits"), F.sum("filled").alias("_n"))
+        family = F.element_at(F.array(*[F.lit(name) for name, _ in named]), F.col("kind") + 1)
+        parts.append(own.select(family.alias("family"), "item", "total_count", "visits", "_n"))
+        # totals: a row a visit with the sums of all families
+        here = [F.col(f"item{i}").isNotNull() for i in range(len(named))]
+        sums = [c for i, x in enumerate(here) for c in (F.count_if(x).alias(f"n{i}"), F.count_if(x & F.col(f"filled{i}")).alias(f"f{i}"))]
+        every = moved.groupBy("place", "visit").agg(*sums)
+        totals = [F.struct(F.lit(name).alias("family"), F.lit("*").alias("item"), F.sum(f"n{i}").alias("total_count"), F.count_if(F.col("visit").isNotNull() & (F.col(f"n{i}") > 0)).alias("visits"), F.sum(f"f{i}").alias("_n")) for i, (name, _) in enumerate(named)]
+        parts.append(every.agg(F.array(*totals).alias("t")).select(F.inline("t")).where("total_count > 0"))
+    some = reduce(DataFrame.unionByName, parts).withColumn("missing_rate", F.round(1 - F.col("_n") / F.col("total_count"), 6))
     kinds = F.array(F.struct(F.concat("family", F.lit("_summary")).alias("name"), F.col("total_count").alias("n")), F.struct(F.concat("family", F.lit("_features")).alias("name"), F.col("_n").alias("n")))
     return some.select("item", "visits", "missing_rate", F.inline(kinds)).where("n > 0").select("name", "item", F.col("n").alias("total_count"), "visits", "missing_rate")
 

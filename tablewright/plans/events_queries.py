@@ -75,11 +75,10 @@ FAMILIES = (
 )
 def summary_families(spark, d):
     c = F.col
-    coded = E.family_rows(W.diagnoses(spark, d), {"diag": (c("icd_code"), c("hadm_id"), c("icd_code")), "proc": (c("l_suppkey"), c("hadm_id"), F.when(c("l_suppkey") % 3 == 0, 1))})
-    chart = E.family_rows(W.measures(spark, d), {"chart": (c("itemid"), c("hadm_id"), c("valuenum").try_cast("double"))})
-    med = E.family_rows(W.prescriptions(spark, d), {"med": (c("drug"), c("hadm_id"), c("drug"))})
-    out = E.family_rows(W.table(spark, d, "events"), {"out": (c("event_type"), c("user_id"), F.when(c("value") > 20, c("value")))})
-    return E.family_tables(coded.unionAll(chart).unionAll(med).unionAll(out))
+    lines = {"chart": (c("itemid"), c("valuenum").try_cast("double")), "diag": (c("icd_code"), c("icd_code")), "proc": (c("l_suppkey"), F.when(c("l_suppkey") % 3 == 0, 1))}
+    out = {"out": (c("event_type"), F.when(c("value") > 20, c("value")))}
+    sources = [(W.coded_measures(spark, d), c("hadm_id"), lines), (W.prescriptions(spark, d), c("hadm_id"), {"med": (c("drug"), c("drug"))}), (W.table(spark, d, "events"), c("user_id"), out)]
+    return E.family_tables(sources, W.table(spark, d, "lineitem"))
 
 
 @query("stay_demo", W.sql(CONTRACT + ' SELECT stay_id, "Age", gender, ethnicity, insurance FROM cohort'))

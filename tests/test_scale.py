@@ -256,3 +256,27 @@ def test_measures_are_laid_out_by_tasks_that_follow_the_events(spark, monkeypatc
             if f"m_{item.upper()}_count" in found.columns:
                 assert r[f"m_{item.upper()}_count"] == len(values) and abs(r[f"m_{item.upper()}_mean"] - sum(values) / len(values)) < 1e-9
                 assert (r[f"m_{item.upper()}_min"], r[f"m_{item.upper()}_max"]) == (min(values), max(values))
+
+
+def test_each_event_of_family_tables_moves_once(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice((None, 1, 1, 2, 3, 4)), rng.choice((None, "a", "b")), rng.choice((7, 8)), rng.choice((None, 1.5)), None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "visit long, x string, y int, value double, z string")
+    families = {"f": (F.col("x"), F.col("value")), "g": (F.col("y"), F.col("y")), "none": (F.col("z"), F.col("y"))}
+    out = events.family_tables([(df, F.col("visit"), families), (df, F.col("visit"), {"h": (F.col("x"), F.col("x"))})])
+    want = []
+    for family, item, value in (("f", 1, 3), ("g", 2, 2), ("h", 1, 1)):
+        own = [r for r in rows if r[item] is not None]
+        for i in ("*", *{r[item] for r in own}):
+            at = [r for r in own if i in ("*", r[item])]
+            visits, filled = len({r[0] for r in at} - {None}), sum(r[value] is not None for r in at)
+            want += [(f"{family}_{kind}", str(i), n, visits, round(1 - filled / len(at), 6)) for kind, n in (("summary", len(at)), ("features", filled)) if n]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "Expand [" not in plan and final.count("ReusedExchange") == 2
+    # a task counts a bounded number of items: the more events, the more tasks
+    many = events.family_tables([(spark.range(3_000_000).select("id", (F.col("id") % 3).alias("x")), F.col("id"), {"f": (F.col("x"), F.col("x"))})])
+    assert "hashpartitioning(place" in (p := many._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in p and ", 6), REPARTITION" in p
+    with pytest.raises(ValueError):
+        events.family_tables([(df, F.col("visit"), families), (df, F.col("visit"), families)])
