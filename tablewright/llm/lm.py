@@ -40,13 +40,11 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.packing import END_ID, TOKENIZER, tokenizer_path
 from tablewright.llm.session import discard, prepared, table, written
-from tablewright.llm.subwords import subwords
+from tablewright.llm.subwords import WORD_END, subwords
 from tablewright.llm.words import BASE, INVERSE, U64, chunks, mix, power, segment, string_lists
 
 #: Words, pairs of ids, and ids in their words that travel to the tasks: the most frequent ones, at most so many; the others are joined.
 HOT, PAIRS, SPELLINGS = 400_000, 500_000, 500_000
-#: What the tokenizer puts at a word's end.
-WORD_END = "</w>"
 WIDTH, STEP, DIM = 32, 24, 8
 #: Rows of embeddings: most ids share the last SHARED ones, the most frequent have their own.
 ROWS, SHARED = 4096, 1024
@@ -623,14 +621,16 @@ def gradient(model: dict, row: np.ndarray, level: np.ndarray, hit: np.ndarray, o
     out = {}
     weight = counted.ravel() / p
     dg = (parts - g * p[:, None]) * weight[:, None]
-    out["level"] = np.stack([np.bincount(level, dg[:, i], minlength=LEVELS) for i in range(PARTS)], axis=1).astype(np.float32)
+    out["level"] = np.bincount(np.take(_PARTS, level, axis=0).ravel(), dg.ravel(), minlength=LEVELS * PARTS).astype(np.float32).reshape(LEVELS, PARTS)
     # of a weight before its exponential: what it adds where it hits, less what it takes from all copies
     pull = g[:, -1] * weight * scale
     ds = a * (-pull * copy).reshape(len(row), WIDTH, 1)
     ds.ravel()[hit] += np.take(a, hit) * pull[of]
-    d = np.concatenate((ds @ k.transpose(0, 2, 1), ds.transpose(0, 2, 1) @ q), axis=2).reshape(-1, 2 * DIM)
-    out["qk"] = x.reshape(-1, DIM).T @ d
-    dx = d @ model["qk"].T
+    dq, dk = (ds @ k.transpose(0, 2, 1)).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    flat_x = x.reshape(-1, DIM).T
+    out["qk"] = np.concatenate((flat_x @ dq, flat_x @ dk), axis=1)
+    dx = dq @ model["qk"][:, :DIM].T
+    dx += dk @ model["qk"][:, DIM:].T
     out["pos"] = dx.reshape(x.shape).sum(axis=0)
     at = np.take(_CELLS, row.ravel(), axis=0)
     out["emb"] = np.bincount(at.ravel(), dx.ravel(), minlength=ROWS * DIM).astype(np.float32).reshape(ROWS, DIM)
@@ -639,6 +639,8 @@ def gradient(model: dict, row: np.ndarray, level: np.ndarray, hit: np.ndarray, o
 
 #: Places of each embedding row in the flat table.
 _CELLS = np.arange(ROWS * DIM).reshape(ROWS, DIM)
+#: And of each level's parts.
+_PARTS = np.arange(LEVELS * PARTS).reshape(LEVELS, PARTS)
 
 
 def _trainer(values: np.ndarray, shared: Broadcast):
@@ -682,7 +684,8 @@ def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame
 
     def counted(within: bool) -> DataFrame:
         """(context, id, n, total, kinds, top): with each count its context's sum, number and largest of counts, and whether the row is its context's first."""
-        counts = training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").groupBy("context", "id").agg(F.sum("n").alias("n"))
+        # dealt by context once: neither the sums nor the figures move the counts again; a task tells a context's id once
+        counts = training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").repartition("context").groupBy("context", "id").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("context")  # a vocabulary's length at most
         figures = {"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w), "top": F.max("n").over(w), "first": F.col("id") == F.min("id").over(w)}
         return written(counts.withColumns(figures), "counts")
@@ -719,6 +722,10 @@ def _asked(shared: Broadcast):
                 continue
             last, target, _, length = streams(batch, freq.start)
             place, kind, context, id_ = freq.open_questions(last, target)
+            if "held" in batch.schema.names:
+                # a training text was counted: each of its ids tells of its context too
+                ask = np.repeat(batch.column("held").to_numpy(zero_copy_only=False), length)[place] | (id_ != NO_ID)
+                place, kind, context, id_ = place[ask], kind[ask], context[ask], id_[ask]
             row = np.repeat(batch.column("row").to_numpy(), length)[place]
             what = 2 * id_.astype(np.int64) + kind
             with np.errstate(over="ignore"):
@@ -734,7 +741,7 @@ def with_facts(ids: DataFrame, freq: Frequencies | Broadcast, counts: DataFrame
     if counts is None:
         return ids
     shared = freq if isinstance(freq, Broadcast) else ids.sparkSession.sparkContext.broadcast(freq)
-    asked = ids.select("row", "ids").mapInArrow(_asked(shared), "row long, context long, what int")
+    asked = ids.select(*[c for c in ids.columns if c in ("row", "ids", "held")]).mapInArrow(_asked(shared), "row long, context long, what int")
     told = asked.join(counts, ["context", "what"])  # what was never seen in training has no count
     own = told.groupBy("row").agg(F.collect_list(F.struct("context", "what", "n", "figures")).alias("facts"))  # of one text
     return written(ids.join(own, "row", "left"), "facts")

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import types
 import re
 import zlib
 
@@ -596,6 +597,39 @@ def test_subwords_of_joined_words():
         assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID] and counts.tolist() == [len(ids)]
 
 
+def test_plain_words_need_merges_alone():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    rng, plain = random.Random(4), Tokenizer.from_file(path)
+    words = ["".join(rng.choice("abXYéÀÖßÿø09#$*,.-(<|>[]{}~") for _ in range(rng.randrange(1, 12))) for _ in range(900)]
+    assert all(subwords.PLAIN.fullmatch(w) for w in words) and not any(subwords.PLAIN.fullmatch(w) for w in ("it's", "a\u0301", "İ", "漢", ""))
+    ids, size = subwords.Subwords(path).pieces(words)
+    want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_lm_counts_move_once_and_training_asks_for_no_context_alone(spark, documents, monkeypatch):
+    plans, write = [], lm.written
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]))
+        return write(df, name)
+
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    text = documents.select("doc_id", "text").limit(60).withColumn("held", F.col("doc_id") % 10 == 0)
+    ids = lm.written(lm.subword_ids(text, path).withColumn("row", F.monotonically_increasing_id()), "ids")
+    for name in ("PAIRS", "SPELLINGS"):
+        monkeypatch.setattr(lm, name, 0)
+    monkeypatch.setattr(lm, "written", noted)
+    freq, counts = lm.frequencies(ids.where("not held").select("ids"), path)
+    assert len(plans) == 2 and all(p.split("Exchange hashpartitioning(")[1:].__len__() == 1 for _, p in plans)
+    asked = [x for b in ids.select("row", "ids", "held").toArrow().to_batches() for x in lm._asked(types.SimpleNamespace(value=freq))([b])]
+    held = {r.row for r in ids.where("held").select("row").collect()}
+    alone = {r for b in asked for r, w in zip(b.column("row").to_pylist(), b.column("what").to_pylist()) if w >> 1 == lm.NO_ID}
+    assert alone and alone <= held
+
+
 @pytest.mark.parametrize("step", [lm.WIDTH, lm.STEP])
 def test_lm_windows_reach_each_place_once(step):
     length = np.array([1, 2, lm.STEP, lm.WIDTH - 1, lm.WIDTH, lm.WIDTH + 1, 5 * lm.WIDTH, 1000])
