@@ -684,7 +684,7 @@ def frequencies(training: DataFrame, path: str) -> tuple[Frequencies, DataFrame
 
     def counted(within: bool) -> DataFrame:
         """(context, id, n, total, kinds, top): with each count its context's sum, number and largest of counts, and whether the row is its context's first."""
-        # dealt by context once: neither the sums nor the figures move the counts again; a task tells a context's id once
+        # dealt by context once: neither the sums nor the figures move the counts again; a task sums its own first
         counts = training.mapInArrow(_id_counts(size, ends, within), "context long, id int, n long").repartition("context").groupBy("context", "id").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("context")  # a vocabulary's length at most
         figures = {"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w), "top": F.max("n").over(w), "first": F.col("id") == F.min("id").over(w)}
